@@ -48,11 +48,11 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def rank_in_group(df: DataFrame, key: str, order: str, name: str, rows_per_cell: int = 20_000) -> DataFrame:
+def rank_in_group(df: DataFrame, key: str, order: str, name: str, rows_per_cell: int = 1_000) -> DataFrame:
     """Adds ``name``: the row's rank from 0 among the rows of its key, in the order of a hash of ``order``
     and then ``order`` itself (which is unique within a key). A key may hold most of the rows: each key
     is cut into ranges of the hash, ranked on their own, and the sizes of earlier ranges are added."""
-    cells = max(1, df.count() // rows_per_cell)
+    cells = min(max(1, df.count() // rows_per_cell), 20_000)
     cell = F.floor((F.xxhash64(order).cast("double") / 2.0**64 + 0.5) * cells).cast("int")
     df = df.withColumn("_cell", F.least(cell, F.lit(cells - 1)))
     sizes = df.groupBy(key, "_cell").agg(F.count("*").alias("_n"))
