@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from .common import components, stash, table
 
 SHINGLE, PERCENT = 5, 75
-#: Longest inverted list that is joined as pairs; classes of a block; long lists that steer the order, at most.
-LIST, BLOCK, STEER = 24, 256, 1 << 18
+#: Longest inverted list that is joined as pairs; classes and shingles of a block; long lists that steer the order, at most.
+LIST, BLOCK, BLOCK_SHINGLES, STEER = 24, 2048, 1_500_000, 1 << 18
 PART_BYTES = 4_000_000
 
 
@@ -155,7 +155,8 @@ def measure_sets(docs: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame, long_lists: np.ndarray, buckets: int) -> DataFrame:
-    """The short lists' entries, packed by bucket of shingle: parallel arrays of shingle, class and set size.
+    """The short lists' entries, packed by bucket of shingle: parallel arrays of shingle and class. With the bucket, 32
+    bits of a shingle do: two that fall together only add a candidate.
     long_lists: ascending hashes of frequent shingles, with ranks from rare to frequent."""
     spark = docs.sparkSession
     steer = spark.sparkContext.broadcast(long_lists)  # at most STEER entries
@@ -179,31 +180,31 @@ def postings(docs: DataFrame, long_lists: np.ndarray, buckets: int) -> DataFrame
                 first = np.zeros(len(keys), dtype=bool)
                 first[one] = True
                 pick = order[(place < np.repeat(short, counts)) & first[owner]]
-                kept.append((values[pick], keys[owner[pick]], counts[owner[pick]]))
+                kept.append((values[pick], keys[owner[pick]]))
             if not kept:
                 continue
-            value, key, n = (np.concatenate(x) for x in zip(*kept, strict=True))
+            value, key = (np.concatenate(x) for x in zip(*kept, strict=True))
             bucket = (value >> np.uint64(40)) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
             per = np.bincount(bucket.astype(np.int64), minlength=buckets)
-            per = (live := np.flatnonzero(per), per[per > 0])[1]
-            cols = [pa.array(live, pa.int64()), _lists(value[order], per), _lists(key[order], per), _lists(n[order], per, pa.int32())]
-            yield pa.RecordBatch.from_arrays(cols, names=["bucket", "shingles", "classes", "sizes"])
+            live, per = np.flatnonzero(per), per[per > 0]
+            cols = [pa.array(live, pa.int64()), _lists(value[order].astype(np.uint32).view(np.int32), per, pa.int32()), _lists(key[order], per)]
+            yield pa.RecordBatch.from_arrays(cols, names=["bucket", "shingles", "classes"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "bucket long, shingles array<long>, classes array<long>, sizes array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, "bucket long, shingles array<int>, classes array<long>")
 
 
 def merge_lists(packed: DataFrame) -> DataFrame:
-    """Merges the entries of a bucket by shingle: pairs (a, b) from lists of up to LIST classes whose sizes
-    allow a link, and for a longer list its first class with each other (hot)."""
+    """Merges the entries of a bucket by shingle: pairs (a, b) from lists of up to LIST classes, and for a longer list
+    its first class with each other (hot)."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        value, key, n = (np.concatenate(part[c].to_list()) for c in ("shingles", "classes", "sizes"))
-        order = np.lexsort((key, n, value))
-        value, key, n = value[order], key[order], n[order]
+        value, key = (np.concatenate(part[c].to_list()) for c in ("shingles", "classes"))
+        order = np.lexsort((key, value))
+        value, key = value[order], key[order]
         new = np.ones(len(value), dtype=bool)
         new[1:] = (value[1:] != value[:-1]) | (key[1:] != key[:-1])
-        value, key, n = value[new], key[new], n[new]
+        value, key = value[new], key[new]
         heads = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
         lengths = np.diff(np.append(heads, len(value)))
         owner = np.repeat(np.arange(len(heads)), lengths)
@@ -214,9 +215,7 @@ def merge_lists(packed: DataFrame) -> DataFrame:
             (i,) = np.nonzero(small[d:] & (place[d:] >= d))
             if not len(i):
                 break
-            # Sizes ascend within a list, so i is the smaller set.
-            fits = 100 * n[i].astype(np.int64) >= PERCENT * n[i + d].astype(np.int64)
-            found.append(np.stack([key[i][fits], key[i + d][fits]]))
+            found.append(np.stack([key[i], key[i + d]]))
         pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), dtype=np.int64)
         pairs = np.unique(np.sort(pairs, axis=0), axis=1)
         (hot,) = np.nonzero(~small)
@@ -315,9 +314,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     left = members.select(F.col("cls").alias("a"), F.col("doc").alias("u"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
     right = members.select(F.col("cls").alias("b"), F.col("doc").alias("v"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
-    links = pairs.join(left, "a").join(right, "b").where(100 * common >= PERCENT * (F.col("na") + F.col("nb") - common)).select("u", "v")
+    small = members.select("cls", "n")
+    fit = pairs.join(small.toDF("a", "na"), "a").join(small.toDF("b", "nb"), "b").where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").select("a", "b")
+    links = fit.join(left, "a").join(right, "b").where(100 * common >= PERCENT * (F.col("na") + F.col("nb") - common)).select("u", "v")
     # Long lists' candidates: blocks of a group, each pair of blocks by itself.
-    blocks = stash(hot.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "blocks")
+    count = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES))
+    blocks = stash(hot.join(members.select("cls", "n"), "cls").groupBy("grp").agg(count.alias("blocks")), "blocks")
     dealt = members.join(hot, "cls").join(blocks, "grp").withColumn("blk", F.pmod(F.xxhash64("cls"), F.col("blocks")))
     cells = dealt.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     cells = cells.select("grp", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "cls", "doc", "shingles")
