@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
-FLAGSHIP = ""
+from knowmill.plans import graph_queries, text_queries  # noqa: F401  registers
+from knowmill.plans.registry import ORACLE, QUERIES
+
+FLAGSHIP = "hybrid_retrieval"
+__all__ = ["FLAGSHIP", "ORACLE", "QUERIES"]
