@@ -3,10 +3,11 @@
 Two documents link when 100 * |A and B| >= 75 * |A or B| over their sets of distinct five-word shingles (a shorter
 text is one shingle). Equal sets form a class; the join runs between classes.
 
-Inverted lists are divided: shingles that many documents hold are long lists, ordered last. A set of n shingles needs
-T = ceil(0.75 n) common ones, so leaving out its T - 1 last shingles (its longest lists) still leaves one hit in the
-short lists: these are shuffled and merged, and candidates are completed by binary probes into the other's set. Which
-lists count as long only steers the work: any order shared by all gives the same links.
+Inverted lists are divided: shingles that many documents hold are long lists, ordered last. Two sets need T common
+shingles, T = ceil(0.75 n) for the set of n at least, so a set may leave out its T - h last ones (its longest lists) and
+still meets each partner in h = max(1, n / HITS) of the others: these short lists are shuffled and merged, pairs with too
+few hits are dropped, and candidates are completed by probes into the other's set. Which lists count as long
+only steers the work: any order shared by all gives the same links.
 
 Lists of up to ``LIST`` classes give candidate pairs. Classes that meet in longer lists (large groups of near copies)
 are cut into blocks of bounded size; each pair of blocks is one group that runs the search in memory, merging short lists,
@@ -32,7 +33,7 @@ from .common import components, stash, table
 
 SHINGLE, PERCENT = 5, 75
 #: Longest inverted list that is joined as pairs; classes and shingles of a block; long lists that steer the order, at most.
-LIST, BLOCK, BLOCK_SHINGLES, STEER = 24, 2048, 1_500_000, 1 << 18
+LIST, BLOCK, BLOCK_SHINGLES, STEER, HITS = 24, 2048, 1_500_000, 1 << 18, 16
 PART_BYTES = 4_000_000
 
 
@@ -175,7 +176,7 @@ def postings(docs: DataFrame, long_lists: np.ndarray, buckets: int) -> DataFrame
                     rank = np.where(hashes[at] == values, ranks[at], 0)
                 order = np.lexsort((values, rank, owner))
                 place = np.arange(len(values)) - np.repeat(np.cumsum(counts) - counts, counts)
-                short = counts - (PERCENT * counts + 99) // 100 + 1
+                short = counts - (PERCENT * counts + 99) // 100 + np.maximum(1, counts // HITS)
                 _, one = np.unique(keys, return_index=True)  # equal sets of a part once
                 first = np.zeros(len(keys), dtype=bool)
                 first[one] = True
@@ -195,8 +196,8 @@ def postings(docs: DataFrame, long_lists: np.ndarray, buckets: int) -> DataFrame
 
 
 def merge_lists(packed: DataFrame) -> DataFrame:
-    """Merges the entries of a bucket by shingle: pairs (a, b) from lists of up to LIST classes, and for a longer list
-    its first class with each other (hot)."""
+    """Merges the entries of a bucket by shingle and counts hits: pairs (a, b) from lists of up to LIST classes, and for
+    longer lists (hot) their first class with each of their classes."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         value, key = (np.concatenate(part[c].to_list()) for c in ("shingles", "classes"))
@@ -217,13 +218,13 @@ def merge_lists(packed: DataFrame) -> DataFrame:
                 break
             found.append(np.stack([key[i], key[i + d]]))
         pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), dtype=np.int64)
-        pairs = np.unique(np.sort(pairs, axis=0), axis=1)
+        pairs, hits = np.unique(np.sort(pairs, axis=0), axis=1, return_counts=True)
         (hot,) = np.nonzero(~small)
-        stars = np.unique(np.stack([key[heads[owner[hot]]], key[hot]]), axis=1)
+        stars, more = np.unique(np.stack([key[heads[owner[hot]]], key[hot]]), axis=1, return_counts=True)
         both = np.concatenate([pairs, stars], axis=1)
-        return pd.DataFrame({"a": both[0], "b": both[1], "hot": np.arange(both.shape[1]) >= pairs.shape[1]})
+        return pd.DataFrame({"a": both[0], "b": both[1], "hot": np.arange(both.shape[1]) >= pairs.shape[1], "hits": np.concatenate([hits, more])})
 
-    return packed.groupBy("bucket").applyInPandas(run, "a long, b long, hot boolean")
+    return packed.groupBy("bucket").applyInPandas(run, "a long, b long, hot boolean, hits long")
 
 
 def divide_skip(lists: list[np.ndarray], members: int, need: int) -> tuple[np.ndarray, np.ndarray]:
@@ -293,14 +294,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ranks = np.arange(len(steer), 0, -1)
     order = np.argsort(hashes)
     long_lists = np.rec.fromarrays([hashes[order], ranks[order]], names="h,rank")
-    classes = stash(sets.where("cls <> 0").groupBy("cls").agg(F.min("doc_id").alias("doc")), "classes")
+    classes = stash(sets.where("cls <> 0").groupBy("cls").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n")), "classes")
     buckets = max(256, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     merged = stash(merge_lists(postings(docs, long_lists, buckets)), "merged")
-    pairs = merged.where("not hot").select("a", "b").distinct()
-    stars = merged.where("hot").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    hot = stash(components(stars), "hot").toDF("cls", "grp")
+    # A class may have hits in long lists too: in how many of its own it stands bounds those with any partner.
+    long_hits = merged.where("hot").groupBy(F.col("b").alias("cls")).agg(F.sum("hits").alias("h"))
+    sized = stash(classes.join(long_hits, "cls", "left").select("cls", "doc", "n", F.coalesce("h", F.lit(0)).alias("h")), "sized")
+    need = lambda n: F.greatest(F.lit(1), F.floor(n / HITS))
+    pairs = merged.where("not hot").groupBy("a", "b").agg(F.sum("hits").alias("hits"))
+    pairs = pairs.join(sized.select("cls", "n", "h").toDF("a", "na", "ha"), "a").join(sized.select("cls", "n", "h").toDF("b", "nb", "hb"), "b")
+    enough = F.col("hits") + F.least("ha", "hb") >= F.least(need(F.col("na")), need(F.col("nb")))
+    pairs = stash(pairs.where(enough & (100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))).select("a", "b"), "pairs")
+    # Pairs without a hit in short lists have all in long ones; the smaller set's need is at least 0.75 of the larger's.
+    alive = sized.where((F.col("h") > 0) & (F.col("h") >= F.floor(0.75 * F.col("n") / HITS))).select("cls")
+    stars = merged.where("hot").join(alive, F.col("b") == F.col("cls"), "left_semi").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    hot = stash(components(stars), "hot").toDF("cls", "grp").join(alive, "cls", "left_semi")
     # Sets of classes in any candidate, from the texts of their first documents.
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).union(hot.select("cls")).distinct().join(classes, "cls")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).union(hot.select("cls")).distinct().join(classes.select("cls", "doc"), "cls")
     texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("doc")).select("doc", "text", "cls")
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,9 +324,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     left = members.select(F.col("cls").alias("a"), F.col("doc").alias("u"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
     right = members.select(F.col("cls").alias("b"), F.col("doc").alias("v"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
-    small = members.select("cls", "n")
-    fit = pairs.join(small.toDF("a", "na"), "a").join(small.toDF("b", "nb"), "b").where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").select("a", "b")
-    links = fit.join(left, "a").join(right, "b").where(100 * common >= PERCENT * (F.col("na") + F.col("nb") - common)).select("u", "v")
+    links = pairs.join(left, "a").join(right, "b").where(100 * common >= PERCENT * (F.col("na") + F.col("nb") - common)).select("u", "v")
     # Long lists' candidates: blocks of a group, each pair of blocks by itself.
     count = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES))
     blocks = stash(hot.join(members.select("cls", "n"), "cls").groupBy("grp").agg(count.alias("blocks")), "blocks")
