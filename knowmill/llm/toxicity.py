@@ -154,7 +154,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
         train = docs.join(F.broadcast(spark.createDataFrame(rows, "doc_id long, toxic int")), "doc_id")
         lexicon = Lexicon(learn_lexicon(train, n_toxic, len(rows) - n_toxic))
         got = _featured(train, lexicon, "toxic", "int").collect()  # bounded by MAX_TRAIN
-        coefficients = fit_logistic(np.array([(r["x1"], r["x2"]) for r in got]), np.array([r["toxic"] for r in got]))
+        if 0 < sum(r["toxic"] for r in got) < len(got):
+            coefficients = fit_logistic(np.array([(r["x1"], r["x2"]) for r in got]), np.array([r["toxic"] for r in got]))
     a, b, c = map(float, coefficients)
     scored = _featured(docs, lexicon, "doc_id", "long")
     return scored.select("doc_id", (1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.col("x1") + F.lit(c) * F.col("x2"))))).alias("score"))
