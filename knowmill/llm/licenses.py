@@ -2,8 +2,8 @@
 
 ``rules()`` spells out some hundreds of signatures: for each license its names, and for each kind of notice the
 forms in which that name appears. A text is first gated by keywords; only texts that pass are normalised to
-words joined by single spaces and matched. Among overlapping detections the rule of higher priority stays, and a
-detection whose words lie inside another's is suppressed.
+words joined by single spaces and matched. A detection whose words lie inside a longer one's is suppressed; where two
+overlap otherwise, the one of the rule of higher priority stays (then the longer, the earlier, the lesser label).
 
 Null texts count as empty: no words, no labels, score 0. Whole texts are searched.
 """
@@ -81,6 +81,13 @@ def _pattern(priority_rules: list[tuple[int, str, str]], label: str) -> str:
     return "(?<= )(?:" + "|".join(p for _, p, x in priority_rules if x == label) + ")(?= )"
 
 
+def _priority(hit: Column, label: str) -> Column:
+    """The priority of the first of the label's rules that a hit fits."""
+    tiers = sorted({k for k, _, x in rules() if x == label})
+    fits = [hit.rlike("^(?:" + "|".join(p for n, p, x in rules() if x == label and n == k) + ")$") for k in tiers]
+    return F.coalesce(*[F.when(f, k) for f, k in zip(fits, tiers, strict=True)], F.lit(tiers[-1]))
+
+
 def _spans(spans: Column, label: str) -> Column:
     """Hits with their first and past-the-end words. A hit starts after the words of all gaps and hits before
     it, a gap's text ending with a space."""
@@ -89,16 +96,16 @@ def _spans(spans: Column, label: str) -> Column:
     def step(a: Column, x: Column) -> Column:
         start = a["at"] + x["gap"]
         end = start + words(x["hit"])
-        one = F.struct(F.lit(label).alias("label"), start.alias("start"), (end + 1).alias("end"))
+        one = F.struct(F.lit(label).alias("label"), start.alias("start"), (end + 1).alias("end"), _priority(x["hit"], label).alias("priority"))
         return F.struct(end.alias("at"), F.concat(a["out"], F.array(one)).alias("out"))
 
-    first = F.struct(F.lit(-1).alias("at"), F.array().cast("array<struct<label:string,start:int,end:int>>").alias("out"))
+    first = F.struct(F.lit(-1).alias("at"), F.array().cast("array<struct<label:string,start:int,end:int,priority:int>>").alias("out"))
     return F.aggregate(spans, first, step)["out"]
 
 
 def detect(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_words, n_base, first_word, last_word (long), base_labels, labels (string), score (double) and
-    detections (array of label, start and end word)."""
+    detections (array of label, start and end word, priority)."""
     every = rules()
     t = F.coalesce(F.col(text), F.lit(""))
     # One pass lower-cases A-Z and turns all that stands between words into spaces.
@@ -111,8 +118,8 @@ def detect(df: DataFrame, text: str = "text") -> DataFrame:
     any_base = "(?<= )(?:" + "|".join(BASE) + ")(?= )"
     df = df.withColumn("n_base", F.coalesce(reduce(lambda a, b: a + b, base.values()), F.lit(0)).cast("long"))
     words_before = lambda s: F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit(""))) - 1
-    first = F.regexp_extract("_n", f"^(.*?){any_base}", 1)
-    last = F.regexp_extract("_n", f"^(.*){any_base}", 1)
+    first = F.regexp_extract("_n", f"(?s)^(.*?){any_base}", 1)
+    last = F.regexp_extract("_n", f"(?s)^(.*){any_base}", 1)
     df = df.withColumn("first_word", F.when(F.col("n_base") > 0, words_before(first)).cast("long"))
     df = df.withColumn("last_word", F.when(F.col("n_base") > 0, words_before(last)).cast("long"))
     joined = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
@@ -127,8 +134,10 @@ def detect(df: DataFrame, text: str = "text") -> DataFrame:
         found.append(F.when(F.size(hits) > 0, _spans(spans, label)))
     df = df.withColumn("_all", F.when(F.col("_any"), F.flatten(F.array_compact(F.array(*found)))))
     inside = lambda a, b: (b["start"] <= a["start"]) & (a["end"] <= b["end"]) & ((b["end"] - b["start"]) > (a["end"] - a["start"]))
-    stay = F.filter("_all", lambda a: ~F.exists("_all", lambda b: inside(a, b)))
-    df = df.withColumn("detections", F.coalesce(stay, F.array().cast("array<struct<label:string,start:int,end:int>>")))
+    place = lambda a: F.struct(a["priority"], a["start"] - a["end"], a["start"], a["label"])
+    crossing = lambda a, b: (b["start"] < a["end"]) & (a["start"] < b["end"]) & ~inside(b, a) & (place(b) < place(a))
+    stay = F.filter("_all", lambda a: ~F.exists("_all", lambda b: inside(a, b) | crossing(a, b)))
+    df = df.withColumn("detections", F.coalesce(stay, F.array().cast("array<struct<label:string,start:int,end:int,priority:int>>")))
     df = df.withColumn("base_labels", joined(F.col("_base")))
     df = df.withColumn("labels", joined(F.concat("_base", F.transform("detections", lambda d: d["label"]))))
     covered = F.aggregate("detections", F.lit(0), lambda a, d: a + d["end"] - d["start"])
