@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from knowmill.plans import graph_queries, text_queries  # noqa: F401  registers
+from knowmill.plans import audit_queries, graph_queries, text_queries  # noqa: F401  registers
 from knowmill.plans.registry import ORACLE, QUERIES
 
 FLAGSHIP = "hybrid_retrieval"

@@ -94,3 +94,10 @@ def generic_name(name: Column) -> Column:
     """True for placeholder, short and punctuation-only names."""
     low = F.lower(F.trim(name))
     return (F.length(low) < 3) | low.isin("unknown", "none", "n/a", "entity", "other", "misc") | low.rlike(r"^(the|a|this) [a-z]{1,3}$") | ~low.rlike(r"\p{L}")
+
+
+def time_label(seconds: Column) -> Column:
+    """Whole seconds as MM:SS, with hours in front where there are any."""
+    two = lambda c: F.lpad(F.floor(c).cast("string"), 2, "0")
+    hours = F.when(seconds >= 3600, F.concat(two(seconds / 3600), F.lit(":"))).otherwise("")
+    return F.concat(hours, two(F.pmod(F.floor(seconds / 60), F.lit(60))), F.lit(":"), two(F.pmod(seconds, F.lit(60))))
