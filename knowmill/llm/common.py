@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,8 +25,17 @@ def lower_ascii(c: Column) -> Column:
 
 
 def crc_mod(c: Column, n: int) -> Column:
-    """crc32 of the value as text, modulo n."""
-    return F.crc32(c.cast("string")) % n
+    """crc32 of the value as text (null: empty), modulo n."""
+    return F.crc32(F.coalesce(c.cast("string"), F.lit(""))) % n
+
+
+def with_text(docs: DataFrame, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """docs with ``text`` as ``change`` leaves it (and n_chars to match); the other columns are set aside meanwhile, so
+    that none of them clashes with a column that ``change`` adds."""
+    aside = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_aside")
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast(dict(docs.dtypes).get("n_chars", "long"))}
+    out = change(docs.select("text", aside))
+    return out.select(*[(new[c] if c in new else F.col("_aside")[c]).alias(c) for c in docs.columns])
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -14,8 +14,9 @@ are cut into blocks of bounded size; each pair of blocks is one group that runs
 probing long ones and skipping classes that links already join, so no pair of a group becomes a row. Components come
 from Spark jobs. Nothing is sampled or capped.
 
-Null or empty texts have no shingles and link with nothing; equal texts always link; doc_id must be unique. Shingles
-are compared by 64-bit hashes of their words.
+Null or empty texts have no shingles and link with nothing; equal texts always link; doc_id must be unique, rows that
+repeat one are returned as often and stay or go together. A document without doc_id gets the component of a document with
+the same set, else null. Shingles are compared by 64-bit hashes of their words.
 """
 
 from __future__ import annotations
@@ -127,24 +128,24 @@ def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType | None = No
 
 
 def measure_sets(docs: DataFrame) -> DataFrame:
-    """A row for each document (doc_id, n, cls), and rows (doc_id null, cls = shingle, n) that count shingles found in
+    """A row for each document (doc_id, n, cls), and rows (often, cls = shingle, n) that count shingles found in
     more than one document of a part of the input, which is where long lists show."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "cls"]
+        names = ["doc_id", "n", "cls", "often"]
         kept: list[np.ndarray] = []
 
         def often() -> pa.RecordBatch:
             seen, times = np.unique(np.concatenate(kept), return_counts=True)
             seen, times = seen[times > 1], times[times > 1]
             kept.clear()
-            return pa.RecordBatch.from_arrays([pa.nulls(len(seen), pa.int64()), pa.array(times, pa.int64()), _signed(seen)], names=names)
+            return pa.RecordBatch.from_arrays([pa.nulls(len(seen), pa.int64()), pa.array(times, pa.int64()), _signed(seen), pa.array(np.ones(len(seen), dtype=bool))], names=names)
 
         for batch in batches:
             for part in _parts(batch):
                 values, counts = shingle_sets(part.column(1))
                 keys = _classes(values, counts)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), _signed(keys)], names=names)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), _signed(keys), pa.array(np.zeros(len(keys), dtype=bool))], names=names)
                 _, one = np.unique(keys, return_index=True)
                 kept.append(values[np.repeat(np.isin(np.arange(len(keys)), one), counts)])
                 if sum(map(len, kept)) > 3_000_000:
@@ -152,7 +153,7 @@ def measure_sets(docs: DataFrame) -> DataFrame:
         if kept:
             yield often()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, cls long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, cls long, often boolean")
 
 
 def postings(docs: DataFrame, long_lists: np.ndarray, buckets: int) -> DataFrame:
@@ -287,8 +288,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     doc_id with the same set)."""
     spark = docs.sparkSession
     measured = stash(measure_sets(docs), "sets")
-    sets = measured.where("doc_id is not null")
-    often = measured.where("doc_id is null").groupBy("cls").agg(F.sum("n").alias("n")).where("n >= 16")
+    sets = measured.where("not often")
+    often = measured.where("often").groupBy("cls").agg(F.sum("n").alias("n")).where("n >= 16")
     steer = often.orderBy(F.desc("n"), "cls").limit(STEER).toPandas()  # bounded by STEER
     hashes = steer["cls"].to_numpy(dtype=np.int64).view(np.uint64)
     ranks = np.arange(len(steer), 0, -1)
@@ -343,6 +344,6 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: the one with the least doc_id."""
+    """One document of each component stays: the one with the least doc_id. Documents without doc_id stay."""
     first = near_duplicates(docs).where("doc_id = component_id").select("doc_id")
-    return docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+    return docs.join(first, "doc_id", "left_semi").select(*docs.columns).union(docs.where("doc_id is null"))

@@ -8,7 +8,8 @@ When a source runs out, the others keep their order, which keeps their relative
 
 All rows stay: weights order the output and never drop or repeat rows. Null sources form a source of their own. Sources
 without a target share what the targets leave, at least one part each. Order within a source is that of a hash of the
-id. Empty tables give no rows; extra columns stay.
+id; null and repeated ids are mixed like others. Empty tables give no rows; extra columns stay, but for those named as
+the added ones.
 """
 
 from __future__ import annotations
@@ -87,7 +88,7 @@ def mix(df: DataFrame, targets: dict[str, float] | None = None, source: str = "s
     spare = max(0.0, 1 - sum(w for w in weights.values() if w))
     weights |= {k: spare / len(rest) for k in rest}
     if not names:
-        return df.select("*", *[F.lit(None).cast("long").alias(c) for c in ("mix_block", "mix_slot", "mix_position")])
+        return df.withColumns({c: F.lit(None).cast("long") for c in ("mix_block", "mix_slot", "mix_position")})
     parts = whole_parts({i: weights[k] for k, i in names.items()}, period)
     plan = spark.createDataFrame([(s, i, slot, parts[s]) for s, i, slot in pfair(parts)], "_s int, _i long, _slot long, _parts long")
     ids = spark.createDataFrame([(k, i) for k, i in names.items()], f"_name {dict(df.dtypes)[source]}, _s int")
@@ -106,8 +107,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, written in the order of the mix: files hold ranges of positions, sorted."""
+    """All documents, written in the order of the mix: files hold ranges of positions, sorted. Rows that repeat an id
+    stand together."""
     names = docs.columns
     order = stash(mix(docs.select("doc_id", "source")).select("doc_id", "mix_position"), "mix")
+    order = order.groupBy(F.col("doc_id").alias("_id")).agg(F.min("mix_position").alias("_at"))
     parts = max(1, docs.count() // 10_000)
-    return docs.join(order, "doc_id").repartitionByRange(parts, "mix_position").sortWithinPartitions("mix_position").select(*names)
+    placed = docs.join(order, F.col("doc_id").eqNullSafe(F.col("_id")))
+    return placed.repartitionByRange(parts, "_at").sortWithinPartitions("_at").select(*names)

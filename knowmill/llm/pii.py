@@ -6,7 +6,8 @@ valid check digits, IPv4 octets stay in range, and dates are permuted within the
 (146,097 days) and written in the format they had. Numbers that fail their check are no personal data and stay. Mail addresses and secrets take
 keyed tokens of their own alphabet.
 
-Null texts stay null; empty texts stay empty; texts without personal data are returned unchanged. Extra columns stay.
+Null texts stay null; empty texts stay empty; texts without personal data are returned unchanged. Extra columns stay, but
+n_pii takes the place of a column of that name.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, with_text
 
 ROUNDS = 8
 #: Production callers pass their own key; this one is for tests and the registered query.
@@ -161,5 +162,5 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    names = docs.columns
-    return pseudonymise(docs).withColumn("n_chars", F.length("text").cast("long")).select(*names)
+    """All documents, with pseudonyms in their texts; columns that clash with n_pii stay."""
+    return with_text(docs, pseudonymise)

@@ -5,7 +5,7 @@ missing end punctuation on a list-like line, and exact repeats of an earlier lin
 a document that loses more than ``max_loss`` of its word characters, or fails the base rule, is rejected.
 
 Null texts count as empty and are rejected (no words). Extra columns stay; the operators add only
-the columns they name. All counts are taken over whole texts.
+the columns they name, in place of columns of these names (the stage keeps those of its input). All counts are taken over whole texts.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, table
+from .common import SPACE, WORD, table, with_text
 
 SYMBOL = r"[#*$%&|<>]"
 #: Phrases that mark a line as boilerplate.
@@ -93,7 +93,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, with the failing lines taken out of their texts."""
-    names = docs.columns
-    # The row number keeps the filter above the measures, whose expressions it would otherwise repeat many times.
-    kept = measure(docs).withColumn("_row", F.monotonically_increasing_id()).where("kept and _row >= 0")
-    return kept.withColumn("text", F.col("clean_text")).withColumn("n_chars", F.length("text").cast("long")).select(*names)
+
+    def clean(df: DataFrame) -> DataFrame:
+        # The row number keeps the filter above the measures, whose expressions it would otherwise repeat many times.
+        kept = measure(df).withColumn("_row", F.monotonically_increasing_id()).where("kept and _row >= 0")
+        return kept.withColumn("text", F.col("clean_text"))
+
+    return with_text(docs, clean)

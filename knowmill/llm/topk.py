@@ -5,7 +5,7 @@ bounded size; each pair of blocks is one group that scatters, term by term, the
 the term's postings into a dense integer score array (terms with weight 0 are skipped), selects each query's best rows
 by partition, and returns at most k rows a query. A last step merges the blocks' selections.
 
-Rows whose vector is null, or holds a null or non-finite component, take no part; components missing from a shorter
+Rows without vec_id, and rows whose vector is null or holds a null or non-finite component, take no part; components missing from a shorter
 vector weigh 0. Equal scores go to the smaller id. Empty tables give no rows.
 """
 
@@ -22,7 +22,7 @@ from .common import table
 def to_postings(df: DataFrame, vec: str = "embedding", scale: int = 256) -> DataFrame:
     x = F.transform(F.col(vec), lambda v: v.cast("double"))
     fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    return df.where(F.col(vec).isNotNull() & fine).withColumn("w", F.transform(x, lambda v: F.floor(v * scale).cast("long")))
+    return df.where(F.col("vec_id").isNotNull() & F.col(vec).isNotNull() & fine).withColumn("w", F.transform(x, lambda v: F.floor(v * scale).cast("long")))
 
 
 def _accumulate(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:

@@ -6,7 +6,8 @@ url without fragment and tracking parameters. In a class an explicit allow prece
 allowed. Components are found by Spark jobs; nothing is collected.
 
 A null url, or one without ``://``, has an empty host and path, fits no rule and has no aliases. Null html has no links.
-Pages with equal urls share a class. Extra columns stay.
+Pages with equal urls share a class. Extra columns stay, but
+for those named as the added ones.
 """
 
 from __future__ import annotations
@@ -63,10 +64,11 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFr
     named_host, named_path = host_path(F.col("node"))
     _, named = rule_for(named_host, named_path, rules)
     decided = aliases.withColumn("own", named).groupBy("component").agg(F.max(F.col("own") == "allow").alias("allow"), F.max(F.col("own") == "block").alias("block"))
-    classes = stash(aliases.join(decided, "component"), "classes").withColumnRenamed("component", "alias")
-    out = pages.join(classes, pages["url"] == classes["node"], "left").drop("node")
-    by_class = F.when(F.col("allow"), "allow").when(F.col("block"), "block").otherwise("allow")
-    return out.withColumn("verdict", F.coalesce("_own", by_class)).drop("_own", "allow", "block")
+    classes = stash(aliases.join(decided, "component"), "classes").toDF("_alias", "_node", "_allow", "_block")
+    out = pages.join(classes, pages["url"] == classes["_node"], "left")
+    by_class = F.when(F.col("_allow"), "allow").when(F.col("_block"), "block").otherwise("allow")
+    out = out.withColumn("verdict", F.coalesce("_own", by_class)).withColumn("alias", F.col("_alias"))
+    return out.drop("_own", "_node", "_alias", "_allow", "_block")
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

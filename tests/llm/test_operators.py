@@ -195,3 +195,41 @@ def test_lm(docs, none):
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(seen[w] > 0 for w in t), n)
         assert math.isclose(r.base_score, sum(math.log10((seen[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t), rel_tol=1e-9) and r.score < 0
     assert lm.score(none.withColumn("train", F.lit(True))).count() == 0
+
+
+@pytest.fixture(scope="module")
+def odd(docs):
+    """Rows with null and repeated ids, nulls in every column, and columns named like those that operators add."""
+    more = docs.where("doc_id in (9, 10, 16)").withColumn("doc_id", F.lit(None).cast("long"))
+    every = docs.union(more).union(docs.where("doc_id = 9")).union(docs.select(*[F.lit(None).cast(t).alias(c) for c, t in docs.dtypes]))
+    extra = ("n_words", "kept", "labels", "score", "n_pii", "component_id", "mix_slot", "verdict", "alias", "allow", "word", "rank", "block")
+    return every.drop("n").withColumns({c: F.lit("x") for c in extra}).cache()
+
+
+def test_odd_rows_in_operators(odd):
+    n = odd.count()
+    assert quality.measure(odd).count() == pii.pseudonymise(odd).count() == licenses.detect(odd).count() == n
+    got = jaccard.near_duplicates(odd).collect()
+    assert len(got) == n and {r.component_id for r in got if r.doc_id is None and r.n_shingles == 196} == {9}
+    assert lm.score(odd.withColumn("train", F.col("doc_id") % 2 == 1)).count() == n
+    assert toxicity.score(odd, odd.select("doc_id", F.lit(None).cast("int").alias("toxic"))).count() == n
+    assert mixing.mix(odd, block=2, period=10).select("mix_position").distinct().count() == n
+    assert packing.cut_documents(odd).where("start = 0").count() == n
+    pieces = packing.pack(packing.cut_documents(odd))
+    assert pieces.select("sequence_id", "offset").distinct().count() == packing.cut_documents(odd).count()
+    pages = odd.select(F.col("doc_id").alias("page_id"), F.concat(F.lit("http://a.net/"), "doc_id").alias("url"), F.col("text").alias("html"), "alias", "allow", "verdict", "block")
+    assert urls.judge(pages).select("verdict", "alias", "allow", "block").where("allow = 'x' and block = 'x' and verdict = 'allow'").count() == n
+    vectors = odd.select(F.col("doc_id").alias("vec_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("embedding"), "rank", "score")
+    assert topk.to_postings(vectors).count() == odd.where("doc_id is not null").count()
+
+
+def test_odd_rows_in_stages(spark, odd):
+    docs = odd.withColumn("n_chars", F.length("text"))
+    for stage in (quality.stage_quality, jaccard.stage_near_duplicates, pii.stage_pii, mixing.stage_mixing):
+        out = stage(spark, docs, "")
+        assert out.dtypes == docs.dtypes
+        rows = out.collect()
+        assert rows and all(r.kept == r.n_words == r.n_pii == "x" for r in rows)
+        assert stage(spark, docs.limit(0), "").count() == 0
+    assert mixing.stage_mixing(spark, docs, "").count() == pii.stage_pii(spark, docs, "").count() == docs.count()
+    assert packing.stage_packing(spark, docs, "").select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
