@@ -58,17 +58,23 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def rank_in_group(df: DataFrame, key: str, order: str, name: str, rows_per_cell: int = 1_000) -> DataFrame:
-    """Adds ``name``: the row's rank from 0 among the rows of its key, in the order of a hash of ``order``
-    and then ``order`` itself (which is unique within a key). A key may hold most of the rows: each key
-    is cut into ranges of the hash, ranked on their own, and the sizes of earlier ranges are added."""
+def rank_in_group(df: DataFrame, key: str, order: str, name: str, rows_per_cell: int = 1_000, at: str | None = None) -> DataFrame:
+    """Adds ``name``: the row's rank from 0 among the rows of its key, in the order of ``at`` (a number that is spread
+    over its range; without it, a hash of ``order``) and then ``order`` itself (which is unique within a key). A key may
+    hold most of the rows: each key is cut into ranges, ranked on their own, and the sizes of earlier ranges are added."""
     cells = min(max(1, df.count() // rows_per_cell), 20_000)
-    cell = F.floor((F.xxhash64(order).cast("double") / 2.0**64 + 0.5) * cells).cast("int")
+    if at is None:
+        first = F.xxhash64(order)
+        cell = F.floor((first.cast("double") / 2.0**64 + 0.5) * cells).cast("int")
+    else:
+        first = F.col(at)
+        top = df.agg(F.max(at)).first()[0] or 0
+        cell = F.floor(first.cast("double") / (top + 1) * cells).cast("int")
     df = df.withColumn("_cell", F.least(cell, F.lit(cells - 1)))
     sizes = df.groupBy(key, "_cell").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(key).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(key, "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    here = Window.partitionBy(key, "_cell").orderBy(F.xxhash64(order), order)
+    here = Window.partitionBy(key, "_cell").orderBy(first, order)
     ranked = df.withColumn("_row", F.row_number().over(here).cast("long") - 1)
     same = F.col("a._cell").eqNullSafe(F.col("b._cell")) & F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}"))
     out = ranked.alias("a").join(starts.alias("b"), same)

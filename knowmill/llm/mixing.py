@@ -106,11 +106,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs).select("doc_id", "source", "mix_block", "mix_slot", "mix_position")
 
 
-def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, written in the order of the mix: files hold ranges of positions, sorted. Rows that repeat an id
-    stand together."""
+def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str, targets: dict[str, float] | None = None) -> DataFrame:
+    """All documents, written in the order of the mix: files hold ranges of positions, sorted, and packing takes the
+    documents in this order. Rows that repeat an id stand together."""
     names = docs.columns
-    order = stash(mix(docs.select("doc_id", "source")).select("doc_id", "mix_position"), "mix")
+    order = stash(mix(docs.select("doc_id", "source"), targets).select("doc_id", "mix_position"), "mix")
     order = order.groupBy(F.col("doc_id").alias("_id")).agg(F.min("mix_position").alias("_at"))
     parts = max(1, docs.count() // 10_000)
     placed = docs.join(order, F.col("doc_id").eqNullSafe(F.col("_id")))

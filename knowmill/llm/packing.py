@@ -4,7 +4,8 @@ Documents are tokenised in tasks and cut: full pieces of ``size`` tokens are seq
 document is one piece. Only the histogram of rest lengths (at most ``size`` numbers) reaches the driver. There lengths
 are placed longest first, each into the packs with the least room left to spare that still fits, which updates counts of packing
 patterns instead of single packs. The patterns go back to the pieces by rank: the r-th piece of a length takes the
-r-th slot that the patterns hold for this length.
+r-th slot that the patterns hold for this length. In the pipeline pieces rank by the place of their document in the mix
+and sequences are numbered by their first piece's place; else hashes of the pieces order them.
 
 Null texts count as empty: one piece with the closing id. Repeated rows are packed as often as they occur if doc_id
 differs; doc_id must be unique. Empty tables give no rows.
@@ -108,17 +109,35 @@ def token_ids(texts: list[str], name: str = "byte_bpe_50k") -> tuple[np.ndarray,
     return np.concatenate(parts) if parts else flat, out
 
 
-def cut_documents(docs: DataFrame, size: int = 1024, tokenizer: str = "byte_bpe_50k", batch_chars: int = 8_000_000) -> DataFrame:
-    """docs: doc_id, text. Returns the pieces, full ones and rests, with a checksum of their ids."""
-
-    def pieces(ids: list[int], texts: list[str]) -> pa.RecordBatch:
+def in_order(docs: DataFrame, name: str = "at") -> DataFrame:
+    """Adds ``name`` (long): the row's place from 0 in the order of the files that docs are read from, and of their rows.
+    Other tables are written first, in the order of their partitions. Files reach the driver with their sizes only."""
+    if docs._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation":
+        docs = stash(docs, "ordered")
+    file, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    number = F.regexp_extract(file, r"part-(\d+)[^/]*$", 1).try_cast("long")
+    sizes = docs.groupBy(file.alias("_file"), number.alias("_number")).agg((F.max(row) + 1).alias("n")).orderBy("_number", "_file").collect()
+    starts, at = [], 0
+    for f in sizes:
+        starts.append((f["_file"], at))
+        at += f["n"]
+    starts = docs.sparkSession.createDataFrame(starts, "_file string, _start long")
+    placed = docs.select("*", file.alias("_file"), row.alias("_row")).join(F.broadcast(starts), "_file")
+    return placed.withColumn(name, F.col("_start") + F.col("_row")).drop("_file", "_row", "_start")
+
+
+def cut_documents(docs: DataFrame, size: int = 1024, tokenizer: str = "byte_bpe_50k", batch_chars: int = 8_000_000, at: str | None = None) -> DataFrame:
+    """docs: doc_id, text. Returns the pieces, full ones and rests, with a checksum of their ids; at: a column of docs that
+    pieces keep."""
+
+    def pieces(ids: list[int], texts: list[str], places: list[list[int]]) -> pa.RecordBatch:
         flat, counts = token_ids(texts, tokenizer)
-        rows, at = [], 0
-        for doc, n in zip(ids, counts.tolist(), strict=True):
-            own = np.append(flat[at : at + n], np.uint32(CLOSE)).astype("<u4").tobytes()
-            at += n
-            rows += [(doc, s, min(size, n + 1 - s), zlib.crc32(own[4 * s : 4 * (s + size)]), n + 1) for s in range(0, n + 1, size)]
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        rows, begin = [], 0
+        for doc, n, *place in zip(ids, counts.tolist(), *places, strict=True):
+            own = np.append(flat[begin : begin + n], np.uint32(CLOSE)).astype("<u4").tobytes()
+            begin += n
+            rows += [(doc, s, min(size, n + 1 - s), zlib.crc32(own[4 * s : 4 * (s + size)]), n + 1, *place) for s in range(0, n + 1, size)]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=[*["doc_id", "start", "length", "ids_crc32", "doc_tokens"], *kept])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,9 +146,11 @@ def cut_documents(docs: DataFrame, size: int = 1024, tokenizer: str = "byte_bpe_
             for part in np.split(np.arange(len(ids)), np.searchsorted(sizes, np.arange(batch_chars, sizes[-1] if len(sizes) else 0, batch_chars))):
                 if len(part):
                     texts = batch.column(1).slice(part[0], len(part)).to_pylist()
-                    yield pieces(ids[part[0] : part[-1] + 1], [t or "" for t in texts])
+                    places = [c.slice(part[0], len(part)).to_pylist() for c in batch.columns[2:]]
+                    yield pieces(ids[part[0] : part[-1] + 1], [t or "" for t in texts], places)
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    kept = [at] if at else []
+    return docs.select("doc_id", "text", *kept).mapInArrow(run, ", ".join([PIECES, *[f"{c} long" for c in kept]]))
 
 
 def pack_histogram(histogram: dict[int, int], size: int = 1024) -> list[tuple[int, list[int]]]:
@@ -169,37 +190,41 @@ def _put(open_: dict, rooms: list[int], room: int, count: int, pattern: list[int
     open_.setdefault(room, []).append((count, pattern))
 
 
-def pack(pieces: DataFrame, size: int = 1024) -> DataFrame:
-    """Adds sequence_id (gapless from 0) and offset to pieces; full pieces come first."""
+def pack(pieces: DataFrame, size: int = 1024, at: str | None = None) -> DataFrame:
+    """Adds sequence_id (gapless from 0) and offset to pieces; full pieces come first, or with the column ``at`` pieces
+    of a length and sequences go by it."""
     spark = pieces.sparkSession
     pieces = stash(pieces, "pieces")
     counts = dict(pieces.groupBy("length").count().collect())  # at most ``size`` rows
     patterns = pack_histogram(counts, size)
     slots, ranks, sequence = [], dict.fromkeys(counts, 0), 0
     for count, lengths in patterns:
-        at = 0
+        filled = 0
         groups: list[tuple[int, list[int]]] = []  # equal lengths follow each other
         for x in lengths:
             if groups and groups[-1][0] == x:
-                groups[-1][1].append(at)
+                groups[-1][1].append(filled)
             else:
-                groups.append((x, [at]))
-            at += x
+                groups.append((x, [filled]))
+            filled += x
         for x, offsets in groups:
             m = len(offsets)
             slots.append((x, ranks[x], ranks[x] + count * m, sequence, m, offsets[0]))
             ranks[x] += count * m
         sequence += count
     cells = spark.createDataFrame(slots or [(0, 0, 0, 0, 1, 0)], "slot_length long, rank_from long, rank_to long, first_sequence long, per_sequence long, first_offset long")
-    ranked = rank_in_group(pieces.withColumn("_id", F.struct("doc_id", "start")), "length", "_id", "_rank").drop("_id")
+    ranked = rank_in_group(pieces.withColumn("_id", F.struct("doc_id", "start")), "length", "_id", "_rank", at=at).drop("_id")
     # The slots are bounded by the number of lengths, so this side is small at any size of input.
     out = ranked.join(F.broadcast(cells), (F.col("length") == F.col("slot_length")) & (F.col("_rank") >= F.col("rank_from")) & (F.col("_rank") < F.col("rank_to")))
     k = F.col("_rank") - F.col("rank_from")
-    return (
-        out.withColumn("sequence_id", F.col("first_sequence") + F.floor(k / F.col("per_sequence")))
-        .withColumn("offset", F.col("first_offset") + k % F.col("per_sequence") * F.col("length"))
-        .select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
-    )
+    out = out.withColumn("sequence_id", F.col("first_sequence") + F.floor(k / F.col("per_sequence")))
+    out = out.withColumn("offset", F.col("first_offset") + k % F.col("per_sequence") * F.col("length"))
+    if at:
+        out = stash(out.drop("_rank", *cells.columns), "packed")
+        first = stash(out.groupBy("sequence_id").agg(F.min(at).alias("_at")).withColumn("_all", F.lit(0)), "sequences")
+        named = rank_in_group(first, "_all", "sequence_id", "_number", rows_per_cell=100, at="_at").select("sequence_id", "_number")
+        out = out.join(named, "sequence_id").withColumn("sequence_id", F.col("_number"))
+    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,4 +232,5 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(cut_documents(docs))
+    """Pieces of all documents, ranked by the order of the files that the mix has written."""
+    return pack(cut_documents(in_order(docs), at="at"), at="at")
