@@ -49,7 +49,9 @@ def line_fails(line: Column, marked: Column) -> Column:
     n = F.regexp_count(line, F.lit(WORD))
     navigation = (n >= 4) & (F.regexp_count(line, F.lit(r"(?<= )[|>](?= )")) * 4 > n)
     noise = (n >= 3) & (F.regexp_count(line, F.lit(SYMBOL + "+")) * 3 > n)
-    shouting = ~line.rlike(r"\p{Ll}") & line.rlike(r"\p{Lu}{2}") & (n >= 3)
+    # Most letters must be capitals: a line in a script without case may name an acronym.
+    capitals = F.regexp_count(line, F.lit(r"\p{Lu}")) * 2 > F.regexp_count(line, F.lit(r"\p{L}"))
+    shouting = ~line.rlike(r"\p{Ll}") & line.rlike(r"\p{Lu}{2}") & (n >= 3) & capitals
     ended = F.substring(F.rtrim(line), -1, 1).isin(*".!?…:;,\"'»”’)]")
     listing = ~ended & (F.regexp_count(line, F.lit(r"[|/•·›»,]")) * 3 > n) & (n >= 6)
     lower = F.lower(line)

@@ -4,7 +4,7 @@ import collections
 
 from pyspark.sql import functions as F
 
-from knowmill.llm import mixing, packing
+from knowmill.llm import mixing, packing, quality
 from knowmill.llm.common import stash
 
 
@@ -37,3 +37,11 @@ def test_sequences_follow_the_first_piece(spark):
         first[r.sequence_id] = min(first[r.sequence_id], place[r.doc_id])
     assert [first[k] for k in range(len(first))] == sorted(first.values())
     assert {(r.doc_id, r.start) for r in got} == {(r.doc_id, r.start) for r in packing.cut_documents(docs).select("doc_id", F.col("start")).collect()}
+
+
+def test_caseless_line_with_acronym_is_no_shouting(spark):
+    korean = " ".join(f"문서{chr(0xAC00 + i)}" for i in range(60)) + " API 설명서."
+    data = [(1, korean), (2, "BUY IT NOW OR CALL US 한국"), (3, "한국 문서 NASA")]
+    got = {r.doc_id: r for r in quality.measure(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert (got[1].kept, got[1].clean_text, got[3].clean_text) == (True, korean, "한국 문서 NASA")
+    assert got[2].clean_text == ""
