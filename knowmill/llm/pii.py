@@ -22,16 +22,35 @@ from .common import table, with_text
 ROUNDS = 8
 #: Production callers pass their own key; this one is for tests and the registered query.
 KEY = "knowmill-demo-key"
+#: Lengths of IBANs by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+#: A country's IBAN ends at its length, so that a following token is no part of it; other countries' end where the code does.
+IBAN = "|".join(
+    [rf"(?:{c.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") + r"\b" for n, c in IBAN_LENGTHS.items()]
+    + [r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"]
+)
+#: Phone numbers: groups of three and four digits; in pairs; an area code and one group; without gaps.
+PHONES = (
+    r"(?<![\w.+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\w)",
+    r"(?<![\w.+])(?<!\d[ -])(?:(?:\+|00)\d{1,3}[ .-]?(?:\(0\)[ .-]?)?[1-9]|0[1-9])(?:(?: \d{2}){4}|(?:\.\d{2}){4}|(?:-\d{2}){4})(?![ .-]?\d|\w)",
+    r"(?<![\w.+])(?<!\d[ -])(?:(?:\+|00)\d{1,3}[ .-]?)?(?:[6-9]\d{2} \d{2}|[6-9]\d \d{3})(?: \d{2}){2}(?! ?\d|\w)",
+    r"(?<![\w.+])(?<!\d[ -])(?:(?:\+|00)\d{1,3}[ .-]?(?:\(0\)[ .-]?)?[1-9]\d{0,4}|\(0\d{1,4}\)|0[1-9]\d{0,3})[ ./-]{1,3}\d{5,8}(?![ .-]?\d|\w)",
+    r"(?<!\w)\+\d{8,15}(?!\w)",
+)
 #: Kinds of personal data, tried in this order.
 KINDS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "secret": r"(?i:\b(?:api[_-]?key|token|secret|password)\s*[=:]\s*[\"']?[A-Za-z0-9_-]{16,})",
     "ipv4": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
-    "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
+    "iban": rf"\b(?=[A-Z]{{2}}\d{{2}})(?:{IBAN})",
     "date": r"(?<![\w.-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\w-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])",
-    "phone": r"(?<![\w.+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\w)|(?<!\w)\+\d{8,15}(?!\w)",
+    "phone": "|".join(PHONES),
 }
 #: Where nothing of this is found, a text holds no personal data.
 GATE = r"@|[0-9][0-9]|(?i:api[_-]?key|token|secret|password)"
@@ -135,9 +154,10 @@ def pseudonym(m: Column, key: str = KEY) -> Column:
         .when(whole(KINDS["secret"]), secret)
         .when(m.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"), ip)
         .when(m.rlike(r"^[A-Z]{2}\d{2}") & iban_ok & (F.length(account) > 3), spaced)
+        .when(m.rlike(r"^[A-Z]{2}\d{2}"), m)
         .when(m.rlike(r"^\d{4}-\d{2}-\d{2}$"), _date(m, "yyyy-MM-dd", key))
         .when(m.rlike(r"^\d{2}\.\d{2}\.\d{4}$"), _date(m, "dd.MM.yyyy", key))
-        .when(m.rlike(r"^\d{2}/\d{2}/\d{4}$"), _date(m, "MM/dd/yyyy", key))
+        .when(m.rlike(r"^\d{2}/\d{2}/\d{4}$"), F.when(F.try_to_date(m, "MM/dd/yyyy").isNull(), _date(m, "dd/MM/yyyy", key)).otherwise(_date(m, "MM/dd/yyyy", key)))
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), _refill(m, permute_digits(digits, key, "ssn")))
         .when(F.length(digits).between(13, 19) & ~m.startswith("+"), F.when(luhn_sum(digits) % 10 == 0, card).otherwise(m))
         .when(F.length(digits).between(7, 15), phone)

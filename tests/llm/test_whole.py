@@ -4,7 +4,7 @@ import collections
 
 from pyspark.sql import functions as F
 
-from knowmill.llm import mixing, packing, quality
+from knowmill.llm import mixing, packing, pii, quality
 from knowmill.llm.common import stash
 
 
@@ -45,3 +45,21 @@ def test_caseless_line_with_acronym_is_no_shouting(spark):
     got = {r.doc_id: r for r in quality.measure(spark.createDataFrame(data, "doc_id long, text string")).collect()}
     assert (got[1].kept, got[1].clean_text, got[3].clean_text) == (True, korean, "한국 문서 NASA")
     assert got[2].clean_text == ""
+
+
+def test_european_personal_data(spark):
+    cases = [
+        ("né le 25/12/1980 à Lyon", "25/12/1980"), ("ES91 2100 0418 4502 0005 1332 BIC", "2100 0418 4502 0005 1332"), ("BE68539007547034 EUR", "539007547034"),
+        ("IBAN GB82 WEST 1234 5698 7654 32 OK", "1234 5698 7654 32"), ("tel 06 12 34 56 78", "06 12 34 56 78"), ("tel +33 6 12 34 56 78", "6 12 34 56 78"),
+        ("tel 030 1234567.", "030 1234567"), ("tel +49 30 1234567", "30 1234567"), ("tel 612 34 56 78", "612 34 56 78"), ("tel 91 123 45 67", "91 123 45 67"),
+    ]
+    still = ["AB12 3456 7890 code", "ES92 2100 0418 4502 0005 1332 BIC", "31/31/1980", "rows 01 02 03 04 05 06 07"]
+    data = [(i, t) for i, (t, _) in enumerate(cases)] + [(100 + i, t) for i, t in enumerate(still)]
+    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    for i, (t, old) in enumerate(cases):
+        assert old not in got[i].text and got[i].n_pii == 1, (t, got[i].text)
+        shape = lambda x: ["9" if c.isdigit() else c for c in x]
+        assert shape(got[i].text) == shape(t)
+    assert [got[100 + i].text for i in range(len(still))] == still
+    iban = got[1].text[:29].replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
