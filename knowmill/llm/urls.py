@@ -2,7 +2,7 @@
 
 Each page's url gets the verdict of the longest rule that fits its host and path. Pages without a rule take the
 decision of their alias class: the connected component over redirect edges (meta refresh), canonical links and the
-url without fragment and tracking parameters. In a class an explicit allow precedes a block; a class without either is
+url without fragment and tracking parameters. Relative targets are resolved against the page's url. In a class an explicit allow precedes a block; a class without either is
 allowed. Components are found by Spark jobs; nothing is collected.
 
 A null url, or one without ``://``, has an empty host and path, fits no rule and has no aliases. Null html has no links.
@@ -40,6 +40,36 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str, str]] = RUL
     return pick(1), pick(2)
 
 
+def without_dots(path: Column) -> Column:
+    """A path that starts with a slash, without its segments ``.`` and ``..``."""
+    parts = F.slice(F.split(path, "/", -1), F.lit(2), F.greatest(F.size(F.split(path, "/", -1)) - 1, F.lit(0)))
+    none = F.array().cast("array<string>")
+    step = lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x)))
+    # A last segment of dots leaves its slash.
+    closed = F.when(F.element_at(parts, -1).isin(".", ".."), "/").otherwise("")
+    kept = F.array_join(F.aggregate(parts, none, step), "/")
+    return F.concat(F.lit("/"), kept, F.when(kept == "", "").otherwise(closed))
+
+
+def resolve(url: Column, target: Column) -> Column:
+    """target as a whole url, read on the page ``url``, with &amp; decoded (RFC 3986, 5.2)."""
+    t = F.regexp_replace(target, r"(?i)&(?:amp|#38|#x26);", "&")
+    scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
+    site = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
+    path = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
+    folder = F.regexp_extract(path, r"(?s)^(.*/)", 1)
+    folder = F.when(folder == "", "/").otherwise(folder)
+    own, rest = F.regexp_extract(t, r"(?s)^([^?#]*)", 1), F.regexp_extract(t, r"(?s)^[^?#]*(.*)$", 1)
+    joined = F.when(t.startswith("/"), own).otherwise(F.concat(folder, own))
+    return (
+        F.when((t == "") | t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), t)
+        .when(t.startswith("//"), F.concat(scheme, F.lit(":"), t))
+        .when(t.startswith("#"), F.concat(F.substring_index(url, "#", 1), t))
+        .when(t.startswith("?"), F.concat(site, path, t))
+        .otherwise(F.concat(site, F.when(joined.rlike(r"/\.\.?(/|$)"), without_dots(joined)).otherwise(joined), rest))
+    )
+
+
 def link_edges(pages: DataFrame) -> DataFrame:
     """(u, v) of urls that name one resource."""
     tag = lambda p: F.regexp_extract("html", p, 1)
@@ -47,8 +77,9 @@ def link_edges(pages: DataFrame) -> DataFrame:
     bare = F.regexp_replace(F.substring_index("url", "#", 1), rf"(?i)(?<=[?&]){TRACKING}=[^&]*&?", "")
     bare = F.regexp_replace(bare, r"[?&]+$", "")
     canonical = F.coalesce(F.nullif(tag(r"(?is)<link\s[^>]*rel=[\"']?canonical[\"']?[^>]*?href=[\"']?([^\"'\s>]+)"), F.lit("")), tag(r"(?is)<link\s[^>]*href=[\"']?([^\"'\s>]+)[\"']?[^>]*?rel=[\"']?canonical"))
-    refresh = tag(r"(?is)<meta\s[^>]*http-equiv=[\"']?refresh[^>]*?url=['\"]?([^\"'\s>]+)")
-    targets = F.array(bare, F.when(has("canonical"), canonical), F.when(has("refresh"), refresh))
+    refresh = F.coalesce(F.nullif(tag(r"(?is)<meta\s[^>]*http-equiv=[\"']?refresh[^>]*?url=['\"]?([^\"'\s>]+)"), F.lit("")), tag(r"(?is)<meta\s[^>]*?[\s;\"']url=['\"]?([^\"'\s>]+)[^>]*?http-equiv=[\"']?refresh"))
+    whole = lambda c: resolve(F.col("url"), c)
+    targets = F.array(bare, F.when(has("canonical"), whole(canonical)), F.when(has("refresh"), whole(refresh)))
     edges = pages.where(F.col("url").contains("://")).select(F.col("url").alias("u"), F.explode(targets).alias("v"))
     return edges.where(F.col("v").contains("://") & (F.col("u") != F.col("v"))).distinct()
 

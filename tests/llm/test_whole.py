@@ -4,7 +4,7 @@ import collections
 
 from pyspark.sql import functions as F
 
-from knowmill.llm import mixing, packing, pii, quality
+from knowmill.llm import mixing, packing, pii, quality, urls
 from knowmill.llm.common import stash
 
 
@@ -63,3 +63,19 @@ def test_european_personal_data(spark):
     assert [got[100 + i].text for i in range(len(still))] == still
     iban = got[1].text[:29].replace(" ", "")
     assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+
+
+def test_relative_aliases(spark):
+    """Each page of its own host has an alias that a rule blocks."""
+    link = lambda to: f'<link rel="canonical" href="{to}">'
+    back = lambda to: f'<meta content="0; url={to}" http-equiv="refresh">'
+    cases = {
+        link("/bad/x"): "https://h{}.org/bad/x", link("//bad.org/y?a=1&amp;b=2"): "https://bad.org/y?a=1&b=2", link("x.html"): "https://h{}.org/d/x.html", link("../e/./f"): "https://h{}.org/e/f",
+        link("?p=2"): "https://h{}.org/d/page?p=2", back("https://bad.org/z"): "https://bad.org/z", back("page2.html"): "https://h{}.org/d/page2.html",
+        '<meta http-equiv="refresh" content="0;url=/r">': "https://h{}.org/r", link("/go?u=http://other.org/"): "https://h{}.org/go?u=http://other.org/", link("./"): "https://h{}.org/d/", link(".."): "https://h{}.org/",
+    }
+    pages = spark.createDataFrame([(i, f"https://h{i}.org/d/page?q=1", html) for i, html in enumerate(cases)], "page_id long, url string, html string")
+    edges = {(r.u, r.v) for r in urls.link_edges(pages).collect()}
+    assert edges == {(f"https://h{i}.org/d/page?q=1", v.format(i)) for i, v in enumerate(cases.values())}
+    got = {r.page_id: r.verdict for r in urls.judge(pages, [("block", "bad.org", "/"), *[("block", f"h{i}.org", "/bad/") for i in range(9)]]).collect()}
+    assert {i for i, v in got.items() if v == "block"} == {0, 1, 5}
