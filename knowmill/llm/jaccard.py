@@ -246,8 +246,8 @@ def divide_skip(lists: list[np.ndarray], members: int, need: int) -> tuple[np.nd
 
 
 def link_blocks(cells: DataFrame) -> DataFrame:
-    """cells: grp, i, j, cls, doc, blk, shingles. Links within one pair of blocks that join its classes; a class that
-    links already join to another is not compared with it again."""
+    """cells: grp, i, j, cls, doc, blk, shingles. Rows (u, v) of links within one pair of blocks that join its classes,
+    and rows (cls, n) of how many links between the two blocks each class has."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.drop_duplicates("cls").reset_index(drop=True)
@@ -269,23 +269,29 @@ def link_blocks(cells: DataFrame) -> DataFrame:
                 x = top[x]
             return x
 
-        out, docs = [], part["doc"].to_numpy()
+        out, docs, blk = [], part["doc"].to_numpy(), part["blk"].to_numpy()
+        alone = part["i"].iat[0] == part["j"].iat[0]  # pairs within a block are counted where it stands alone
+        n_links = np.zeros(m, dtype=np.int64)
         for a in range(m):
             need = max(1, -(-PERCENT * sizes[a] // 100))
             live, hits = divide_skip([lists[c] for c in code[at[a] : at[a + 1]]], m, int(need))
             ok = 100 * hits >= PERCENT * (sizes[a] + sizes[live] - hits)
-            for b in live[ok]:
+            found = live[ok]
+            n_links[a] = np.count_nonzero((found != a) & (alone | (blk[found] != blk[a])))
+            for b in found:
                 if (x := root(a)) != (y := root(int(b))):
                     top[max(x, y)] = min(x, y)
                     out.append((docs[a], docs[b]))
-        return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
+        links = pd.DataFrame(out, columns=["u", "v"], dtype="Int64")
+        (some,) = np.nonzero(n_links)
+        return pd.concat([links.assign(cls=pd.NA, n=pd.NA), pd.DataFrame({"u": pd.NA, "v": pd.NA, "cls": part["cls"].to_numpy()[some], "n": n_links[some]})]).astype("Int64")
 
-    return cells.groupBy("grp", "i", "j").applyInPandas(run, "u long, v long")
+    return cells.groupBy("grp", "i", "j").applyInPandas(run, "u long, v long, cls long, n long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, n_shingles, component_id (least doc_id reachable by links), class_id (least
-    doc_id with the same set)."""
+    doc_id with the same set), n_links (classes that the class links with; null for a class without any doc_id)."""
     spark = docs.sparkSession
     measured = stash(measure_sets(docs), "sets")
     sets = measured.where("not often")
@@ -325,18 +331,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     left = members.select(F.col("cls").alias("a"), F.col("doc").alias("u"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
     right = members.select(F.col("cls").alias("b"), F.col("doc").alias("v"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
-    links = pairs.join(left, "a").join(right, "b").where(100 * common >= PERCENT * (F.col("na") + F.col("nb") - common)).select("u", "v")
+    links = pairs.join(left, "a").join(right, "b").where(100 * common >= PERCENT * (F.col("na") + F.col("nb") - common)).select("a", "b", "u", "v")
+    links = stash(links, "short")
     # Long lists' candidates: blocks of a group, each pair of blocks by itself.
     count = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES))
     blocks = stash(hot.join(members.select("cls", "n"), "cls").groupBy("grp").agg(count.alias("blocks")), "blocks")
     dealt = members.join(hot, "cls").join(blocks, "grp").withColumn("blk", F.pmod(F.xxhash64("cls"), F.col("blocks")))
     cells = dealt.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    cells = cells.select("grp", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "cls", "doc", "shingles")
-    edges = stash(links.union(link_blocks(cells)), "links")
+    cells = cells.select("grp", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "cls", "doc", "blk", "shingles")
+    dense = stash(link_blocks(cells), "dense")
+    edges = stash(links.select("u", "v").union(dense.where("cls is null").select("u", "v")), "links")
+    # All pairs of a group are counted in its cells; other pairs here.
+    apart = links.join(hot.toDF("a", "ga"), "a", "left").join(hot.toDF("b", "gb"), "b", "left").where("ga is null or gb is null or ga <> gb")
+    ends = apart.select(F.col("a").alias("cls"), F.col("b").alias("other")).union(apart.select("b", "a"))
+    some = ends.groupBy("cls").agg(F.countDistinct("other").alias("n")).union(dense.where("cls is not null").select("cls", "n"))
+    n_links = stash(some.groupBy("cls").agg(F.sum("n").alias("n_links")), "counted")
     joined = stash(components(edges), "joined")
-    named = classes.join(joined, F.col("doc") == F.col("node"), "left").select("cls", F.col("doc").alias("class_id"), F.coalesce("component", "doc").alias("component"))
+    named = classes.join(joined, F.col("doc") == F.col("node"), "left").join(n_links, "cls", "left")
+    named = named.select("cls", F.col("doc").alias("class_id"), F.coalesce("component", "doc").alias("component"), F.when(F.col("doc").isNotNull(), F.coalesce("n_links", F.lit(0))).alias("n_links"))
     out = sets.join(stash(named, "named"), "cls", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"), F.when(F.col("cls") == 0, 0).otherwise(F.col("n_links")).alias("n_links"))
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

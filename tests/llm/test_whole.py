@@ -2,9 +2,11 @@
 
 import collections
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from knowmill.llm import mixing, packing, pii, quality, urls
+from knowmill.llm import jaccard, mixing, packing, pii, quality, urls
 from knowmill.llm.common import stash
 
 
@@ -79,3 +81,23 @@ def test_relative_aliases(spark):
     assert edges == {(f"https://h{i}.org/d/page?q=1", v.format(i)) for i, v in enumerate(cases.values())}
     got = {r.page_id: r.verdict for r in urls.judge(pages, [("block", "bad.org", "/"), *[("block", f"h{i}.org", "/bad/") for i in range(9)]]).collect()}
     assert {i for i, v in got.items() if v == "block"} == {0, 1, 5}
+
+
+@pytest.mark.parametrize("block", [jaccard.BLOCK, 40])
+def test_links_are_counted(spark, monkeypatch, block):
+    """A large group of near copies, small groups, equal texts and texts without links, in one or several blocks."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = np.random.default_rng(2)
+    texts = []
+    for group, size in enumerate([120, 3, 2, 1, 5]):
+        for i in range(size):
+            w = [f"g{group}_{k}" for k in range(100)]
+            for k in rng.integers(0, 100, rng.integers(0, 4)):
+                w[k] = f"x{group}_{i}_{k}"
+            texts.append(" ".join(w))
+    texts += [texts[0], texts[5], "", None]
+    sets = [frozenset(tuple((t or "").split()[k : k + 5]) for k in range(96)) if t else frozenset() for t in texts]
+    classes = set(sets) - {frozenset()}
+    want = {s: sum(s != o and 100 * len(s & o) >= 75 * len(s | o) for o in classes) for s in classes} | {frozenset(): 0}
+    got = {r.doc_id: r.n_links for r in jaccard.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == [want[s] for s in sets] and max(got.values()) > 20
