@@ -2,12 +2,12 @@
 
 Each source's rows are cut into blocks. Block i of a source with weight w is released at slot floor(i / w) and due by
 slot ceil((i + 1) / w); in each slot the released block with the earliest deadline goes out, so that after t slots a
-source with rows left has given w * t blocks, to within one block. With weights in whole parts of ``period`` the schedule
-repeats, so only one period is worked out on the driver, whatever the number of rows; rows find their slot by rank.
-When a source runs out, the others keep their order, which keeps their relative shares.
+source with rows left has given w * t blocks, to within one block. Weights are exact and any number of sources may be
+mixed. The schedule of all blocks, three numbers for each ``block`` rows, is worked out on the driver; rows find their
+slot by rank. When a source runs out, the others keep their order, which keeps their relative shares.
 
 All rows stay: weights order the output and never drop or repeat rows. Null sources form a source of their own. Sources
-without a target share what the targets leave, at least one part each. Order within a source is that of a hash of the
+without a target share what the targets leave; where nothing is left, they follow the others. Order within a source is that of a hash of the
 id; null and repeated ids are mixed like others. Empty tables give no rows; extra columns stay, but for those named as
 the added ones.
 """
@@ -15,8 +15,12 @@ the added ones.
 from __future__ import annotations
 
 import heapq
+import math
+from array import array
+from collections.abc import Iterator
 from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,26 +44,39 @@ def whole_parts(weights: dict[str, float], period: int = PERIOD) -> dict[str, in
     return parts
 
 
-def pfair(parts: dict[str, int]) -> list[tuple[str, int, int]]:
-    """(source, block within the period, slot) of one period, earliest deadline first among released blocks."""
-    period = sum(parts.values())
-    waiting, ready, out = [], [], []
-    names = sorted(parts, key=str)
-    due = lambda k, i: -(-(i + 1) * period // parts[names[k]])
-    for k in range(len(names)):
-        heapq.heappush(waiting, (0, k, 0))
-    for slot in range(period):
-        while waiting and waiting[0][0] <= slot:
+def schedule(weights: list[float | Fraction], blocks: list[int]) -> Iterator[tuple[int, int, int]]:
+    """(source, block, slot) of all blocks, earliest deadline first among released blocks, by the exact weights. Once
+    other sources run out, the time until the next release is skipped, so slots have no gaps. Sources of weight 0
+    follow the others, in equal shares."""
+    exact = [Fraction(w) for w in weights]
+    live = [k for k, w in enumerate(exact) if w > 0 and blocks[k] > 0]
+    scale = math.lcm(*[exact[k].denominator for k in live])
+    parts = {k: int(exact[k] * scale) for k in live}
+    total, clock, slot = sum(parts.values()), 0, 0
+    waiting, ready = [(0, k, 0) for k in live], []
+    while waiting or ready:
+        if not ready:
+            clock = max(clock, waiting[0][0])
+        while waiting and waiting[0][0] <= clock:
             _, k, i = heapq.heappop(waiting)
             # Ties in deadlines go to the block whose window overlaps the next, as in PD2, then to the heavier source.
-            overlap = (i + 1) * period % parts[names[k]] != 0
-            heapq.heappush(ready, (due(k, i), not overlap, -parts[names[k]], k, i))
-        if ready:
-            _, _, _, k, i = heapq.heappop(ready)
-            out.append((names[k], i, slot))
-            if i + 1 < parts[names[k]]:
-                heapq.heappush(waiting, ((i + 1) * period // parts[names[k]], k, i + 1))
-    return out
+            due, odd = divmod((i + 1) * total, parts[k])
+            heapq.heappush(ready, (due + (odd > 0), odd == 0, -parts[k], k, i))
+        _, _, _, k, i = heapq.heappop(ready)
+        yield k, i, slot
+        slot, clock = slot + 1, clock + 1
+        if i + 1 < blocks[k]:
+            heapq.heappush(waiting, ((i + 1) * total // parts[k], k, i + 1))
+    last = [k for k, w in enumerate(exact) if w <= 0 and blocks[k] > 0]
+    for n, (k, i, _) in enumerate(schedule([1] * len(last), [blocks[k] for k in last]) if last else ()):
+        yield last[k], i, slot + n
+
+
+def pfair(parts: dict[str, int]) -> list[tuple[str, int, int]]:
+    """(source, block within the period, slot) of one period of whole parts."""
+    names = sorted(parts, key=str)
+    sizes = [parts[x] for x in names]
+    return [(names[k], i, slot) for k, i, slot in schedule(sizes, sizes)]
 
 
 def lag(parts: dict[str, int]) -> Fraction:
@@ -71,14 +88,12 @@ def lag(parts: dict[str, int]) -> Fraction:
     return most
 
 
-def mix(df: DataFrame, targets: dict[str, float] | None = None, source: str = "source", key: str = "doc_id", block: int = BLOCK, period: int = PERIOD) -> DataFrame:
+def mix(df: DataFrame, targets: dict[str, float] | None = None, source: str = "source", key: str = "doc_id", block: int = BLOCK, period: int | None = None) -> DataFrame:
     """Adds mix_block, mix_slot, mix_position (long): the row's block in its source, the block's slot, and a
-    position that orders the output. The number of sources must be below the period; it is counted, and only
-    sources with their sizes reach the driver."""
+    position that orders the output. Only sources with their sizes reach the driver. period is without effect since weights
+    are exact."""
     spark = df.sparkSession
-    sizes = df.groupBy(source).count().orderBy(F.desc("count")).limit(period).collect()
-    if len(sizes) == period:
-        raise ValueError("more sources than parts of a period; raise period")
+    sizes = df.groupBy(source).count().orderBy(F.desc("count"), source).collect()
     # Joined by a number, since a source may be null.
     names = {r[0]: i for i, r in enumerate(sizes)}
     weights = {r[0]: (targets or {}).get(r[0]) for r in sizes}
@@ -89,16 +104,16 @@ def mix(df: DataFrame, targets: dict[str, float] | None = None, source: str = "s
     weights |= {k: spare / len(rest) for k in rest}
     if not names:
         return df.withColumns({c: F.lit(None).cast("long") for c in ("mix_block", "mix_slot", "mix_position")})
-    parts = whole_parts({i: weights[k] for k, i in names.items()}, period)
-    plan = spark.createDataFrame([(s, i, slot, parts[s]) for s, i, slot in pfair(parts)], "_s int, _i long, _slot long, _parts long")
-    ids = spark.createDataFrame([(k, i) for k, i in names.items()], f"_name {dict(df.dtypes)[source]}, _s int")
+    columns = [array("q"), array("q"), array("q")]
+    for row in schedule([weights[k] for k in names], [-(-r["count"] // block) for r in sizes]):
+        for column, x in zip(columns, row, strict=True):
+            column.append(x)
+    plan = spark.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in columns], names=["_s", "_i", "_slot"]))
+    ids = spark.createDataFrame([(k, i) for k, i in names.items()], f"_name {dict(df.dtypes)[source]}, _s long")
     df = df.join(F.broadcast(ids), F.col(source).eqNullSafe(F.col("_name"))).drop("_name")
     df = rank_in_group(df, "_s", key, "_rank").withColumn("mix_block", F.floor(F.col("_rank") / block))
-    width = F.broadcast(plan.groupBy("_s").agg(F.max("_parts").alias("_parts")))
-    df = df.join(width, "_s").withColumn("_i", F.col("mix_block") % F.col("_parts"))
-    df = df.drop("_parts").join(F.broadcast(plan), ["_s", "_i"])  # a period's rows at most
-    df = df.withColumn("mix_slot", F.floor(F.col("mix_block") / F.col("_parts")) * sum(parts.values()) + F.col("_slot"))
-    return df.withColumn("mix_position", F.col("mix_slot") * block + F.col("_rank") % block).drop("_s", "_i", "_rank", "_parts", "_slot")
+    df = df.withColumn("_i", F.col("mix_block")).join(plan, ["_s", "_i"]).withColumn("mix_slot", F.col("_slot"))
+    return df.withColumn("mix_position", F.col("mix_slot") * block + F.col("_rank") % block).drop("_s", "_i", "_rank", "_slot")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,3 +101,21 @@ def test_links_are_counted(spark, monkeypatch, block):
     want = {s: sum(s != o and 100 * len(s & o) >= 75 * len(s | o) for o in classes) for s in classes} | {frozenset(): 0}
     got = {r.doc_id: r.n_links for r in jaccard.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert [got[i] for i in range(len(texts))] == [want[s] for s in sets] and max(got.values()) > 20
+
+
+def test_mix_keeps_exact_targets(spark):
+    """Deviations from the unrounded targets stay below a block, also with a source far below a thousandth."""
+    targets = {"a": 0.6666, "b": 0.33305, "c": 0.00035}
+    docs = spark.createDataFrame([(i, "a" if i < 20_000 else "b" if i < 30_000 else "c") for i in range(30_040)], "doc_id long, source string")
+    order = [r.source for r in mixing.mix(docs, targets, block=1).orderBy("mix_position").collect()]
+    seen = collections.Counter()
+    for t, source in enumerate(order[:29_000], 1):
+        seen[source] += 1
+        assert all(abs(seen[k] - w * t) < 1 + 1e-6 for k, w in targets.items()), t
+    assert len(order) == 30_040
+
+
+def test_mix_of_many_sources(spark):
+    docs = spark.range(2500).select(F.col("id").alias("doc_id"), (F.col("id") % 1200).cast("string").alias("source"))
+    got = mixing.mix(docs, {"1": 0.5, "2": 0.5}, block=1).orderBy("mix_position").collect()
+    assert [r.mix_slot for r in got] == list(range(2500)) and {r.source for r in got[:6]} == {"1", "2"}
