@@ -58,9 +58,9 @@ def keywords(text: Column) -> Column:
     return F.filter(words, lambda w: (F.length(w) >= 4) & ~w.isin(*STOP))
 
 
-def language(text: Column) -> Column:
-    """The language of most frequent-word hits among the first thousand characters; ties to the earlier language."""
-    words = tokens(F.substring(text, 1, 1000))
+def language(text: Column, chars: int | None = 1000) -> Column:
+    """The language of most frequent-word hits among the first ``chars`` characters (None: all); ties to the earlier language."""
+    words = tokens(F.substring(text, 1, chars) if chars else text)
     held = lambda some: F.size(F.filter(words, lambda w: w.isin(*some)))
     hits = {k: held(v) for k, v in LANGUAGE_WORDS.items()}
     most = F.greatest(*hits.values())

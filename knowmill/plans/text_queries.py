@@ -64,6 +64,15 @@ def context_window(spark, d):
     return read(spark, d, "conversations").select("conv_id", "turn", cut(F.lag("text", 2).over(w)).alias("before_2"), cut(F.lag("text").over(w)).alias("before_1"), cut(F.lead("text").over(w)).alias("after_1"))
 
 
+@query("""SELECT conv_id, turn, coalesce(substr(lag(text, 2) OVER w, 1, 200), '') AS before_2, coalesce(substr(lag(text) OVER w, 1, 200), '') AS before_1, coalesce(substr(lead(text) OVER w, 1, 200), '') AS after_1, coalesce(substr(lead(text, 2) OVER w, 1, 200), '') AS after_2 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
+def context_window_two(spark, d):
+    """As context_window, with two turns after as well as before."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    cut = lambda c: F.coalesce(F.substring(c.over(w), 1, 200), F.lit(""))
+    sides = {"before_2": F.lag("text", 2), "before_1": F.lag("text"), "after_1": F.lead("text"), "after_2": F.lead("text", 2)}
+    return read(spark, d, "conversations").select("conv_id", "turn", *[cut(c).alias(k) for k, c in sides.items()])
+
+
 @query("SELECT conv_id, role, count(*) AS turns, sum(length(text))::BIGINT AS chars, round(avg(length(text)), 6) AS mean_chars, min(turn) AS first_turn, max(turn) AS last_turn FROM conversations GROUP BY conv_id, role")
 def speaker_statistics(spark, d):
     c = read(spark, d, "conversations").groupBy("conv_id", "role")
@@ -87,13 +96,23 @@ COS_SQL = "list_sum([a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE FOR i IN ra
 @query(f"""WITH s AS (SELECT a.label AS query_label, b.vec_id AS id, {COS_SQL} AS score FROM (SELECT label, embedding FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings) WHERE rn = 1) a, embeddings b)
 SELECT query_label, id, rank::INT AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_label ORDER BY score DESC, id) AS rank FROM s WHERE score >= 0.1) WHERE rank <= 10""")
 def cosine_topk(spark, d):
-    """The ten vectors nearest to the first vector of each label; there are few labels, so the queries are broadcast."""
+    """The ten vectors nearest to the first vector of each label."""
     e = read(spark, d, "embeddings")
-    q = dedup.best_per_key(e, [F.col("label")], [F.col("vec_id")]).select(F.col("label").alias("query_label"), F.col("embedding").alias("q")).limit(100)
-    s = e.join(F.broadcast(q), F.lit(True)).select("query_label", F.col("vec_id").alias("id"), ranking.cosine(F.col("q"), F.col("embedding")).alias("score"))
+    q = dedup.best_per_key(e, [F.col("label")], [F.col("vec_id")]).select(F.col("label").alias("query_label"), F.col("embedding").alias("q"))
+    s = e.crossJoin(q).select("query_label", F.col("vec_id").alias("id"), ranking.cosine(F.col("q"), F.col("embedding")).alias("score"))
     return ranking.top(s.where("score >= 0.1"), "query_label", "score", "id", 10).select("query_label", "id", "rank", F.round("score", 6).alias("score"))
 
 
+@query(f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, {COS_SQL} AS score FROM (SELECT * FROM embeddings WHERE vec_id % 50 = 0) a, embeddings b)
+SELECT query_id, id, rank::INT AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s WHERE score >= 0.1) WHERE rank <= 10""")
+def cosine_topk_all(spark, d):
+    """The ten vectors nearest to every vector whose id is divisible by 50, itself among them."""
+    e = read(spark, d, "embeddings")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    s = e.crossJoin(q).select("query_id", F.col("vec_id").alias("id"), ranking.cosine(F.col("q"), F.col("embedding")).alias("score"))
+    return ranking.top(s.where("score >= 0.1"), "query_id", "score", "id", 10).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
 @query("""WITH s AS (SELECT label, vec_id, list_sum([x::DOUBLE FOR x IN embedding]) AS a, list_max(embedding)::DOUBLE AS b FROM embeddings),
 r AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY a DESC, vec_id) AS ra, row_number() OVER (PARTITION BY label ORDER BY b DESC, vec_id) AS rb FROM s)
 SELECT label AS query_id, vec_id AS item, round(CASE WHEN ra <= 50 THEN 1 / (60 + ra) ELSE 0 END + CASE WHEN rb <= 50 THEN 1 / (60 + rb) ELSE 0 END, 8) AS score, ((ra <= 50)::BIGINT + (rb <= 50)::BIGINT) AS n_lists FROM r WHERE ra <= 50 OR rb <= 50""")
@@ -129,6 +148,13 @@ def document_language(spark, d):
     return read(spark, d, "documents").select("doc_id", "lang", T.language(F.col("text")).alias("detected"))
 
 
+@query(f"""WITH t AS (SELECT doc_id, lang, length(text) AS n, {TOKEN_SQL.format("text")} AS t FROM documents), h AS (SELECT doc_id, lang, n, {LANG_SQL} FROM t)
+SELECT doc_id, lang, CASE WHEN n < 10 OR greatest(en, de, fr, es) = 0 THEN 'unknown' WHEN en = greatest(en, de, fr, es) THEN 'en' WHEN de = greatest(en, de, fr, es) THEN 'de' WHEN fr = greatest(en, de, fr, es) THEN 'fr' ELSE 'es' END AS detected FROM h""")
+def document_language_whole(spark, d):
+    """As document_language, by the words of whole texts."""
+    return read(spark, d, "documents").select("doc_id", "lang", T.language(F.col("text"), None).alias("detected"))
+
+
 @query("""SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), '\\b(compare|versus|difference)\\b') THEN 'comparison' WHEN regexp_matches(lower(text), '\\b(how|steps)\\b') THEN 'procedural' WHEN regexp_matches(lower(text), '\\b(why|because)\\b') THEN 'causal'
 WHEN regexp_matches(lower(text), '\\b(when|date)\\b') THEN 'temporal' WHEN regexp_matches(lower(text), '\\b(who|where|what|which)\\b') THEN 'factual' ELSE 'general' END AS intent FROM conversations WHERE role = 'user'""")
 def query_intent(spark, d):
@@ -179,6 +205,19 @@ def similar_names(spark, d):
     return a.join(b, "brand").where((F.col("a") < F.col("b")) & near).select("a", "b", F.round(T.jaccard(na, nb), 6).alias("jaccard"), F.round(T.edit_similarity(na, nb), 6).alias("edit"))
 
 
+@query(f"""WITH p AS (SELECT p_brand, p_partkey, p_name, list_distinct({TOKEN_SQL.format("p_name")}) AS t FROM part)
+SELECT a.p_partkey AS a, b.p_partkey AS b, round(len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))), 6) AS jaccard, round(1 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name)), 6) AS edit
+FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey WHERE levenshtein(a.p_name, b.p_name) <= 0.5 * greatest(length(a.p_name), length(b.p_name))""")
+def similar_names_all(spark, d):
+    """As similar_names, for parts of every size; lengths that alone put two names too far apart are left out first."""
+    p = read(spark, d, "part").select("p_brand", "p_partkey", "p_name")
+    a, b = p.toDF("brand", "a", "na"), p.toDF("brand", "b", "nb")
+    na, nb = F.col("na"), F.col("nb")
+    close = F.abs(F.length(na) - F.length(nb)) <= 0.5 * F.greatest(F.length(na), F.length(nb))
+    near = F.levenshtein(na, nb) <= 0.5 * F.greatest(F.length(na), F.length(nb))
+    return a.join(b, "brand").where((F.col("a") < F.col("b")) & close & near).select("a", "b", F.round(T.jaccard(na, nb), 6).alias("jaccard"), F.round(T.edit_similarity(na, nb), 6).alias("edit"))
+
+
 @query("""SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
 def event_windows(spark, d):
     return stream.windowed_counts(read(spark, d, "events"))
