@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -29,6 +30,15 @@ def crc_mod(c: Column, n: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit(""))) % n
 
 
+def beside(df: DataFrame, needs: dict[str, str], adds: list[str], change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """df with the columns ``adds`` that ``change`` computes from those it needs (needed name: name in df). All of df's
+    columns are set aside meanwhile, so that none clashes with a column that ``change`` uses on the way; those named as
+    an added one give way to it."""
+    aside = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_aside")
+    out = change(df.select(*[F.col(f"`{c}`").alias(k) for k, c in needs.items()], aside))
+    return out.select(*[F.col("_aside")[c].alias(c) for c in df.columns if c not in adds], *adds)
+
+
 def with_text(docs: DataFrame, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """docs with ``text`` as ``change`` leaves it (and n_chars to match); the other columns are set aside meanwhile, so
     that none of them clashes with a column that ``change`` adds."""
@@ -39,11 +49,14 @@ def with_text(docs: DataFrame, change: Callable[[DataFrame], DataFrame]) -> Data
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a fresh one only where none is set, as in tests."""
+    """The folder that driver and executors share. Where none is set, a fresh one serves a local master, as in tests;
+    on a cluster executors could not see it, so that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
         at = spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="knowmill-"))
         at = spark.sparkContext.getCheckpointDir()
     return at.rstrip("/")
@@ -55,7 +68,16 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/knowmill-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stashed_at = path
+    return out
+
+
+def release(*stashed: DataFrame) -> None:
+    """Deletes tables that ``stash`` wrote, once nothing reads them any more."""
+    for df in stashed:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stashed_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def rank_in_group(df: DataFrame, key: str, order: str, name: str, rows_per_cell: int = 1_000, at: str | None = None) -> DataFrame:
@@ -81,14 +103,14 @@ def rank_in_group(df: DataFrame, key: str, order: str, name: str, rows_per_cell:
     return out.select("a.*", (F.col("_row") + F.col("_start")).alias(name)).drop("_cell", "_row")
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of (u, v) edges by alternating large-star and small-star steps: each round links
-    every node to the least node it sees, so that long chains shrink in few rounds. Returns (node, component),
-    component being the least node, for every node with an edge to another. Each round's edges are written to
-    the shared folder; nothing is collected. Empty edges give an empty table."""
+    every node to the least node it sees, so that long chains shrink in few rounds, until nothing changes. Returns
+    (node, component), component being the least node, for every node with an edge to another. Each round's edges are
+    written to the shared folder and earlier ones deleted; nothing is collected. Empty edges give an empty table."""
     e = stash(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = None
-    for _ in range(rounds):
+    while True:
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark or not now[0]:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
@@ -96,7 +118,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         both = e.union(e.select("v", "u"))
         least = stash(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
         large = stash(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        least = stash(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        small = large.join(least, "u").where("v <> m").select("v", "m").union(least)
-        e = stash(small.toDF("u", "v").where("u <> v").distinct(), "edges")
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+        fewer = stash(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.join(fewer, "u").where("v <> m").select("v", "m").union(fewer)
+        after = stash(small.toDF("u", "v").where("u <> v").distinct(), "edges")
+        release(e, least, large, fewer)
+        e = after
