@@ -2,13 +2,14 @@
 
 Documents are tokenised in tasks and cut: full pieces of ``size`` tokens are sequences by themselves, and the rest of a
 document is one piece. Only the histogram of rest lengths (at most ``size`` numbers) reaches the driver. There lengths
-are placed longest first, each into the packs with the least room left to spare that still fits, which updates counts of packing
-patterns instead of single packs. The patterns go back to the pieces by rank: the r-th piece of a length takes the
+are placed longest first, each into the shortest packs, those with the most room, or into new ones where even they have
+too little; this updates counts of packing patterns instead of single packs. The patterns go back to the pieces by rank: the r-th piece of a length takes the
 r-th slot that the patterns hold for this length. In the pipeline pieces rank by the place of their document in the mix
 and sequences are numbered by their first piece's place; else hashes of the pieces order them.
 
-Null texts count as empty: one piece with the closing id. Repeated rows are packed as often as they occur if doc_id
-differs; doc_id must be unique. Empty tables give no rows.
+Null texts count as empty: one piece with the closing id. Repeated rows are packed as often as they occur, whether or
+not they repeat or lack a doc_id; equal pieces of equal ids are interchangeable. Empty tables give no rows; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -155,16 +156,16 @@ def cut_documents(docs: DataFrame, size: int = 1024, tokenizer: str = "byte_bpe_
 
 def pack_histogram(histogram: dict[int, int], size: int = 1024) -> list[tuple[int, list[int]]]:
     """Shortest-pack-first: (count, lengths) of each packing pattern. Lengths are placed longest first, each into
-    the open packs with the least room that fits it; where more pieces than such packs are left, the rest go on to
-    the next pattern or open new packs. There are at most as many patterns as placements, which the
+    the shortest open packs; where more pieces than such packs are left, the rest go on to the next shortest, and where
+    even the shortest has too little room, to new packs. There are at most as many patterns as placements, which the
     number of lengths bounds, not the number of pieces."""
     open_: dict[int, list[tuple[int, list[int]]]] = {}
     rooms: list[int] = []
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
         while left > 0:
-            k = bisect.bisect_left(rooms, length)
-            if k == len(rooms):
+            if not rooms or rooms[-1] < length:
+                # New packs take one piece each; pieces of this length that are left fill them up before more are opened.
                 fit = size // length
                 made = [(left // fit, [length] * fit)] if left >= fit else []
                 made += [(1, [length] * (left % fit))] if left % fit else []
@@ -172,10 +173,10 @@ def pack_histogram(histogram: dict[int, int], size: int = 1024) -> list[tuple[in
                     _put(open_, rooms, size - sum(pattern), n, pattern)
                 left = 0
                 continue
-            room = rooms[k]
+            room = rooms[-1]
             count, pattern = open_[room].pop()
             if not open_[room]:
-                del open_[room], rooms[k]
+                del open_[room], rooms[-1]
             used = min(count, left)
             left -= used
             _put(open_, rooms, room - length, used, [*pattern, length])
