@@ -3,7 +3,8 @@
 Each source's rows are cut into blocks. Block i of a source with weight w is released at slot floor(i / w) and due by
 slot ceil((i + 1) / w); in each slot the released block with the earliest deadline goes out, so that after t slots a
 source with rows left has given w * t blocks, to within one block. Weights are exact and any number of sources may be
-mixed. The schedule of all blocks, three numbers for each ``block`` rows, is worked out on the driver; rows find their
+mixed. The schedule, three numbers for each block, is worked out on the driver: blocks of more than ``block`` rows are
+taken where there would be more than ``MAX_BLOCKS`` otherwise, so that it stays below 50 MB at any size. Rows find their
 slot by rank. When a source runs out, the others keep their order, which keeps their relative shares.
 
 All rows stay: weights order the output and never drop or repeat rows. Null sources form a source of their own. Sources
@@ -24,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import rank_in_group, stash, table
+from .common import beside, rank_in_group, stash, table
 
 PERIOD = 1000
-BLOCK = 64
+#: Rows of a block, and how many blocks a schedule holds before blocks grow.
+BLOCK, MAX_BLOCKS = 64, 1_000_000
 #: Exponent of the sources' sizes in the registered query's targets.
 FLATTEN = 0.5
 
@@ -88,12 +90,16 @@ def lag(parts: dict[str, int]) -> Fraction:
     return most
 
 
-def mix(df: DataFrame, targets: dict[str, float] | None = None, source: str = "source", key: str = "doc_id", block: int = BLOCK, period: int | None = None) -> DataFrame:
+def mix(df: DataFrame, targets: dict[str, float] | None = None, source: str = "source", key: str = "doc_id", block: int = BLOCK, most: int = MAX_BLOCKS) -> DataFrame:
     """Adds mix_block, mix_slot, mix_position (long): the row's block in its source, the block's slot, and a
-    position that orders the output. Only sources with their sizes reach the driver. period is without effect since weights
-    are exact."""
+    position that orders the output. Only sources with their sizes reach the driver."""
+    added = ["mix_block", "mix_slot", "mix_position"]
+    return beside(df, {"source": source, "key": key}, added, lambda x: _mix(x, targets, block, most))
+
+
+def _mix(df: DataFrame, targets: dict[str, float] | None, block: int, most: int) -> DataFrame:
     spark = df.sparkSession
-    sizes = df.groupBy(source).count().orderBy(F.desc("count"), source).collect()
+    sizes = df.groupBy("source").count().orderBy(F.desc("count"), "source").collect()
     # Joined by a number, since a source may be null.
     names = {r[0]: i for i, r in enumerate(sizes)}
     weights = {r[0]: (targets or {}).get(r[0]) for r in sizes}
@@ -104,16 +110,17 @@ def mix(df: DataFrame, targets: dict[str, float] | None = None, source: str = "s
     weights |= {k: spare / len(rest) for k in rest}
     if not names:
         return df.withColumns({c: F.lit(None).cast("long") for c in ("mix_block", "mix_slot", "mix_position")})
+    block = max(block, -(-sum(r["count"] for r in sizes) // most))
     columns = [array("q"), array("q"), array("q")]
     for row in schedule([weights[k] for k in names], [-(-r["count"] // block) for r in sizes]):
         for column, x in zip(columns, row, strict=True):
             column.append(x)
     plan = spark.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in columns], names=["_s", "_i", "_slot"]))
-    ids = spark.createDataFrame([(k, i) for k, i in names.items()], f"_name {dict(df.dtypes)[source]}, _s long")
-    df = df.join(F.broadcast(ids), F.col(source).eqNullSafe(F.col("_name"))).drop("_name")
-    df = rank_in_group(df, "_s", key, "_rank").withColumn("mix_block", F.floor(F.col("_rank") / block))
+    ids = spark.createDataFrame([(k, i) for k, i in names.items()], f"_name {dict(df.dtypes)['source']}, _s long")
+    df = df.join(F.broadcast(ids), F.col("source").eqNullSafe(F.col("_name"))).drop("_name")
+    df = rank_in_group(df, "_s", "key", "_rank").withColumn("mix_block", F.floor(F.col("_rank") / block))
     df = df.withColumn("_i", F.col("mix_block")).join(plan, ["_s", "_i"]).withColumn("mix_slot", F.col("_slot"))
-    return df.withColumn("mix_position", F.col("mix_slot") * block + F.col("_rank") % block).drop("_s", "_i", "_rank", "_slot")
+    return df.withColumn("mix_position", F.col("mix_slot") * block + F.col("_rank") % block)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,5 +135,5 @@ def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str, targets: dic
     order = stash(mix(docs.select("doc_id", "source"), targets).select("doc_id", "mix_position"), "mix")
     order = order.groupBy(F.col("doc_id").alias("_id")).agg(F.min("mix_position").alias("_at"))
     parts = max(1, docs.count() // 10_000)
-    placed = docs.join(order, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return placed.repartitionByRange(parts, "_at").sortWithinPartitions("_at").select(*names)
+    placed = docs.alias("d").join(order.alias("o"), F.col("d.doc_id").eqNullSafe(F.col("o._id")))
+    return placed.repartitionByRange(parts, "o._at").sortWithinPartitions("o._at").select(*[F.col(f"d.`{c}`") for c in names])
