@@ -3,10 +3,13 @@
 Vectors become integer postings: term t of a row weighs floor(scale * x[t]). Queries and rows are dealt to blocks of
 bounded size; each pair of blocks is one group that scatters, term by term, the products of the queries' weights with
 the term's postings into a dense integer score array (terms with weight 0 are skipped), selects each query's best rows
-by partition, and returns at most k rows a query. A last step merges the blocks' selections.
+by partition, and returns at most k rows a query. A last step merges the blocks' selections. Work grows with queries
+times rows, as an exhaustive search does; each row is copied once for ``query_block`` queries, each query once for
+``row_block`` rows.
 
 Rows without vec_id, and rows whose vector is null or holds a null or non-finite component, take no part; components missing from a shorter
-vector weigh 0. Equal scores go to the smaller id. Empty tables give no rows.
+vector weigh 0. Equal scores go to the smaller id. Rows that repeat an id are ranked as often as they occur, but never
+against a query of that id. Empty tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,15 +28,24 @@ def to_postings(df: DataFrame, vec: str = "embedding", scale: int = 256) -> Data
     return df.where(F.col("vec_id").isNotNull() & F.col(vec).isNotNull() & fine).withColumn("w", F.transform(x, lambda v: F.floor(v * scale).cast("long")))
 
 
-def _accumulate(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Scores of all queries against all rows: each term's weights are scattered over its postings."""
-    scores = np.zeros((len(queries), len(rows)), dtype=np.int64)
-    for q, postings in zip(queries.T, rows.T, strict=True):
-        (live,) = np.nonzero(q)
-        if len(live) == len(q):
-            scores += q[:, None] * postings[None, :]
-        elif len(live):
-            scores[live] += q[live, None] * postings[None, :]
+def postings(rows: np.ndarray) -> list[tuple[np.ndarray | slice, np.ndarray]]:
+    """Each term's postings: the rows that hold it (a slice where all do) and its weights there."""
+    out = []
+    for weights in rows.T:
+        (held,) = np.nonzero(weights)
+        full = len(held) == len(weights)
+        out.append((slice(None), np.ascontiguousarray(weights)) if full else (held, weights[held]))
+    return out
+
+
+def _accumulate(queries: np.ndarray, lists: list[tuple[np.ndarray | slice, np.ndarray]], n_rows: int) -> np.ndarray:
+    """Scores of all queries, term at a time: each of a query's terms scatters its weighted postings into the query's dense
+    array of scores; terms that a query lacks are not touched."""
+    scores = np.zeros((len(queries), n_rows), dtype=np.int64)
+    for line, query in zip(scores, queries, strict=True):
+        for t in np.flatnonzero(query):
+            held, weights = lists[t]
+            line[held] += query[t] * weights
     return scores
 
 
@@ -44,7 +56,7 @@ def _dense(cells: pd.Series) -> np.ndarray:
     return out
 
 
-def top_k(queries: DataFrame, rows: DataFrame, k: int = 5, query_block: int = 512, row_block: int = 8192) -> DataFrame:
+def top_k(queries: DataFrame, rows: DataFrame, k: int = 5, query_block: int = 8192, row_block: int = 8192) -> DataFrame:
     """queries, rows: (vec_id long, w array<long>). Returns query_id, rank, vec_id, score."""
     n_q = max(1, -(-queries.count() // query_block))
     n_r = max(1, -(-rows.count() // row_block))
@@ -61,8 +73,9 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 5, query_block: int = 51
             a, b = _dense(left["w"]), _dense(right["w"])
             width = max(a.shape[1], b.shape[1])
             a, b = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (a, b))
+            lists = postings(b)
             for at in range(0, len(a), 64):
-                scores = _accumulate(a[at : at + 64], b)
+                scores = _accumulate(a[at : at + 64], lists, len(b))
                 for i, line in enumerate(scores):
                     me = q_ids[at + i]
                     # Ids ascend, so the first of equal scores are the smaller ids; one more than k leaves room for the query itself.
