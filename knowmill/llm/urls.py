@@ -2,12 +2,13 @@
 
 Each page's url gets the verdict of the longest rule that fits its host and path. Pages without a rule take the
 decision of their alias class: the connected component over redirect edges (meta refresh), canonical links and the
-url without fragment and tracking parameters. Relative targets are resolved against the page's url. In a class an explicit allow precedes a block; a class without either is
-allowed. Components are found by Spark jobs; nothing is collected.
+url without tracking parameters. Relative targets are resolved against the page's url, and both ends are spelled alike
+(``normal``) before they meet. In a class an explicit allow precedes a block; a class without either is allowed.
+Components are found by Spark jobs; nothing is collected.
 
 A null url, or one without ``://``, has an empty host and path, fits no rule and has no aliases. Null html has no links.
-Pages with equal urls share a class. Extra columns stay, but
-for those named as the added ones.
+Rows that repeat a page_id or url stay and share a class. Extra columns stay, but for those named as the added ones. Empty tables give
+no rows.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, lower_ascii, stash, table
+from .common import beside, components, lower_ascii, release, stash, table
 
 #: (verdict, host, path) of the registered query.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -70,8 +71,17 @@ def resolve(url: Column, target: Column) -> Column:
     )
 
 
+def normal(url: Column) -> Column:
+    """One spelling of urls that name the same page: scheme and host in lower case, no fragment, no port that the scheme
+    implies, and a slash where there is no path."""
+    site = F.lower(F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1))
+    site = F.regexp_replace(site, r"^(http://[^:]*):80$|^(https://[^:]*):443$", "$1$2")
+    rest = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1)
+    return F.concat(site, F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest)))
+
+
 def link_edges(pages: DataFrame) -> DataFrame:
-    """(u, v) of urls that name one resource."""
+    """(u, v) of normal urls that name one resource."""
     tag = lambda p: F.regexp_extract("html", p, 1)
     has = lambda x: F.coalesce(F.lower("html").contains(x), F.lit(False))
     bare = F.regexp_replace(F.substring_index("url", "#", 1), rf"(?i)(?<=[?&]){TRACKING}=[^&]*&?", "")
@@ -81,25 +91,33 @@ def link_edges(pages: DataFrame) -> DataFrame:
     whole = lambda c: resolve(F.col("url"), c)
     targets = F.array(bare, F.when(has("canonical"), whole(canonical)), F.when(has("refresh"), whole(refresh)))
     edges = pages.where(F.col("url").contains("://")).select(F.col("url").alias("u"), F.explode(targets).alias("v"))
-    return edges.where(F.col("v").contains("://") & (F.col("u") != F.col("v"))).distinct()
+    edges = edges.where(F.col("v").contains("://")).select(normal(F.col("u")).alias("u"), normal(F.col("v")).alias("v"))
+    return edges.where(F.col("u") != F.col("v")).distinct()
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
-    """pages: page_id, url, html. Adds host, path, rule, verdict and alias (the class's least url)."""
+    """pages: url, html. Adds host, path, rule, verdict and alias (the class's least url)."""
+    return beside(pages, {"url": "url", "html": "html"}, ["host", "path", "rule", "verdict", "alias"], lambda x: _judge(x, rules))
+
+
+def _judge(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     host, path = host_path(F.coalesce(F.col("url"), F.lit("")))
     pages = pages.withColumn("host", host).withColumn("path", path)
     rule, own = rule_for(F.col("host"), F.col("path"), rules)
-    pages = pages.withColumn("rule", rule).withColumn("_own", own)
-    aliases = stash(components(stash(link_edges(pages), "links")), "aliases")
+    pages = pages.withColumn("rule", rule)
+    links = stash(link_edges(pages), "links")
+    aliases = stash(components(links), "aliases")
+    release(links)
     # Decisions of classes, from pages and from linked urls that no page has.
     named_host, named_path = host_path(F.col("node"))
     _, named = rule_for(named_host, named_path, rules)
     decided = aliases.withColumn("own", named).groupBy("component").agg(F.max(F.col("own") == "allow").alias("allow"), F.max(F.col("own") == "block").alias("block"))
     classes = stash(aliases.join(decided, "component"), "classes").toDF("_alias", "_node", "_allow", "_block")
-    out = pages.join(classes, pages["url"] == classes["_node"], "left")
+    out = pages.withColumn("_own", own).withColumn("_url", F.when(F.col("url").contains("://"), normal(F.col("url"))))
+    out = out.join(classes, F.col("_url") == F.col("_node"), "left")
     by_class = F.when(F.col("_allow"), "allow").when(F.col("_block"), "block").otherwise("allow")
     out = out.withColumn("verdict", F.coalesce("_own", by_class)).withColumn("alias", F.col("_alias"))
-    return out.drop("_own", "_node", "_alias", "_allow", "_block")
+    return out
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
