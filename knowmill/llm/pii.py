@@ -2,22 +2,22 @@
 
 A keyed Feistel network over two moduli permutes all digit strings of a length, so that a number maps to another
 number of the same format and equal numbers stay equal in all documents. Card numbers keep a valid Luhn digit, IBANs
-valid check digits, IPv4 octets stay in range, and dates are permuted within their 400-year calendar cycle
-(146,097 days) and written in the format they had. Numbers that fail their check are no personal data and stay. Mail addresses and secrets take
-keyed tokens of their own alphabet.
-
-Null texts stay null; empty texts stay empty; texts without personal data are returned unchanged. Extra columns stay, but
-n_pii takes the place of a column of that name.
+valid check digits, IPv4 octets stay in range, social security numbers keep to those that can be issued, and dates are
+permuted within their own 3,652 days (about ten years) and written in the format they had. Numbers that fail their check
+are no personal data and stay. The local part and the host's name of mail addresses, whose short ones would not leave room
+for all others, become keyed tokens of 16 and 12 characters, so that different addresses stay different; secrets take
+keyed tokens of their own length.
+
+Null texts stay null; empty texts stay empty; texts without personal data are returned unchanged. Rows that repeat an id
+are changed each by itself; ids are not read. Extra columns stay, but n_pii takes the place of a column of that name.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, with_text
+from .common import beside, table, with_text
 
 ROUNDS = 8
 #: Production callers pass their own key; this one is for tests and the registered query.
@@ -33,9 +33,11 @@ IBAN = "|".join(
     [rf"(?:{c.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") + r"\b" for n, c in IBAN_LENGTHS.items()]
     + [r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"]
 )
-#: Phone numbers: groups of three and four digits; in pairs; an area code and one group; without gaps.
+#: Phone numbers: groups of three and four digits behind a country code, an area in brackets, a nought or with three digits
+#: and four at the end (else groups of three are a number with thousands); in pairs; an area code and one group; without gaps.
 PHONES = (
-    r"(?<![\w.+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\w)",
+    r"(?<![\w.+])(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])|\(\d{2,4}\)[ .-]?|0\d{1,3}[ .-])\d{3,4}[ .-]\d{3,4}(?![ .-]?\d|\w)",
+    r"(?<![\w.+])(?<!\d[ .-])[2-9]\d{2}[ .-]\d{3}[ .-]\d{4}(?![ .-]?\d|\w)",
     r"(?<![\w.+])(?<!\d[ -])(?:(?:\+|00)\d{1,3}[ .-]?(?:\(0\)[ .-]?)?[1-9]|0[1-9])(?:(?: \d{2}){4}|(?:\.\d{2}){4}|(?:-\d{2}){4})(?![ .-]?\d|\w)",
     r"(?<![\w.+])(?<!\d[ -])(?:(?:\+|00)\d{1,3}[ .-]?)?(?:[6-9]\d{2} \d{2}|[6-9]\d \d{3})(?: \d{2}){2}(?! ?\d|\w)",
     r"(?<![\w.+])(?<!\d[ -])(?:(?:\+|00)\d{1,3}[ .-]?(?:\(0\)[ .-]?)?[1-9]\d{0,4}|\(0\d{1,4}\)|0[1-9]\d{0,3})[ ./-]{1,3}\d{5,8}(?![ .-]?\d|\w)",
@@ -48,7 +50,7 @@ KINDS = {
     "ipv4": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
     "iban": rf"\b(?=[A-Z]{{2}}\d{{2}})(?:{IBAN})",
     "date": r"(?<![\w.-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\w-])",
-    "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
+    "ssn": r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])",
     "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])",
     "phone": "|".join(PHONES),
 }
@@ -111,29 +113,45 @@ def _refill(shape: Column, digits: Column) -> Column:
     return F.array_join(F.transform(F.split(shape, ""), lambda c, i: F.when(c.rlike(r"\d"), F.substr(digits, seen(i), F.lit(1))).otherwise(c)), "")
 
 
-def _token(value: Column, key: str, kind: str) -> Column:
-    """As many characters as value, of lower-case letters and digits, keyed."""
-    return F.substr(F.repeat(F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), value), 256), 4), F.lit(1), F.length(value))
+def _token(value: Column, key: str, kind: str, size: int | None = None) -> Column:
+    """As many characters as value (or ``size``), of lower-case letters and digits, keyed."""
+    return F.substr(F.repeat(F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), value), 256), 4), F.lit(1), F.length(value) if size is None else F.lit(size))
 
 
 def _date(m: Column, fmt: str, key: str) -> Column:
+    """Another day of the same 3,652 = 44 * 83 days, counted from 1600."""
     day = F.try_to_date(m, fmt)
     n = F.datediff(day, F.lit("1600-01-01").cast("date"))
-    cycle = F.floor(n / 146097).cast("int")
-    k = F.pmod(n, F.lit(146097))
-    s = feistel(F.floor(k / 773), F.pmod(k, F.lit(773)), F.lit(189), F.lit(773), key, F.lit("date"))
-    back = F.get(F.transform(F.array(s), lambda s: F.date_add(F.lit("1600-01-01").cast("date"), (s["l"] * 773 + s["r"]).cast("int") + cycle * 146097)), F.lit(0))
+    span = F.floor(n / 3652).cast("int")
+    k = F.pmod(n, F.lit(3652))
+    s = feistel(F.floor(k / 83), F.pmod(k, F.lit(83)), F.lit(44), F.lit(83), key, F.lit("date"))
+    back = F.get(F.transform(F.array(s), lambda s: F.date_add(F.lit("1600-01-01").cast("date"), (s["l"] * 83 + s["r"]).cast("int") + span * 3652)), F.lit(0))
     return F.when(day.isNull(), m).otherwise(F.date_format(back, fmt))
 
 
+def _ssn(m: Column, key: str) -> Column:
+    """Another number that can be issued: 898 areas (1 to 899 without 666) with 99 groups, and 9,999 serials."""
+    part = lambda at, n: F.substring(m, at, n).cast("long")
+    area = part(1, 3) - 1 - (part(1, 3) > 666).cast("long")
+    s = feistel(area * 99 + part(5, 2) - 1, part(8, 4) - 1, F.lit(898 * 99), F.lit(9999), key, F.lit("ssn"))
+
+    def written(s: Column) -> Column:
+        a = F.floor(s["l"] / 99) + 1
+        two = lambda c, n: F.lpad(c.cast("string"), n, "0")
+        return F.concat_ws("-", two(a + (a >= 666).cast("long"), 3), two(s["l"] % 99 + 1, 2), two(s["r"] + 1, 4))
+
+    return F.get(F.transform(F.array(s), written), F.lit(0))
+
+
 def pseudonym(m: Column, key: str = KEY) -> Column:
     """The pseudonym of one match of ``ANY``; a match that fails its check stays as it is."""
     digits = F.regexp_replace(m, r"\D", "")
     whole = lambda p: m.rlike(f"^(?:{p})$")
-    email = F.concat(_token(F.substring_index(m, "@", 1), key, "local"), F.lit("@"), _token(F.substring_index(F.substring_index(m, "@", -1), ".", 1), key, "host"), F.lit("."), F.regexp_replace(F.substring_index(m, "@", -1), r"^[^.]*\.", ""))
+    site = F.substring_index(m, "@", -1)
+    local, host = _token(F.substring_index(m, "@", 1), key, "local", 16), _token(F.substring_index(site, ".", 1), key, "host", 12)
+    email = F.concat(local, F.lit("@"), host, F.lit("."), F.regexp_replace(site, r"^[^.]*\.", ""))
     value = F.regexp_extract(m, r"([A-Za-z0-9_-]+)$", 1)
     secret = F.concat(F.regexp_replace(m, r"[A-Za-z0-9_-]+$", ""), _token(value, key, "secret"))
-    octet = lambda x, i: F.pmod(x.cast("long") + _mix(key, F.lit("ip"), i), F.lit(256))
     octets = F.split(m, r"\.")
     ip_pair = feistel(F.get(octets, F.lit(0)).cast("long") * 256 + F.get(octets, F.lit(1)).cast("long"), F.get(octets, F.lit(2)).cast("long") * 256 + F.get(octets, F.lit(3)).cast("long"), F.lit(65536), F.lit(65536), key, F.lit("ip"))
     ip = F.get(F.transform(F.array(ip_pair), lambda s: F.concat_ws(".", F.floor(s["l"] / 256), F.pmod(s["l"], F.lit(256)), F.floor(s["r"] / 256), F.pmod(s["r"], F.lit(256)))), F.lit(0))
@@ -158,7 +176,7 @@ def pseudonym(m: Column, key: str = KEY) -> Column:
         .when(m.rlike(r"^\d{4}-\d{2}-\d{2}$"), _date(m, "yyyy-MM-dd", key))
         .when(m.rlike(r"^\d{2}\.\d{2}\.\d{4}$"), _date(m, "dd.MM.yyyy", key))
         .when(m.rlike(r"^\d{2}/\d{2}/\d{4}$"), F.when(F.try_to_date(m, "MM/dd/yyyy").isNull(), _date(m, "dd/MM/yyyy", key)).otherwise(_date(m, "MM/dd/yyyy", key)))
-        .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), _refill(m, permute_digits(digits, key, "ssn")))
+        .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), _ssn(m, key))
         .when(F.length(digits).between(13, 19) & ~m.startswith("+"), F.when(luhn_sum(digits) % 10 == 0, card).otherwise(m))
         .when(F.length(digits).between(7, 15), phone)
         .otherwise(m)
@@ -167,14 +185,19 @@ def pseudonym(m: Column, key: str = KEY) -> Column:
 
 def pseudonymise(df: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
     """Replaces personal data in ``text`` and adds n_pii (long), the number of values replaced."""
-    t = F.col(text)
+    out = beside(df, {"_text": text}, [text, "n_pii"], lambda x: _pseudonymise(x, key).withColumnRenamed("_text", text))
+    return out.select(*[f"`{c}`" for c in df.columns if c != "n_pii"], "n_pii")
+
+
+def _pseudonymise(df: DataFrame, key: str) -> DataFrame:
+    t = F.col("_text")
     df = df.withColumn("_found", F.when(t.rlike(GATE), F.regexp_extract_all(t, F.lit(f"({ANY})"), F.lit(1))))
     df = df.withColumn("_new", F.when(F.size("_found") > 0, F.transform("_found", lambda m: pseudonym(m, key))))
     gaps = F.split(t, ANY, -1)
     rebuilt = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get("_new", i), F.lit("")))), "")
     df = df.withColumn("n_pii", F.coalesce(F.size(F.filter(F.arrays_zip("_found", "_new"), lambda x: x["_found"] != x["_new"])), F.lit(0)).cast("long"))
     df = df.withColumn("n_pii", F.greatest("n_pii", F.lit(0).cast("long")))
-    return df.withColumn(text, F.when(F.col("_new").isNotNull(), rebuilt).otherwise(t)).drop("_found", "_new")
+    return df.withColumn("_text", F.when(F.col("_new").isNotNull(), rebuilt).otherwise(t))
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
