@@ -67,12 +67,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             seen = (Counter(), Counter())
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 seen[toxic == 1].update(w for w in _words(fold(text or "")) if 2 < len(w) < 40)
-            words = list(seen[1])
-            if words:
-                # Words that no toxic document of the batch holds matter only if some other batch has them.
-                words += [w for w in seen[0] if w not in seen[1]]
-            else:
-                words = list(seen[0])
+            words = list(seen[0] | seen[1])
             yield pa.RecordBatch.from_arrays([pa.array(words), pa.array([seen[1][w] for w in words], pa.int64()), pa.array([seen[0][w] for w in words], pa.int64())], names=["word", "toxic", "clean"])
 
     return docs.select("text", "toxic").mapInArrow(run, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
@@ -80,7 +75,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 def learn_lexicon(docs: DataFrame, n_toxic: int, n_clean: int) -> dict[str, float]:
     """Weights of words that toxic training documents hold far more often than others."""
-    least = max(4, math.ceil(0.01 * n_toxic))
+    least = max(2, math.ceil(0.01 * n_toxic))
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
     rows = word_counts(docs).where(F.col("toxic") >= least).withColumn("w", odds).where("w > 1.2").orderBy(F.desc(F.col("w") * F.col("toxic")), "word").limit(MAX_TERMS).collect()
     return dict.fromkeys(SEEDS, 1.0) | {r["word"]: r["w"] for r in rows}
