@@ -169,7 +169,7 @@ def test_mixing(docs, none):
     parts = mixing.whole_parts({"a": 0.5, "b": 0.3, "c": 0.2}, 100)
     plan = mixing.pfair(parts)
     assert sorted(s for _, _, s in plan) == list(range(100)) and collections.Counter(s for s, _, _ in plan) == parts and mixing.lag(parts) < Fraction(1)
-    got = mixing.mix(docs, block=2, period=10).collect()
+    got = mixing.mix(docs, block=2).collect()
     assert sorted(r.doc_id for r in got) == list(range(len(TEXTS))) and len({r.mix_position for r in got}) == len(TEXTS)
     assert mixing.mix(none).count() == 0
 
@@ -202,7 +202,7 @@ def odd(docs):
     """Rows with null and repeated ids, nulls in every column, and columns named like those that operators add."""
     more = docs.where("doc_id in (9, 10, 16)").withColumn("doc_id", F.lit(None).cast("long"))
     every = docs.union(more).union(docs.where("doc_id = 9")).union(docs.select(*[F.lit(None).cast(t).alias(c) for c, t in docs.dtypes]))
-    extra = ("n_words", "kept", "labels", "score", "n_pii", "component_id", "mix_slot", "verdict", "alias", "allow", "word", "rank", "block")
+    extra = ("n_words", "kept", "labels", "score", "n_pii", "component_id", "mix_slot", "verdict", "alias", "allow", "word", "rank", "block", "_aside", "_t", "_w", "_found", "_new", "_n", "_low", "_s", "_i", "_rank", "_own", "_url", "_id")
     return every.drop("n").withColumns({c: F.lit("x") for c in extra}).cache()
 
 
@@ -213,7 +213,7 @@ def test_odd_rows_in_operators(odd):
     assert len(got) == n and {r.component_id for r in got if r.doc_id is None and r.n_shingles == 196} == {9}
     assert lm.score(odd.withColumn("train", F.col("doc_id") % 2 == 1)).count() == n
     assert toxicity.score(odd, odd.select("doc_id", F.lit(None).cast("int").alias("toxic"))).count() == n
-    assert mixing.mix(odd, block=2, period=10).select("mix_position").distinct().count() == n
+    assert mixing.mix(odd, block=2).select("mix_position").distinct().count() == n
     assert packing.cut_documents(odd).where("start = 0").count() == n
     pieces = packing.pack(packing.cut_documents(odd))
     assert pieces.select("sequence_id", "offset").distinct().count() == packing.cut_documents(odd).count()
