@@ -3,25 +3,30 @@
 Two documents link when 100 * |A and B| >= 75 * |A or B| over their sets of distinct five-word shingles (a shorter
 text is one shingle). Equal sets form a class; the join runs between classes.
 
-Inverted lists are divided: shingles that many documents hold are long lists, ordered last. Two sets need T common
-shingles, T = ceil(0.75 n) for the set of n at least, so a set may leave out its T - h last ones (its longest lists) and
-still meets each partner in h = max(1, n / HITS) of the others: these short lists are shuffled and merged, pairs with too
-few hits are dropped, and candidates are completed by probes into the other's set. Which lists count as long
-only steers the work: any order shared by all gives the same links.
-
-Lists of up to ``LIST`` classes give candidate pairs. Classes that meet in longer lists (large groups of near copies)
-are cut into blocks of bounded size; each pair of blocks is one group that runs the search in memory, merging short lists,
-probing long ones and skipping classes that links already join, so no pair of a group becomes a row. Components come
-from Spark jobs. Nothing is sampled or capped.
-
-Null or empty texts have no shingles and link with nothing; equal texts always link; doc_id must be unique, rows that
-repeat one are returned as often and stay or go together. A document without doc_id gets the component of a document with
-the same set, else null. Shingles are compared by 64-bit hashes of their words.
+The search: a class probes an index of inverted lists for the classes that stand in at least T of its lists
+(T follows from its size). Its lists are divided (DivideSkip): the short ones are merged by a heap that skips entries no
+count can save, the long ones are probed by binary search for the classes the merge has left (``divide_skip``).
+
+An index must hold whole lists and fit a task, so classes first meet: a set may leave out its T - h last shingles in an
+order from rare to frequent and still shares h = max(1, n / HITS) of the others with each partner. Those others are
+shuffled by shingle; classes that share enough of them meet, in pairs for lists of up to ``LIST`` classes, through the first
+class for longer ones. Which shingles count as frequent only steers the work: any order shared by all gives the same
+links. Classes connected by meetings form a group. Small groups share an index of bounded size; a large group is cut into blocks
+of bounded size, each block is indexed and probed by itself and by every other block, so that no pair of a group becomes
+a row. Components of the links come from Spark jobs. Nothing is sampled or capped.
+
+Null or empty texts have no shingles and link with nothing; equal texts always link. Rows that repeat a doc_id, with the
+same or another text, are returned as often and each by its own text. A document without doc_id takes part and gets the
+component of the documents it links with, null if none of them has an id. Only doc_id and text are read. Texts may have any
+length; one text's shingles must fit a task. Empty tables give no rows. Shingles are compared by 64-bit hashes of their words, classes by
+64-bit hashes of their shingles.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -30,12 +35,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, stash, table
+from .common import components, release, stash, table
 
 SHINGLE, PERCENT = 5, 75
-#: Longest inverted list that is joined as pairs; classes and shingles of a block; long lists that steer the order, at most.
-LIST, BLOCK, BLOCK_SHINGLES, STEER, HITS = 24, 2048, 1_500_000, 1 << 18, 16
-PART_BYTES = 4_000_000
+#: Longest list whose classes meet in pairs; a set's size for each meeting asked for; frequent shingles that steer the order, at most.
+LIST, HITS, STEER = 8, 16, 1 << 18
+#: Classes and shingles of a block; shingles of small groups that share an index; entries of a bucket; bytes of text at once.
+BLOCK, BLOCK_SHINGLES, SHARED, BUCKET, PART_BYTES = 512, 1_000_000, 200_000, 300_000, 4_000_000
+#: Up to so many entries for each member of an index, short lists are merged by a heap.
+DENSE = 16
+NONE = np.zeros(0, dtype=np.int64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -157,8 +166,7 @@ def measure_sets(docs: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame, long_lists: np.ndarray, buckets: int) -> DataFrame:
-    """The short lists' entries, packed by bucket of shingle: parallel arrays of shingle and class. With the bucket, 32
-    bits of a shingle do: two that fall together only add a candidate.
+    """The entries through which classes meet, packed by bucket of shingle: parallel arrays of shingle and class.
     long_lists: ascending hashes of frequent shingles, with ranks from rare to frequent."""
     spark = docs.sparkSession
     steer = spark.sparkContext.broadcast(long_lists)  # at most STEER entries
@@ -186,19 +194,19 @@ def postings(docs: DataFrame, long_lists: np.ndarray, buckets: int) -> DataFrame
             if not kept:
                 continue
             value, key = (np.concatenate(x) for x in zip(*kept, strict=True))
-            bucket = (value >> np.uint64(40)) % np.uint64(buckets)
+            bucket = (value >> np.uint64(20)) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
             per = np.bincount(bucket.astype(np.int64), minlength=buckets)
             live, per = np.flatnonzero(per), per[per > 0]
-            cols = [pa.array(live, pa.int64()), _lists(value[order].astype(np.uint32).view(np.int32), per, pa.int32()), _lists(key[order], per)]
+            cols = [pa.array(live, pa.int64()), _lists(value[order], per), _lists(key[order], per)]
             yield pa.RecordBatch.from_arrays(cols, names=["bucket", "shingles", "classes"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "bucket long, shingles array<int>, classes array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "bucket long, shingles array<long>, classes array<long>")
 
 
 def merge_lists(packed: DataFrame) -> DataFrame:
-    """Merges the entries of a bucket by shingle and counts hits: pairs (a, b) from lists of up to LIST classes, and for
-    longer lists (hot) their first class with each of their classes."""
+    """Counts the meetings of a bucket: pairs (a, b) from lists of up to LIST classes, and for longer lists (hot) their
+    first class with each of their classes."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         value, key = (np.concatenate(part[c].to_list()) for c in ("shingles", "classes"))
@@ -228,71 +236,136 @@ def merge_lists(packed: DataFrame) -> DataFrame:
     return packed.groupBy("bucket").applyInPandas(run, "a long, b long, hot boolean, hits long")
 
 
-def divide_skip(lists: list[np.ndarray], members: int, need: int) -> tuple[np.ndarray, np.ndarray]:
-    """T-occurrence by divided lists: merges the short lists by counting, keeps members with need - L hits,
-    and probes the L longest lists for the rest. Returns members reaching ``need`` and their hits."""
-    lists = sorted(lists, key=len)
-    long_ = min(need - 1, int(need / (0.01 * np.log2(max(len(lists[-1]), 2)) + 1)), len(lists) - 1)
-    cut = len(lists) - long_
-    hits = np.bincount(np.concatenate(lists[:cut]), minlength=members)
-    (live,) = np.nonzero(hits >= need - long_)
-    hits = hits[live]
-    for k, probe in enumerate(lists[cut:]):
-        at = np.minimum(np.searchsorted(probe, live), len(probe) - 1)
-        hits = hits + (probe[at] == live)
-        stay = hits >= need - (long_ - k - 1)
-        live, hits = live[stay], hits[stay]
-    return live, hits
+def heap_merge(lists: list[list[int]], need: int) -> list[tuple[int, int]]:
+    """Entries that at least ``need`` of the ascending lists hold, with how many do. The heap holds each list's next entry;
+    where too few lists stand at the least one, need - 1 lists are moved on to the next entry that can still be reached."""
+    k = len(lists)
+    heap = [x[0] * k + i for i, x in enumerate(lists)]
+    heapify(heap)
+    at, out = [0] * k, []
+    while len(heap) >= need:
+        least = heap[0] // k
+        stop, popped = (least + 1) * k, []
+        while heap and heap[0] < stop:
+            popped.append(heappop(heap) % k)
+        if len(popped) >= need:
+            out.append((least, len(popped)))
+            goal = least + 1
+        else:
+            while heap and len(popped) < need - 1:
+                popped.append(heappop(heap) % k)
+            if not heap:
+                break
+            goal = heap[0] // k
+        for i in popped:
+            rest = lists[i]
+            at[i] = bisect_left(rest, goal, at[i])
+            if at[i] < len(rest):
+                heappush(heap, rest[at[i]] * k + i)
+    return out
+
 
+class Index:
+    """Inverted lists of classes, given as flat shingle codes with their owners, ascending."""
 
-def link_blocks(cells: DataFrame) -> DataFrame:
-    """cells: grp, i, j, cls, doc, blk, shingles. Rows (u, v) of links within one pair of blocks that join its classes,
-    and rows (cls, n) of how many links between the two blocks each class has."""
+    def __init__(self, code: np.ndarray, owner: np.ndarray, members: int):
+        order = np.argsort(code, kind="stable")
+        self.owner, self.members = owner[order], members
+        self.ends = np.cumsum(np.bincount(code, minlength=int(code.max(initial=-1)) + 1))
+        self.keys = code[order].astype(np.int64) * members + self.owner
+
+    def divide_skip(self, codes: np.ndarray, need: int, above: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """Members after ``above`` that stand in at least ``need`` of the codes' lists, and in how many. The longest
+        lists, fewer than need, are set apart and probed for what the others' merge leaves."""
+        codes = codes[codes < len(self.ends)]
+        hi = self.ends[codes]
+        lo = np.searchsorted(self.keys, codes * self.members + above + 1)
+        live = hi > lo
+        codes, lo, hi = codes[live], lo[live], hi[live]
+        if len(codes) < need:
+            return NONE, NONE
+        order = np.argsort(hi - lo, kind="stable")
+        codes, lo, hi = codes[order], lo[order], hi[order]
+        apart = min(need - 1, int(need / (0.01 * np.log2(max(int(hi[-1] - lo[-1]), 2)) + 1)))
+        cut = len(codes) - apart
+        lists = [self.owner[x:y] for x, y in zip(lo[:cut].tolist(), hi[:cut].tolist(), strict=True)]
+        if sum(map(len, lists)) <= DENSE * self.members:
+            found = heap_merge([x.tolist() for x in lists], need - apart)
+            at, hits = (np.array(x, dtype=np.int64) for x in (zip(*found, strict=True) if found else ((), ())))
+        else:  # lists that nearly all members fill: counting in an array is the cheaper merge
+            hits = np.bincount(np.concatenate(lists), minlength=self.members)
+            (at,) = np.nonzero(hits >= need - apart)
+            hits = hits[at]
+        for k in range(cut, len(codes), 64):
+            probed = codes[k : k + 64]
+            wanted = (probed[:, None] * self.members + at).ravel()
+            spot = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+            hits = hits + (self.keys[spot] == wanted).reshape(len(probed), -1).sum(axis=0)
+            stay = hits >= need - max(0, len(codes) - k - 64)
+            at, hits = at[stay], hits[stay]
+        return at, hits
+
+
+def link_cells(cells: DataFrame) -> DataFrame:
+    """cells: grp, i, j, cls, blk, shingles. Rows (u, v) that join the classes which links of a cell connect, and rows
+    (cls, n) of how many links each class has there. A cell i = j links its classes with each other, another one those of
+    its two blocks."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.drop_duplicates("cls").reset_index(drop=True)
-        m = len(part)
-        sets = [np.asarray(x) for x in part["shingles"]]
-        sizes = np.array([len(x) for x in sets])
-        flat = np.concatenate(sets)
+        part = part.drop_duplicates("cls")
+        part = part.assign(size=part["shingles"].map(len)).sort_values(["size", "cls"], ignore_index=True)
+        m, sizes, keys = len(part), part["size"].to_numpy(), part["cls"].to_numpy()
         owner = np.repeat(np.arange(m), sizes)
-        _, code = np.unique(flat, return_inverse=True)
-        order = np.argsort(code, kind="stable")
-        ends = np.cumsum(np.bincount(code))
-        lists = np.split(owner[order], ends[:-1])
+        _, code = np.unique(np.concatenate(part["shingles"].to_list()), return_inverse=True)
         at = np.concatenate([[0], np.cumsum(sizes)])
-        top = np.arange(m)
-
-        def root(x: int) -> int:
-            while top[x] != x:
-                top[x] = top[top[x]]
-                x = top[x]
-            return x
-
-        out, docs, blk = [], part["doc"].to_numpy(), part["blk"].to_numpy()
-        alone = part["i"].iat[0] == part["j"].iat[0]  # pairs within a block are counted where it stands alone
-        n_links = np.zeros(m, dtype=np.int64)
-        for a in range(m):
-            need = max(1, -(-PERCENT * sizes[a] // 100))
-            live, hits = divide_skip([lists[c] for c in code[at[a] : at[a + 1]]], m, int(need))
-            ok = 100 * hits >= PERCENT * (sizes[a] + sizes[live] - hits)
-            found = live[ok]
-            n_links[a] = np.count_nonzero((found != a) & (alone | (blk[found] != blk[a])))
-            for b in found:
-                if (x := root(a)) != (y := root(int(b))):
-                    top[max(x, y)] = min(x, y)
-                    out.append((docs[a], docs[b]))
-        links = pd.DataFrame(out, columns=["u", "v"], dtype="Int64")
+        alone = part["i"].iat[0] == part["j"].iat[0]
+        held = np.ones(m, dtype=bool) if alone else (part["blk"] == part["i"]).to_numpy()
+        index = Index(code[held[owner]], owner[held[owner]], m)
+        label, n_links = np.arange(m), np.zeros(m, dtype=np.int64)
+        for a in range(m) if alone else np.flatnonzero(~held):
+            # Alone, a class looks for those after it, which are no smaller: |A and B| >= 0.75 / 1.75 * (|A| + |B|).
+            need = -(-2 * PERCENT * sizes[a] // (100 + PERCENT)) if alone else -(-PERCENT * sizes[a] // 100)
+            found, hits = index.divide_skip(code[at[a] : at[a + 1]], max(1, int(need)), a if alone else -1)
+            found = found[100 * hits >= PERCENT * (sizes[a] + sizes[found] - hits)]
+            if len(found):
+                n_links[a] += len(found)
+                n_links[found] += 1
+                some = np.unique(np.append(label[found], label[a]))
+                if len(some) > 1:
+                    label[np.isin(label, some)] = some[0]
+        (moved,) = np.nonzero(label != np.arange(m))
         (some,) = np.nonzero(n_links)
-        return pd.concat([links.assign(cls=pd.NA, n=pd.NA), pd.DataFrame({"u": pd.NA, "v": pd.NA, "cls": part["cls"].to_numpy()[some], "n": n_links[some]})]).astype("Int64")
+        edges = pd.DataFrame({"u": keys[label[moved]], "v": keys[moved], "cls": pd.NA, "n": pd.NA})
+        return pd.concat([edges, pd.DataFrame({"u": pd.NA, "v": pd.NA, "cls": keys[some], "n": n_links[some]})]).astype("Int64")
 
     return cells.groupBy("grp", "i", "j").applyInPandas(run, "u long, v long, cls long, n long")
 
 
+def set_members(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """cls, n, shingles of the wanted classes (cls, doc), from the texts of their first documents; a class without any
+    doc_id is looked for among the documents without."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _parts(batch):
+                values, counts = shingle_sets(part.column(1))
+                own = _classes(values, counts)
+                asked = part.column(0)
+                # A repeated doc_id may have another text.
+                right = pc.fill_null(pc.equal(asked, _signed(own)), True)
+                cols = [_signed(own), pa.array(counts, pa.int32()), _lists(values, counts)]
+                yield pa.RecordBatch.from_arrays(cols, names=["cls", "n", "shingles"]).filter(right)
+
+    kind = "cls long, n int, shingles array<long>"
+    named = docs.select("doc_id", "text").join(wanted.where("doc is not null"), F.col("doc_id") == F.col("doc"))
+    named = named.select("cls", "text").mapInArrow(listed, kind)
+    bare = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("cls"), "text").mapInArrow(listed, kind)
+    return named.union(bare.join(wanted.where("doc is null").select("cls"), "cls"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, n_shingles, component_id (least doc_id reachable by links), class_id (least
-    doc_id with the same set), n_links (classes that the class links with; null for a class without any doc_id)."""
-    spark = docs.sparkSession
+    doc_id with the same set), n_links (classes that the class links with)."""
     measured = stash(measure_sets(docs), "sets")
     sets = measured.where("not often")
     often = measured.where("often").groupBy("cls").agg(F.sum("n").alias("n")).where("n >= 16")
@@ -302,55 +375,49 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     order = np.argsort(hashes)
     long_lists = np.rec.fromarrays([hashes[order], ranks[order]], names="h,rank")
     classes = stash(sets.where("cls <> 0").groupBy("cls").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n")), "classes")
-    buckets = max(256, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    merged = stash(merge_lists(postings(docs, long_lists, buckets)), "merged")
-    # A class may have hits in long lists too: in how many of its own it stands bounds those with any partner.
+    entries = classes.agg(F.sum("n") * (1 - PERCENT / 100 + 1 / HITS)).first()[0] or 0
+    merged = stash(merge_lists(postings(docs, long_lists, 256 + int(entries / BUCKET))), "merged")
+    # A class may meet others in long lists too: in how many of its own it stands bounds those with any partner.
     long_hits = merged.where("hot").groupBy(F.col("b").alias("cls")).agg(F.sum("hits").alias("h"))
-    sized = stash(classes.join(long_hits, "cls", "left").select("cls", "doc", "n", F.coalesce("h", F.lit(0)).alias("h")), "sized")
+    sized = stash(classes.join(long_hits, "cls", "left").select("cls", "n", F.coalesce("h", F.lit(0)).alias("h")), "sized")
     need = lambda n: F.greatest(F.lit(1), F.floor(n / HITS))
     pairs = merged.where("not hot").groupBy("a", "b").agg(F.sum("hits").alias("hits"))
-    pairs = pairs.join(sized.select("cls", "n", "h").toDF("a", "na", "ha"), "a").join(sized.select("cls", "n", "h").toDF("b", "nb", "hb"), "b")
+    pairs = pairs.join(sized.toDF("a", "na", "ha"), "a").join(sized.toDF("b", "nb", "hb"), "b")
     enough = F.col("hits") + F.least("ha", "hb") >= F.least(need(F.col("na")), need(F.col("nb")))
-    pairs = stash(pairs.where(enough & (100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))).select("a", "b"), "pairs")
-    # Pairs without a hit in short lists have all in long ones; the smaller set's need is at least 0.75 of the larger's.
+    pairs = pairs.where(enough & (100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))).select("a", "b")
+    # Pairs without a meeting in short lists have all in long ones; the smaller set's need is at least 0.75 of the larger's.
     alive = sized.where((F.col("h") > 0) & (F.col("h") >= F.floor(0.75 * F.col("n") / HITS))).select("cls")
-    stars = merged.where("hot").join(alive, F.col("b") == F.col("cls"), "left_semi").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    hot = stash(components(stars), "hot").toDF("cls", "grp").join(alive, "cls", "left_semi")
-    # Sets of classes in any candidate, from the texts of their first documents.
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).union(hot.select("cls")).distinct().join(classes.select("cls", "doc"), "cls")
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("doc")).select("doc", "text", "cls")
-
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in _parts(batch):
-                values, counts = shingle_sets(part.column(1))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(counts, pa.int32()), _lists(values, counts)], names=["doc", "cls", "n", "shingles"])
-
-    members = stash(texts.mapInArrow(listed, "doc long, cls long, n int, shingles array<long>"), "members")
-    # Short lists' candidates: probe the smaller set's shingles in the other.
-    left = members.select(F.col("cls").alias("a"), F.col("doc").alias("u"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
-    right = members.select(F.col("cls").alias("b"), F.col("doc").alias("v"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    links = pairs.join(left, "a").join(right, "b").where(100 * common >= PERCENT * (F.col("na") + F.col("nb") - common)).select("a", "b", "u", "v")
-    links = stash(links, "short")
-    # Long lists' candidates: blocks of a group, each pair of blocks by itself.
+    stars = merged.where("hot").join(alive, F.col("b") == F.col("cls"), "left_semi").select("a", "b")
+    meetings = stash(pairs.union(stars).toDF("u", "v"), "meetings")
+    release(merged)
+    groups = stash(components(meetings), "groups").toDF("cls", "grp")
+    # Classes that only lead a long list may be alone now.
+    wanted = groups.join(classes.select("cls", "doc"), "cls").select("cls", "doc")
+    members = stash(set_members(docs, wanted), "members")
     count = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES))
-    blocks = stash(hot.join(members.select("cls", "n"), "cls").groupBy("grp").agg(count.alias("blocks")), "blocks")
-    dealt = members.join(hot, "cls").join(blocks, "grp").withColumn("blk", F.pmod(F.xxhash64("cls"), F.col("blocks")))
+    blocks = stash(groups.join(members.select("cls", "n"), "cls").groupBy("grp").agg(count.alias("blocks"), F.sum("n").alias("load")), "blocks")
+    load = blocks.where("blocks = 1").agg(F.sum("load")).first()[0] or 0
+    bundle = F.pmod(F.xxhash64("grp"), F.lit(1 + load // SHARED))
+    dealt = members.join(groups, "cls").join(blocks, "grp").withColumn("blk", F.pmod(F.xxhash64("cls"), F.col("blocks")))
     cells = dealt.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    cells = cells.select("grp", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "cls", "doc", "blk", "shingles")
-    dense = stash(link_blocks(cells), "dense")
-    edges = stash(links.select("u", "v").union(dense.where("cls is null").select("u", "v")), "links")
-    # All pairs of a group are counted in its cells; other pairs here.
-    apart = links.join(hot.toDF("a", "ga"), "a", "left").join(hot.toDF("b", "gb"), "b", "left").where("ga is null or gb is null or ga <> gb")
-    ends = apart.select(F.col("a").alias("cls"), F.col("b").alias("other")).union(apart.select("b", "a"))
-    some = ends.groupBy("cls").agg(F.countDistinct("other").alias("n")).union(dense.where("cls is not null").select("cls", "n"))
-    n_links = stash(some.groupBy("cls").agg(F.sum("n").alias("n_links")), "counted")
-    joined = stash(components(edges), "joined")
-    named = classes.join(joined, F.col("doc") == F.col("node"), "left").join(n_links, "cls", "left")
-    named = named.select("cls", F.col("doc").alias("class_id"), F.coalesce("component", "doc").alias("component"), F.when(F.col("doc").isNotNull(), F.coalesce("n_links", F.lit(0))).alias("n_links"))
-    out = sets.join(stash(named, "named"), "cls", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"), F.when(F.col("cls") == 0, 0).otherwise(F.col("n_links")).alias("n_links"))
+    # Groups of one block share cells i = j = -1.
+    single = F.col("blocks") == 1
+    cells = cells.select(
+        F.when(single, bundle).otherwise(F.col("grp")).alias("grp"), F.when(single, -1).otherwise(F.least("blk", "o")).alias("i"),
+        F.when(single, -1).otherwise(F.greatest("blk", "o")).alias("j"), "cls", "blk", "shingles",
+    )
+    found = stash(link_cells(cells), "found")
+    release(meetings, members, blocks)
+    n_links = found.where("cls is not null").groupBy("cls").agg(F.sum("n").alias("n_links"))
+    joined = stash(components(found.where("cls is null").select("u", "v")), "joined").toDF("cls", "head")
+    named = stash(classes.select("cls", "doc").join(joined, "cls", "left").withColumn("head", F.coalesce("head", "cls")), "named")
+    least = named.groupBy("head").agg(F.min("doc").alias("component"))
+    named = named.join(least, "head").join(n_links, "cls", "left").select("cls", F.col("doc").alias("class_id"), "component", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = sets.join(stash(named, "classes"), "cls", "left")
+    return out.select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"),
+        F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
+    )
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
