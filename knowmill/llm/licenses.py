@@ -1,11 +1,12 @@
 """License detection by ordered signature rules, as DataFrame expressions only.
 
-``rules()`` spells out some hundreds of signatures: for each license its names, and for each kind of notice the
-forms in which that name appears. A text is first gated by keywords; only texts that pass are normalised to
-words joined by single spaces and matched. A detection whose words lie inside a longer one's is suppressed; where two
-overlap otherwise, the one of the rule of higher priority stays (then the longer, the earlier, the lesser label).
+``license_rules`` holds some hundreds of hand-written signatures. A text is first gated by keywords; only texts that pass
+are normalised to words joined by single spaces, and a label's signatures are matched only in texts with one of the label's
+own keywords. A detection whose words lie inside a longer one's is suppressed, also by phrases that only look like a
+license; where two overlap otherwise, the one of the rule of higher priority stays (then the longer, the earlier, the lesser label).
 
-Null texts count as empty: no words, no labels, score 0. Whole texts are searched.
+Null texts count as empty: no words, no labels, score 0. Whole texts of any length are searched. Rows that repeat an id are searched each by
+itself; ids are not read. Extra columns stay, but for those named as the added ones. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -16,64 +17,27 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER, table
+from .common import UPPER, beside, table
+from .license_rules import OTHER, SIGNATURES
 
 #: What stands between words: ASCII other than digits and lower-case letters, once A-Z are lower-cased.
 GAPS = "".join(chr(c) for c in range(128) if not (chr(c).isdigit() or chr(c).isalpha()))
 #: Phrases of the base, by label.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Names of licenses as normalised words, by label.
-NAMES = {
-    "agpl-3": ["gnu affero general public license", "affero gpl", "agpl", "agplv3"],
-    "apache-2": ["apache license", "apache 2 0 license", "apache software license"],
-    "artistic-2": ["artistic license", "artistic license 2 0"],
-    "bsd-2": ["bsd 2 clause license", "2 clause bsd license", "simplified bsd license", "freebsd license"],
-    "bsd-3": ["bsd 3 clause license", "3 clause bsd license", "new bsd license", "modified bsd license", "bsd license"],
-    "bsl-1": ["boost software license", "bsl 1 0"],
-    "cc-by": ["cc by 4 0", "cc by 3 0", "creative commons attribution license", "creative commons attribution 4 0"],
-    "cc-by-nc": ["creative commons attribution noncommercial", "creative commons attribution non commercial"],
-    "cc-by-sa": ["cc by sa", "creative commons attribution sharealike", "creative commons attribution share alike"],
-    "cc-by-nd": ["cc by nd", "creative commons attribution noderivatives", "creative commons attribution noderivs"],
-    "cc0": ["cc0", "cc zero", "creative commons zero"],
-    "cddl-1": ["common development and distribution license", "cddl"],
-    "epl-2": ["eclipse public license", "epl 2 0", "epl 1 0"],
-    "eupl": ["european union public licence", "european union public license", "eupl"],
-    "gfdl": ["gnu free documentation license", "gfdl"],
-    "gpl": ["gnu general public license", "gnu gpl", "gpl", "gplv2", "gplv3"],
-    "isc": ["isc license", "isc licence"],
-    "lgpl": ["gnu lesser general public license", "gnu library general public license", "lgpl", "lgplv2", "lgplv3"],
-    "mit": ["mit license", "mit licence", "expat license", "x11 license"],
-    "mpl-2": ["mozilla public license", "mpl 2 0", "mpl 1 1"],
-    "odbl": ["open database license", "odbl", "open data commons open database license"],
-    "ofl": ["sil open font license", "open font license", "ofl 1 1"],
-    "unlicense": ["the unlicense", "unlicense"],
-    "wtfpl": ["do what the fuck you want to public license", "wtfpl"],
-    "zlib": ["zlib license", "zlib libpng license"],
-}
-#: Forms of a notice around a name, strongest first.
-FORMS = ["spdx license identifier {}", "(?:licensed|released|distributed|available|published) under (?:the |an? )?(?:terms of (?:the )?)?{}", "under (?:the )?(?:terms of (?:the )?)?{}", "(?:see|read) (?:the )?{}", "{}"]
-#: Signatures that hold no name of a license.
-TEXTS = [
-    ("permission is hereby granted free of charge to any person obtaining a copy", "mit"),
-    ("redistribution and use in source and binary forms with or without modification", "bsd-3"),
-    ("this program is free software you can redistribute it", "gpl"),
-    ("this is free and unencumbered software released into the public domain", "unlicense"),
-    ("dedicated to the public domain", "public-domain"),
-    ("in the public domain", "public-domain"),
-    ("all rights reserved", "proprietary"),
-    ("copyright (?:c )?(?:19|20)[0-9]{2}", "copyright-notice"),
-    ("proprietary and confidential", "proprietary"),
-]
-#: A text with none of these has no detection.
-KEYWORDS = ("licen", "copyright", "permission", "redistribut", "software", "reserved", "proprietary", "spdx", "gpl", "common", "cddl", "odbl", "gfdl", "wtfpl", "domain", "unencumbered", "eupl", " cc ", " cc0 ", " epl ", " mpl ", " bsl ", " ofl ")
+KINDS = ("spdx", "text", "grant", "name")
+KEYS = {label: kinds["keys"] for label, kinds in SIGNATURES.items()}
+#: What the keys of most labels hold; with the keys that hold none of it, what a text must have to be looked at.
+STEMS = ("licen", "copyright", "reserved", "permission", "commons", "domain", "software", "identifier", "all rights")
+GATE = STEMS + tuple(sorted({k for keys in KEYS.values() for k in keys if not any(x in k for x in STEMS)}))
 
 
 def rules() -> list[tuple[int, str, str]]:
-    """(priority, pattern over normalised words, label): the lower the number the higher the priority."""
-    made = [(0, p, x) for p, x in BASE.items()] + [(1, p, x) for p, x in TEXTS]
-    for k, form in enumerate(FORMS):
-        made += [(2 + k, form.format(n), x) for x, names in NAMES.items() for n in sorted(names, key=len, reverse=True)]
-    return made
+    """(priority, pattern over normalised words, label): the lower the number the higher the priority. Phrases that are no
+    license have the label "" and the last priority."""
+    made = [(0, p, x) for p, x in BASE.items()]
+    for label, kinds in SIGNATURES.items():
+        made += [(1 + k, p, label) for k, kind in enumerate(KINDS) for p in sorted(kinds.get(kind, ()), key=len, reverse=True)]
+    return made + [(1 + len(KINDS), p, "") for p in OTHER]
 
 
 def _pattern(priority_rules: list[tuple[int, str, str]], label: str) -> str:
@@ -106,14 +70,21 @@ def _spans(spans: Column, label: str) -> Column:
 def detect(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_words, n_base, first_word, last_word (long), base_labels, labels (string), score (double) and
     detections (array of label, start and end word, priority)."""
+    added = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections"]
+    return beside(df, {"_text": text}, added, _detect)
+
+
+def _detect(df: DataFrame) -> DataFrame:
     every = rules()
-    t = F.coalesce(F.col(text), F.lit(""))
+    t = F.coalesce(F.col("_text"), F.lit(""))
     # One pass lower-cases A-Z and turns all that stands between words into spaces.
     spaced = F.translate(t, GAPS + UPPER, " " * len(GAPS) + UPPER.lower())
     df = df.withColumn("_low", F.concat(F.lit(" "), spaced, F.lit(" ")))
     df = df.withColumn("n_words", F.regexp_count("_low", F.lit("[^ ]+")).cast("long"))
-    gate = reduce(or_, [F.col("_low").contains(k) for k in KEYWORDS])
-    df = df.withColumn("_n", F.when(gate, F.regexp_replace("_low", "  +", " "))).drop("_low")
+    # Gaps of several characters would part the words of keywords and phrases.
+    df = df.withColumn("_low", F.regexp_replace("_low", "  +", " "))
+    gate = reduce(or_, [F.col("_low").contains(k) for k in GATE])
+    df = df.withColumn("_n", F.when(gate, F.col("_low")))
     base = {p: F.regexp_count("_n", F.lit(f"(?<= ){p}(?= )")) for p in BASE}
     any_base = "(?<= )(?:" + "|".join(BASE) + ")(?= )"
     df = df.withColumn("n_base", F.coalesce(reduce(lambda a, b: a + b, base.values()), F.lit(0)).cast("long"))
@@ -125,24 +96,24 @@ def detect(df: DataFrame, text: str = "text") -> DataFrame:
     joined = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
     held = F.array(*[F.when(F.regexp_count("_n", F.lit(f"(?<= ){p}(?= )")) > 0, F.lit(x)) for p, x in BASE.items()])
     df = df.withColumn("_base", F.when(F.col("n_base") > 0, F.array_compact(held)).otherwise(F.array().cast("array<string>")))
-    df = df.withColumn("_any", F.col("_n").rlike("(?<= )(?:" + "|".join(p for _, p, _ in every) + ")(?= )"))
     found = []
     for label in sorted({x for _, _, x in every}):
+        held = reduce(or_, [F.col("_n").contains(k) for k in KEYS[label]]) if label else F.lit(True)
         hits = F.regexp_extract_all("_n", F.lit(f"({_pattern(every, label)})"), F.lit(1))
         starts = F.transform(F.slice(F.split("_n", _pattern(every, label), -1), 1, F.greatest(F.size(hits), F.lit(1))), lambda s: F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit(""))))
         spans = F.arrays_zip(hits.alias("hit"), starts.alias("gap"))
-        found.append(F.when(F.size(hits) > 0, _spans(spans, label)))
-    df = df.withColumn("_all", F.when(F.col("_any"), F.flatten(F.array_compact(F.array(*found)))))
+        found.append(F.when(held & (F.size(hits) > 0), _spans(spans, label)))
+    df = df.withColumn("_all", F.when(F.col("_n").isNotNull(), F.flatten(F.array_compact(F.array(*found)))))
     inside = lambda a, b: (b["start"] <= a["start"]) & (a["end"] <= b["end"]) & ((b["end"] - b["start"]) > (a["end"] - a["start"]))
     place = lambda a: F.struct(a["priority"], a["start"] - a["end"], a["start"], a["label"])
     crossing = lambda a, b: (b["start"] < a["end"]) & (a["start"] < b["end"]) & ~inside(b, a) & (place(b) < place(a))
-    stay = F.filter("_all", lambda a: ~F.exists("_all", lambda b: inside(a, b) | crossing(a, b)))
+    stay = F.filter("_all", lambda a: (a["label"] != "") & ~F.exists("_all", lambda b: inside(a, b) | crossing(a, b)))
     df = df.withColumn("detections", F.coalesce(stay, F.array().cast("array<struct<label:string,start:int,end:int,priority:int>>")))
     df = df.withColumn("base_labels", joined(F.col("_base")))
     df = df.withColumn("labels", joined(F.concat("_base", F.transform("detections", lambda d: d["label"]))))
     covered = F.aggregate("detections", F.lit(0), lambda a, d: a + d["end"] - d["start"])
     score = F.when(F.col("labels") == "", 0.0).otherwise(F.least(F.lit(1.0), 0.5 + covered / F.greatest(F.col("n_words"), F.lit(1)) / 2))
-    return df.withColumn("score", score.cast("double")).drop("_n", "_base", "_any", "_all")
+    return df.withColumn("score", score.cast("double"))
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
