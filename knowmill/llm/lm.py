@@ -1,36 +1,44 @@
 """Log-bilinear language model trained by noise-contrastive estimation, beside an add-0.1 unigram base.
 
-Documents are dealt to blocks; a block holds its documents' tokens as numbers of its own vocabulary. Counts of all
-tokens come from the blocks' vocabularies by one shuffle on words and go back to the blocks as numbers. The neural
-model predicts the class of a token (each of the ``CLASSES`` most frequent training words, or the rest) from the two
-tokens before it: the context vector is a bilinear form of the context's embeddings, the class scores are its products
-with the class embeddings. It is trained by numpy in tasks, each over its share of all training tokens with shared
-noise samples, and the tasks' parameters are averaged; parameters have a fixed size. Scoring normalises over all classes
-by batched matrix products for each distinct context of a block; a token of the rest has its class's probability times its base
-probability within the class, so that probabilities sum to 1 over all words and one unseen type.
+Every word has a leaf: the most frequent training words one each, all others the leaf of their last two characters. Leaves
+stand in ``side`` classes of ``side`` leaves; ``side`` grows with the number of distinct words, and so does what the
+model holds. The vector of the ``CONTEXT`` leaves before a token, a bilinear form of their embeddings, scores first the
+classes and then the leaves of the token's class, by products with their embeddings; a word has its leaf's probability
+times its share of the leaf's counts. So all words are modelled, and probabilities sum to 1 over all words and one unseen word
+of each shared leaf. Both steps are normalised by batched matrix products.
+
+Counts of all tokens come from blocks of documents with their own vocabularies, by one aggregation on words, and go back
+to the blocks as numbers. For training, each document's leaves go to a worker given by a hash of the document, which also
+gives its round, so that file layout and partitions do not matter; a worker trains over its documents in order of id, in
+numpy, with noise of its own seed, and parameters are averaged by tokens after each round, first within a partition. A worker's
+share is about ``WORKER_TOKENS`` tokens at any size of the input.
 
 Null texts count as empty: their only token is the end. A null ``train`` counts as false; documents
-with a null or repeated doc_id are scored like others. Empty tables give no rows.
+with a null or repeated doc_id are trained on and scored like others. Texts may have any length that fits a task. Only doc_id, text and
+train are read. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, stash, table
+from .common import crc_mod, release, stash, table
 
 END = "\n"
-CLASSES, WIDTH, NOISE, BATCH, RATE, WORKERS = 511, 16, 40, 8192, 0.3, 12
-BLOCK_BYTES = 8_000_000
+#: Numbers of an embedding; words of a context; noise samples for classes (of a batch) and for leaves (of a token); rounds.
+WIDTH, CONTEXT, NOISE, LEAF_NOISE, ROUNDS = 16, 4, 32, 8, 2
+#: Learning rate; tokens of a worker and steps it takes at least; floats of a row while averaging; bytes of text in a block.
+RATE, WORKER_TOKENS, STEPS, CHUNK, BLOCK_BYTES = 0.3, 2_000_000, 200, 4096, 12_000_000
 BLOCK = "block long, docs binary, named binary, lengths binary, tokens binary, train binary, words array<string>, n_train array<int>"
 
 
@@ -69,134 +77,244 @@ def to_blocks(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", "train").mapInArrow(run, BLOCK)
 
 
+class Leaves:
+    """Leaf numbers of words: class * side + place within the class."""
+
+    def __init__(self, top: list[str], side: int):
+        self.side, self.top = side, pa.array(top, pa.string())
+
+    def of(self, words: pa.Array) -> np.ndarray:
+        half = self.side * self.side // 2
+        rank = pc.index_in(words, value_set=self.top)
+        tails = pc.utf8_slice_codeunits(words, -2).dictionary_encode()
+        shared = np.array([zlib.crc32(x.encode()) % half for x in tails.dictionary.to_pylist()], dtype=np.int64)
+        number = half + (shared[tails.indices.to_numpy()] if len(words) else shared)
+        own = pc.fill_null(rank, -1).to_numpy(zero_copy_only=False)
+        number = np.where(own >= 0, own, number)
+        return (number % self.side * self.side + number // self.side).astype(np.int32)
+
+
+def side_for(n_words: int) -> int:
+    """Classes and leaves of a class, a power of two that grows with the cube root of the number of distinct words."""
+    return int(2 ** np.clip(np.ceil(np.log2(max(n_words, 1)) / 3 - 1), 3, 8))
+
+
 class Model:
-    """q(context) = R[w1] * c1 + R[w2] * c2; score(w) = q . Q[w] + b[w]; classes 0 to K, K the rest, K + 1 a start."""
+    """Context vector q = sum of c[j] * R[leaf j words back]; scores q . A[class] + a[class] and, within a class,
+    q . B[leaf] + b[leaf]. R has one row more, for places before a text."""
 
-    def __init__(self, counts: np.ndarray, seed: int = 7):
+    def __init__(self, counts: np.ndarray, side: int, seed: int = 7):
         rng = np.random.default_rng(seed)
-        k = len(counts)
-        self.noise = (counts + 1.0) / (counts + 1.0).sum()
-        self.p = {"R": rng.normal(0, 0.3, (k + 1, WIDTH)), "Q": np.zeros((k, WIDTH)), "b": np.log(self.noise), "c": np.ones((2, WIDTH))}
+        self.side, n = side, side * side
+        # Smoothed shares: of classes, and of leaves within their class.
+        leaf = (counts + 0.5).reshape(side, side)
+        self.prior = leaf.sum(axis=1) / leaf.sum()
+        self.within = (leaf / leaf.sum(axis=1, keepdims=True)).ravel()
+        self.p = {
+            "R": rng.normal(0, 0.3, (n + 1, WIDTH)), "c": np.ones((CONTEXT, WIDTH)) / CONTEXT, "A": np.zeros((side, WIDTH)), "a": np.log(self.prior),
+            "B": np.zeros((n, WIDTH)), "b": np.log(self.within),
+        }
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
-    def context(self, w1: np.ndarray, w2: np.ndarray) -> np.ndarray:
-        return self.p["R"][w1] * self.p["c"][0] + self.p["R"][w2] * self.p["c"][1]
-
-    def train(self, w1: np.ndarray, w2: np.ndarray, w: np.ndarray, rng: np.random.Generator, squares: dict) -> None:
-        """Noise-contrastive steps over all positions; one noise sample serves a batch."""
-        p, k = self.p, len(self.noise)
-        log_kn = np.log(NOISE * self.noise).astype(np.float32)
-        gather = lambda at, g, n: np.stack([np.bincount(at, weights=col, minlength=n) for col in g.T], axis=1)
-        for i in range(0, len(w), BATCH):
-            a, b, t = w1[i : i + BATCH], w2[i : i + BATCH], w[i : i + BATCH]
-            s = rng.choice(k, NOISE, p=self.noise)
-            q = self.context(a, b)
-            pos = 1 / (1 + np.exp(np.einsum("ij,ij->i", q, p["Q"][t]) + p["b"][t] - log_kn[t]))
-            neg = 1 / (1 + np.exp(-(q @ p["Q"][s].T + p["b"][s] - log_kn[s])))
-            dq = pos[:, None] * p["Q"][t] - neg @ p["Q"][s]
-            grad = {"Q": gather(t, pos[:, None] * q, k), "b": np.bincount(t, weights=pos, minlength=k)}
-            np.add.at(grad["Q"], s, -(neg.T @ q))
-            np.add.at(grad["b"], s, -neg.sum(0))
-            grad["R"] = gather(a, dq * p["c"][0], k + 1) + gather(b, dq * p["c"][1], k + 1)
-            grad["c"] = np.stack([np.einsum("ij,ij->j", dq, p["R"][a]), np.einsum("ij,ij->j", dq, p["R"][b])])
-            for name, g in grad.items():
-                g = g / len(t)
-                squares[name] = squares.get(name, 1e-4) + g * g
-                p[name] += (RATE * g / np.sqrt(squares[name])).astype(np.float32)
-
-    def log_probs(self, w1: np.ndarray, w2: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Normalised natural-log probabilities of classes, each distinct context being normalised once."""
-        n = self.p["R"].shape[0]
-        codes, at = np.unique(w1.astype(np.int64) * n + w2, return_inverse=True)
-        q = self.context(codes // n, codes % n)
-        log_z = np.empty(len(codes), dtype=np.float64)
-        for i in range(0, len(codes), 2048):
-            s = q[i : i + 2048] @ self.p["Q"].T + self.p["b"]
-            top = s.max(axis=1)
-            log_z[i : i + 2048] = top + np.log(np.exp(s - top[:, None]).sum(axis=1))
-        out = np.empty(len(w))
-        for i in range(0, len(w), 65536):
-            j = slice(i, i + 65536)
-            out[j] = np.einsum("ij,ij->i", q[at[j]], self.p["Q"][w[j]]) + self.p["b"][w[j]] - log_z[at[j]]
+    def context(self, before: np.ndarray) -> np.ndarray:
+        """before: leaves one to CONTEXT words back, a row each."""
+        return sum(self.p["R"][w] * c for w, c in zip(before, self.p["c"], strict=True))
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([v.ravel() for v in self.p.values()])
+
+    def fill(self, flat: np.ndarray) -> None:
+        for name, v in self.p.items():
+            self.p[name], flat = flat[: v.size].reshape(v.shape).astype(np.float32), flat[v.size :]
+
+    def step(self, before: np.ndarray, leaf: np.ndarray, rng: np.random.Generator, squares: dict) -> None:
+        """One noise-contrastive step: noise classes are shared by the batch, noise leaves come from the token's class."""
+        p, side, m = self.p, self.side, len(leaf)
+        q, cls = self.context(before), leaf // side
+        noise = rng.choice(side, NOISE, p=self.prior)
+        log_kn = np.log(NOISE * self.prior).astype(np.float32)
+        up = 1 / (1 + np.exp(np.einsum("ij,ij->i", q, p["A"][cls]) + p["a"][cls] - log_kn[cls]))
+        down = 1 / (1 + np.exp(-(q @ p["A"][noise].T + p["a"][noise] - log_kn[noise])))
+        dq = up[:, None] * p["A"][cls] - down @ p["A"][noise]
+        grad = {"A": _sums(cls, up[:, None] * q, side), "a": np.bincount(cls, weights=up, minlength=side)}
+        np.add.at(grad["A"], noise, -(down.T @ q))
+        np.add.at(grad["a"], noise, -down.sum(axis=0))
+        # Leaves are drawn by their share within the class, as places in the running sum over all leaves.
+        ends = np.cumsum(self.within)
+        drawn = np.searchsorted(ends, cls[:, None] + rng.random((m, LEAF_NOISE)), side="right")
+        drawn = np.minimum(drawn, cls[:, None] * side + side - 1)
+        log_kl = np.log(LEAF_NOISE * self.within).astype(np.float32)
+        both = np.concatenate([leaf[:, None], drawn], axis=1)
+        x = np.einsum("ij,ikj->ik", q, p["B"][both]) + p["b"][both] - log_kl[both]
+        pull = -1 / (1 + np.exp(-x))
+        pull[:, 0] += 1
+        dq += np.einsum("ik,ikj->ij", pull, p["B"][both])
+        grad["B"] = _sums(both.ravel(), (pull[:, :, None] * q[:, None, :]).reshape(-1, WIDTH), side * side)
+        grad["b"] = np.bincount(both.ravel(), weights=pull.ravel(), minlength=side * side)
+        grad["R"] = sum(_sums(w, dq * c, side * side + 1) for w, c in zip(before, p["c"], strict=True))
+        grad["c"] = np.stack([np.einsum("ij,ij->j", dq, p["R"][w]) for w in before])
+        for name, g in grad.items():
+            g = g / m
+            squares[name] = squares.get(name, 1e-4) + g * g
+            p[name] += (RATE * g / np.sqrt(squares[name])).astype(np.float32)
+
+    def train(self, before: np.ndarray, leaf: np.ndarray, rng: np.random.Generator) -> None:
+        """A pass over all positions in random order."""
+        order, squares = rng.permutation(len(leaf)), {}
+        size = int(np.clip(len(leaf) // STEPS, 64, 8192))
+        for i in range(0, len(leaf), size):
+            at = order[i : i + size]
+            self.step(before[:, at], leaf[at], rng, squares)
+
+    def log_probs(self, before: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        """Normalised natural-log probabilities of leaves."""
+        p, side = self.p, self.side
+        q, cls = self.context(before), leaf // side
+        out = _log_share(q @ p["A"].T + p["a"], cls)
+        order = np.argsort(cls, kind="stable")
+        cuts = np.searchsorted(cls[order], np.arange(side + 1))
+        for c in range(side):
+            at = order[cuts[c] : cuts[c + 1]]
+            if len(at):
+                own = slice(c * side, c * side + side)
+                out[at] += _log_share(q[at] @ p["B"][own].T + p["b"][own], leaf[at] - c * side)
         return out
 
 
-def _positions(row: pd.Series, index: dict[str, int], k: int) -> tuple[np.ndarray, ...]:
-    """Classes of a block's tokens with the two before each (k + 1 before a text's first), and the texts' lengths."""
-    classes = pc.fill_null(pc.index_in(pa.array(row["words"], pa.string()), value_set=pa.array(list(index), pa.string())), k).to_numpy(zero_copy_only=False)
-    w = classes[np.frombuffer(row["tokens"], dtype=np.int32)]
-    lengths = np.frombuffer(row["lengths"], dtype=np.int64)
-    heads = np.cumsum(lengths) - lengths
-    w1, w2 = np.roll(w, 1), np.roll(w, 2)
-    w1[heads] = k + 1
-    w2[heads] = k + 1
-    second = heads[lengths > 1] + 1
-    w2[second] = k + 1
-    return w1, w2, w, lengths
-
-
-def train_model(blocks: DataFrame, index: dict[str, int], counts: np.ndarray, rounds: int = 1) -> Model:
-    """Each round every task trains over its blocks from the same start; parameters are averaged by tokens.
-    At most WORKERS rows of parameters reach the driver."""
-    model = Model(counts)
-    k = len(index)
-    for number in range(rounds):
-        def work(frames: Iterator[pd.DataFrame], number: int = number, model: Model = model) -> Iterator[pd.DataFrame]:
-            rng, squares, seen = np.random.default_rng(number), {}, 0
-            for frame in frames:
-                for _, row in frame.iterrows():
-                    w1, w2, w, lengths = _positions(row, index, k)
-                    on = np.repeat(np.frombuffer(row["train"], dtype=bool), lengths)
-                    order = rng.permutation(np.flatnonzero(on))
-                    model.train(w1[order], w2[order], w[order], rng, squares)
-                    seen += len(order)
-            if seen:
-                yield pd.DataFrame({"n": [seen], "flat": [np.concatenate([v.ravel() for v in model.p.values()])]})
-
-        part = blocks.select("lengths", "tokens", "train", "words").coalesce(WORKERS).mapInPandas(work, "n long, flat array<float>")
-        got = part.collect()
+def _sums(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    return np.stack([np.bincount(at, weights=column, minlength=n) for column in rows.T], axis=1)
+
+
+def _log_share(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The log of the softmax of each row at its own place."""
+    scores = scores - scores.max(axis=1, keepdims=True)
+    return (scores[np.arange(len(at)), at] - np.log(np.exp(scores).sum(axis=1))).astype(np.float64)
+
+
+def contexts(leaf: np.ndarray, lengths: np.ndarray, start: int) -> np.ndarray:
+    """Leaves one to CONTEXT words before each token of texts in a row, ``start`` where the text has none."""
+    place = np.arange(len(leaf)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    return np.stack([np.where(place >= k, np.roll(leaf, k), start) for k in range(1, CONTEXT + 1)])
+
+
+def _unpack(batch: pa.RecordBatch, i: int) -> dict:
+    """The arrays of a block."""
+    raw = lambda c, kind: np.frombuffer(batch.column(c)[i].as_py(), dtype=kind)
+    return {"docs": raw("docs", np.int64), "named": raw("named", bool), "lengths": raw("lengths", np.int64), "tokens": raw("tokens", np.int32), "train": raw("train", bool), "words": batch.column("words")[i].values}
+
+
+def shares(blocks: DataFrame, leaves: Leaves, workers: int) -> DataFrame:
+    """worker, round, doc_id, leaves (binary) of the training documents, dealt by hashes of their ids and leaves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                x = _unpack(batch, i)
+                leaf = leaves.of(x["words"])[x["tokens"]]
+                ends = np.cumsum(x["lengths"])
+                (on,) = np.nonzero(x["train"])
+                own = [leaf[ends[k] - x["lengths"][k] : ends[k]].tobytes() for k in on]
+                dealt = [zlib.crc32(x["docs"][k].tobytes() + (b"" if x["named"][k] else o)) for k, o in zip(on, own, strict=True)]
+                dealt = np.array(dealt, dtype=np.int64)
+                cols = [pa.array(dealt // ROUNDS % workers), pa.array(dealt % ROUNDS), pa.array(x["docs"][on]), pa.array(own, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["worker", "round", "doc_id", "leaves"])
+
+    return blocks.select("docs", "named", "lengths", "tokens", "train", "words").mapInArrow(run, "worker long, round long, doc_id long, leaves binary")
+
+
+def train_model(shared: DataFrame, model: Model) -> Model:
+    """Each round every worker trains over its documents from the same start, and parameters are averaged by tokens:
+    within a partition, then over partitions in chunks. Only the averaged parameters reach the driver."""
+
+    def worker(number: int, model: Model) -> Callable:
+        def work(part: pd.DataFrame) -> pd.DataFrame:
+            part = part.sort_values(["doc_id", "leaves"])
+            own = Model.__new__(Model)
+            own.__dict__ = {**model.__dict__, "p": {k: v.copy() for k, v in model.p.items()}}
+            lengths = part["leaves"].map(len).to_numpy() // 4
+            leaf = np.frombuffer(b"".join(part["leaves"]), dtype=np.int32)
+            own.train(contexts(leaf, lengths, model.side**2), leaf, np.random.default_rng([number, int(part["worker"].iat[0])]))
+            return pd.DataFrame({"n": [len(leaf)], "flat": [own.flat()]})
+
+        return work
+
+    def chunks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, total = 0, 0.0
+        for frame in frames:
+            for k, flat in zip(frame["n"], frame["flat"], strict=True):
+                n, total = n + k, total + k * flat.astype(np.float64)
+        if n:
+            cut = np.split(total, np.arange(CHUNK, len(total), CHUNK))
+            yield pd.DataFrame({"chunk": np.arange(len(cut)), "n": n, "total": cut})
+
+    def mean(part: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum(part.sort_values("n")["total"].to_list(), axis=0) / part["n"].sum()
+        # Rounded, so that the order of sums leaves no trace.
+        return pd.DataFrame({"chunk": [part["chunk"].iat[0]], "flat": [np.round(total, 5)]})
+
+    for number in range(ROUNDS):
+        trained = shared.where(F.col("round") == number).groupBy("worker").applyInPandas(worker(number, model), "n long, flat array<float>")
+        summed = trained.mapInPandas(chunks, "chunk long, n long, total array<double>")
+        got = summed.groupBy("chunk").applyInPandas(mean, "chunk long, flat array<double>").collect()
         if got:
-            flat = np.average([r["flat"] for r in got], axis=0, weights=[r["n"] for r in got]).astype(np.float32)
-            for name, v in model.p.items():
-                model.p[name], flat = flat[: v.size].reshape(v.shape), flat[v.size :]
+            model.fill(np.concatenate([r["flat"] for r in sorted(got, key=lambda r: r["chunk"])]))
     return model
 
 
 def score(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text, train (boolean). Returns doc_id, n_tokens, n_known, train_tokens, base_score, score."""
     blocks = stash(to_blocks(docs), "blocks")
-    words = blocks.select("block", F.posexplode(F.arrays_zip("words", "n_train"))).select("block", "pos", F.col("col.words").alias("word"), F.col("col.n_train").alias("n"))
-    of_word = Window.partitionBy("word")
-    counted = words.select("block", "pos", "word", F.sum("n").over(of_word).alias("c"), F.count("*").over(of_word).alias("_blocks"), (F.min("block").over(of_word) == F.col("block")).alias("first"))
-    # A word's count goes back to each of its blocks; its text is needed once, and only if it may be a class.
-    keep = F.when(F.col("first") & (F.col("c") >= 5), F.col("word"))
-    counted = stash(counted.select("block", "pos", "c", "first", keep.alias("word"), (F.col("_blocks") > 1).alias("shared")), "counts")
-    total = counted.where("first and c > 0").agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
-    n, v = int(total["n"]), int(total["v"])
-    top = counted.where("word is not null").orderBy(F.desc("c"), "word").limit(CLASSES).select("word", "c").collect()
-    index = {r["word"]: i for i, r in enumerate(top)}
-    k = len(index)
-    counts = np.array([*[r["c"] for r in top], max(0, n - sum(r["c"] for r in top))], dtype=np.float64)
-    model = train_model(blocks, index, counts)
+    words = blocks.select("block", F.posexplode(F.arrays_zip("words", "n_train"))).select("block", "pos", F.col("col.words").alias("word"), F.col("col.n_train").alias("c"))
+    totals = stash(words.groupBy("word").agg(F.sum("c").alias("c"), F.count("*").alias("blocks")), "totals")
+    some = totals.where("c > 0").agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
+    n, v = int(some["n"]), int(some["v"])
+    side = side_for(v)
+    top = totals.where("c > 0").orderBy(F.desc("c"), "word").limit(side * side // 2).select("word").collect()
+    leaves = Leaves([r["word"] for r in top], side)
+
+    def leaf_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, c = leaves.of(batch.column(0)), batch.column(1).to_numpy()
+            sums = np.bincount(at, weights=c, minlength=side * side), np.bincount(at, minlength=side * side)
+            (live,) = np.nonzero(sums[1])
+            yield pa.RecordBatch.from_arrays([pa.array(live), pa.array(sums[0][live].astype(np.int64)), pa.array(sums[1][live].astype(np.int64))], names=["leaf", "c", "kinds"])
+
+    counts, kinds = np.zeros(side * side), np.zeros(side * side)
+    held = totals.where("c > 0").select("word", "c").mapInArrow(leaf_of, "leaf long, c long, kinds long")
+    for r in held.groupBy("leaf").agg(F.sum("c").alias("c"), F.sum("kinds").alias("kinds")).collect():
+        counts[r["leaf"]], kinds[r["leaf"]] = r["c"], r["kinds"]
+    shared = stash(shares(blocks, leaves, max(1, round(n / ROUNDS / WORKER_TOKENS))), "shares")
+    model = train_model(shared, Model(counts, side))
+    release(shared)
     log_base = lambda c: np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
-    rest = np.log10(max(1e-300, 1 - float(np.sum((counts[:-1] + 0.1) / (n + 0.1 * (v + 1))))))
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        row = left.iloc[0]
-        c = np.asarray(row["n_train"], dtype=np.int64).copy()
-        c[right["pos"].to_numpy()] = right["c"].to_numpy()
-        w1, w2, w, lengths = _positions(row, index, k)
-        tokens = np.frombuffer(row["tokens"], dtype=np.int32)
-        base = log_base(c)[tokens]
-        p = model.log_probs(w1, w2, w) / np.log(10) + np.where(w == k, base - rest, 0.0)
-        heads = np.cumsum(lengths) - lengths
-        return pd.DataFrame({
-            "doc_id": pd.arrays.IntegerArray(np.frombuffer(row["docs"], dtype=np.int64).copy(), ~np.frombuffer(row["named"], dtype=bool)), "n_tokens": lengths, "n_known": np.add.reduceat((c > 0)[tokens].astype(np.int64), heads),
-            "train_tokens": n, "base_score": np.add.reduceat(base, heads), "score": np.add.reduceat(p, heads),
-        })
-
-    back = counted.where("shared").select("block", "pos", "c")
-    return blocks.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    # A leaf of one word gives it all; other leaves keep 0.1 for unseen words.
+    own = leaves.of(leaves.top)
+    mass = counts + 0.1 * (kinds + 1)
+    mass[own] = counts[own] + 0.1
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.combine_chunks().to_batches()[0]
+        x = _unpack(row, 0)
+        c = row.column("n_train")[0].values.to_numpy().astype(np.int64)
+        c[right.column("pos").to_numpy()] = right.column("c").to_numpy()
+        leaf = leaves.of(x["words"])
+        share = np.log10((c + 0.1) / mass[leaf])
+        at, heads = x["tokens"], np.cumsum(x["lengths"]) - x["lengths"]
+        leaf = leaf[at]
+        before = contexts(leaf, x["lengths"], side * side)
+        p = share[at]
+        for i in range(0, len(at), 65536):
+            part = slice(i, i + 65536)
+            p[part] += model.log_probs(before[:, part], leaf[part]) / np.log(10)
+        cols = {
+            "doc_id": pa.array(x["docs"], mask=~x["named"]), "n_tokens": x["lengths"], "n_known": np.add.reduceat((c > 0)[at].astype(np.int64), heads),
+            "train_tokens": np.full(len(heads), n), "base_score": np.add.reduceat(log_base(c)[at], heads), "score": np.add.reduceat(p, heads),
+        }
+        return pa.table(cols)
+
+    back = words.join(totals.where("blocks > 1").select("word", F.col("c").alias("all")), "word").select(F.col("block").alias("of"), "pos", F.col("all").alias("c"))
+    scored = blocks.groupBy("block").cogroup(back.groupBy("of"))
+    return scored.applyInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
