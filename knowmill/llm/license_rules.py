@@ -49,6 +49,7 @@ SIGNATURES = {
         "keys": ("apache",),
         "spdx": ["spdx license identifier apache 1 [01]"],
         "text": ["this product includes software developed by the apache (?:software foundation|group)"],
+        "grant": ["(?:licensed|released|distributed|available) under (?:the |an )?(?:terms of the )?apache (?:software )?licen[cs]e(?: version)? 1 [01]"],
         "name": ["apache (?:software )?licen[cs]e(?: version)? 1 [01]", "apache 1 [01] licen[cs]e"],
     },
     "apache": {
@@ -105,10 +106,10 @@ SIGNATURES = {
             "under the terms of the gnu general public license version 2 as published by the free software foundation",
         ],
         "grant": [
-            "(?:licensed|released|distributed|available) under (?:the )?(?:terms of the )?(?:gnu )?gpl ?(?:version |v )?(?:2|v2)(?: 0)?",
-            "under (?:the )?(?:terms of )?(?:the )?gnu general public licen[cs]e (?:version |v )?(?:2|v2)(?: 0)?(?: only| or later)?",
+            "(?:licensed|released|distributed|available) under (?:the )?(?:terms of the )?(?:gnu )?gpl ?(?:version |v ?)?(?:2|v2)(?: 0)?",
+            "under (?:the )?(?:terms of )?(?:the )?gnu general public licen[cs]e (?:version |v ?)?(?:2|v2)(?: 0)?(?: only| or later)?",
         ],
-        "name": ["gnu general public licen[cs]e (?:version |v )?(?:2|v2)(?: 0)?(?: only| or later)?", "(?:gnu )?gpl (?:version |v )?2(?: 0)?(?: only| or later)?", "(?:gnu )?gplv2", "gpl v2"],
+        "name": ["gnu general public licen[cs]e (?:version |v ?)?(?:2|v2)(?: 0)?(?: only| or later)?", "(?:gnu )?gpl (?:version |v ?)?2(?: 0)?(?: only| or later)?", "(?:gnu )?gplv2", "gpl v2"],
     },
     "gpl-3": {
         "keys": ("gpl", "general public licen"),
@@ -118,11 +119,11 @@ SIGNATURES = {
             "under the terms of the gnu general public license version 3 as published by the free software foundation",
         ],
         "grant": [
-            "(?:licensed|released|distributed|available) under (?:the )?(?:terms of the )?(?:gnu )?gpl ?(?:version |v )?(?:3|v3)(?: 0)?",
-            "(?:licensed|released|distributed|available) under (?:the )?(?:terms of )?(?:the )?gnu general public licen[cs]e (?:version |v )?(?:3|v3)(?: 0)?(?: only| or later)?",
-            "under (?:the )?(?:terms of )?(?:the )?gnu general public licen[cs]e (?:version |v )?(?:3|v3)(?: 0)?(?: only| or later)?",
+            "(?:licensed|released|distributed|available) under (?:the )?(?:terms of the )?(?:gnu )?gpl ?(?:version |v ?)?(?:3|v3)(?: 0)?",
+            "(?:licensed|released|distributed|available) under (?:the )?(?:terms of )?(?:the )?gnu general public licen[cs]e (?:version |v ?)?(?:3|v3)(?: 0)?(?: only| or later)?",
+            "under (?:the )?(?:terms of )?(?:the )?gnu general public licen[cs]e (?:version |v ?)?(?:3|v3)(?: 0)?(?: only| or later)?",
         ],
-        "name": ["gnu general public licen[cs]e (?:version |v )?(?:3|v3)(?: 0)?(?: only| or later)?", "(?:gnu )?gpl (?:version |v )?3(?: 0)?(?: only| or later)?", "(?:gnu )?gplv3", "gpl v3"],
+        "name": ["gnu general public licen[cs]e (?:version |v ?)?(?:3|v3)(?: 0)?(?: only| or later)?", "(?:gnu )?gpl (?:version |v ?)?3(?: 0)?(?: only| or later)?", "(?:gnu )?gplv3", "gpl v3"],
     },
     "gpl": {
         "keys": ("gpl", "general public licen", "this program is free software"),
@@ -135,13 +136,15 @@ SIGNATURES = {
         "keys": ("lgpl", "lesser general public licen", "library general public licen"),
         "spdx": ["spdx license identifier lgpl 2 [01](?: only| or later)?", "license lgpl 2 1(?: only| or later)?"],
         "text": ["gnu lesser general public license version 2 1 february 1999", "gnu library general public license version 2 june 1991"],
-        "name": ["gnu lesser general public licen[cs]e (?:version |v )?2 1(?: or later)?", "lgpl (?:version |v )?2(?: [01])?(?: or later)?", "lgplv2(?: 1)?", "lgpl v2(?: 1)?", "gnu library general public licen[cs]e"],
+        "grant": ["(?:licensed|released|distributed|available) under (?:the )?(?:terms of )?(?:the )?(?:gnu lesser general public licen[cs]e|gnu lgpl|lgpl) (?:version |v ?)?2(?: [01])?"],
+        "name": ["gnu lesser general public licen[cs]e (?:version |v ?)?2 1(?: or later)?", "lgpl (?:version |v ?)?2(?: [01])?(?: or later)?", "lgplv2(?: 1)?", "lgpl v2(?: 1)?", "gnu library general public licen[cs]e"],
     },
     "lgpl-3": {
         "keys": ("lgpl", "lesser general public licen"),
         "spdx": ["spdx license identifier lgpl 3 0(?: only| or later)?", "license lgpl 3 0(?: only| or later)?"],
         "text": ["gnu lesser general public license version 3 29 june 2007"],
-        "name": ["gnu lesser general public licen[cs]e (?:version |v )?3(?: 0)?(?: or later)?", "lgpl (?:version |v )?3(?: 0)?(?: or later)?", "lgplv3", "lgpl v3"],
+        "grant": ["(?:licensed|released|distributed|available) under (?:the )?(?:terms of )?(?:the )?(?:gnu lesser general public licen[cs]e|gnu lgpl|lgpl) (?:version |v ?)?3(?: 0)?"],
+        "name": ["gnu lesser general public licen[cs]e (?:version |v ?)?3(?: 0)?(?: or later)?", "lgpl (?:version |v ?)?3(?: 0)?(?: or later)?", "lgplv3", "lgpl v3"],
     },
     "lgpl": {
         "keys": ("lgpl", "lesser general public licen"),
@@ -153,40 +156,40 @@ SIGNATURES = {
         "keys": ("agpl", "affero"),
         "spdx": ["spdx license identifier agpl [13] 0(?: only| or later)?", "license agpl 3 0(?: only| or later)?"],
         "text": ["gnu affero general public license version 3 19 november 2007", "you should have received a copy of the gnu affero general public license"],
-        "grant": ["(?:licensed|released|distributed|available) under (?:the )?(?:terms of )?(?:the )?(?:gnu affero general public licen[cs]e|gnu agpl|agpl)(?: (?:version |v )?(?:3|v3))?"],
-        "name": ["gnu affero general public licen[cs]e(?: (?:version |v )?3(?: 0)?)?", "affero general public licen[cs]e", "affero gpl", "gnu agpl", "agpl(?: v?3(?: 0)?)?", "agplv3"],
+        "grant": ["(?:licensed|released|distributed|available) under (?:the )?(?:terms of )?(?:the )?(?:gnu affero general public licen[cs]e|gnu agpl|agpl)(?: (?:version |v ?)?(?:3|v3))?"],
+        "name": ["gnu affero general public licen[cs]e(?: (?:version |v ?)?3(?: 0)?)?", "affero general public licen[cs]e", "affero gpl", "gnu agpl", "agpl(?: v?3(?: 0)?)?", "agplv3"],
     },
     "mpl-2": {
         "keys": ("mpl", "mozilla public"),
         "spdx": ["spdx license identifier mpl 2 0", "license mpl 2 0"],
         "text": ["this source code form is subject to the terms of the mozilla public license v 2 0", "if a copy of the mpl was not distributed with this file you can obtain one at"],
-        "grant": ["(?:licensed|released|distributed|available) under (?:the )?(?:terms of the )?(?:mozilla public licen[cs]e|mpl)(?: (?:version |v )?2(?: 0)?)?"],
-        "name": ["mozilla public licen[cs]e (?:version |v )?2(?: 0)?", "mpl (?:v )?2 0", "mplv2", "mozilla public licen[cs]e"],
+        "grant": ["(?:licensed|released|distributed|available) under (?:the )?(?:terms of the )?(?:mozilla public licen[cs]e|mpl)(?: (?:version |v ?)?2(?: 0)?)?"],
+        "name": ["mozilla public licen[cs]e (?:version |v ?)?2(?: 0)?", "mpl (?:v )?2 0", "mplv2", "mozilla public licen[cs]e"],
     },
     "mpl-1.1": {
         "keys": ("mpl", "mozilla public"),
         "spdx": ["spdx license identifier mpl 1 [01]"],
         "text": ["the contents of this file are subject to the mozilla public license version 1 1"],
-        "name": ["mozilla public licen[cs]e (?:version |v )?1 [01]", "mpl (?:v )?1 [01]", "mpl 1 1 gpl 2 0 lgpl 2 1"],
+        "name": ["mozilla public licen[cs]e (?:version |v ?)?1 [01]", "mpl (?:v )?1 [01]", "mpl 1 1 gpl 2 0 lgpl 2 1"],
     },
     "epl-2": {
         "keys": ("epl ", "eclipse public"),
         "spdx": ["spdx license identifier epl 2 0"],
         "text": ["this program and the accompanying materials are made available under the terms of the eclipse public license (?:v )?2 0"],
-        "name": ["eclipse public licen[cs]e (?:version |v )?2(?: 0)?", "epl 2 0", "eclipse public licen[cs]e"],
+        "name": ["eclipse public licen[cs]e (?:version |v ?)?2(?: 0)?", "epl 2 0", "eclipse public licen[cs]e"],
     },
     "epl-1": {
         "keys": ("epl ", "eclipse public"),
         "spdx": ["spdx license identifier epl 1 0"],
         "text": ["this program and the accompanying materials are made available under the terms of the eclipse public license (?:v )?1 0"],
-        "name": ["eclipse public licen[cs]e (?:version |v )?1(?: 0)?", "epl 1 0"],
+        "name": ["eclipse public licen[cs]e (?:version |v ?)?1(?: 0)?", "epl 1 0"],
     },
     "cddl-1": {
         "keys": ("cddl", "common development and distribution"),
         "spdx": ["spdx license identifier cddl 1 [01]"],
         "text": ["the contents of this file are subject to the terms of the common development and distribution license"],
         "grant": ["(?:licensed|released|distributed|available) under (?:the )?(?:terms of the )?cddl"],
-        "name": ["common development and distribution licen[cs]e(?: (?:version |v )?1 [01])?", "cddl(?: 1 [01])?"],
+        "name": ["common development and distribution licen[cs]e(?: (?:version |v ?)?1 [01])?", "cddl(?: 1 [01])?"],
     },
     "cc0": {
         "keys": ("cc0", "cc zero", "creative commons zero", "publicdomain zero"),
@@ -238,7 +241,7 @@ SIGNATURES = {
         "keys": ("bsl 1", "boost software"),
         "spdx": ["spdx license identifier bsl 1 0"],
         "text": ["distributed under the boost software license version 1 0", "boost software license version 1 0 august 17th 2003"],
-        "name": ["boost software licen[cs]e(?: (?:version |v )?1 0)?", "bsl 1 0"],
+        "name": ["boost software licen[cs]e(?: (?:version |v ?)?1 0)?", "bsl 1 0"],
     },
     "busl-1.1": {
         "keys": ("busl", "business source licen"),
@@ -249,12 +252,12 @@ SIGNATURES = {
     "sspl-1": {
         "keys": ("sspl", "server side public"),
         "spdx": ["spdx license identifier sspl 1 0"],
-        "name": ["server side public licen[cs]e(?: (?:version |v )?1)?", "sspl(?: v?1(?: 0)?)?"],
+        "name": ["server side public licen[cs]e(?: (?:version |v ?)?1)?", "sspl(?: v?1(?: 0)?)?"],
     },
     "elastic-2": {
         "keys": ("elastic licen",),
         "spdx": ["spdx license identifier elastic license 2 0", "licensed under the elastic license 2 0"],
-        "name": ["elastic licen[cs]e (?:version |v )?2(?: 0)?", "elastic licen[cs]e"],
+        "name": ["elastic licen[cs]e (?:version |v ?)?2(?: 0)?", "elastic licen[cs]e"],
     },
     "commons-clause": {
         "keys": ("commons clause",),
@@ -277,7 +280,7 @@ SIGNATURES = {
     "artistic-2": {
         "keys": ("artistic licen", "artistic 2"),
         "spdx": ["spdx license identifier artistic 2 0"],
-        "name": ["(?:the )?artistic licen[cs]e (?:version |v )?2(?: 0)?", "artistic 2 0"],
+        "name": ["(?:the )?artistic licen[cs]e (?:version |v ?)?2(?: 0)?", "artistic 2 0"],
     },
     "artistic-1": {
         "keys": ("artistic licen", "artistic 1", "same terms as perl itself"),
@@ -307,7 +310,7 @@ SIGNATURES = {
         "keys": ("ofl ", "open font licen"),
         "spdx": ["spdx license identifier ofl 1 [01](?: rfn| no rfn)?"],
         "text": ["this font software is licensed under the sil open font license version 1 1"],
-        "name": ["sil open font licen[cs]e(?: (?:version |v )?1 1)?", "open font licen[cs]e", "ofl 1 1"],
+        "name": ["sil open font licen[cs]e(?: (?:version |v ?)?1 1)?", "open font licen[cs]e", "ofl 1 1"],
     },
     "odbl": {
         "keys": ("odbl", "open database licen"),
@@ -329,13 +332,13 @@ SIGNATURES = {
         "keys": ("gfdl", "free documentation licen"),
         "spdx": ["spdx license identifier gfdl 1 [123](?: only| or later)?"],
         "text": ["permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"],
-        "name": ["gnu free documentation licen[cs]e(?: (?:version |v )?1 [123])?", "gfdl(?: 1 [123])?"],
+        "name": ["gnu free documentation licen[cs]e(?: (?:version |v ?)?1 [123])?", "gfdl(?: 1 [123])?"],
     },
     "eupl": {
         "keys": ("eupl", "european union public"),
         "spdx": ["spdx license identifier eupl 1 [012]"],
         "text": ["licensed under the eupl version 1 [12]"],
-        "name": ["european union public licen[cs]e(?: (?:version |v )?1 [12])?", "eupl(?: 1 [12])?"],
+        "name": ["european union public licen[cs]e(?: (?:version |v ?)?1 [12])?", "eupl(?: 1 [12])?"],
     },
     "ms-pl": {
         "keys": ("ms pl", "microsoft public licen"),
@@ -362,7 +365,7 @@ SIGNATURES = {
         "keys": ("php licen", "php 3"),
         "spdx": ["spdx license identifier php 3 0[01]?"],
         "text": ["this source file is subject to version 3 01 of the php license"],
-        "name": ["php licen[cs]e(?: (?:version |v )?3 0[01]?)?"],
+        "name": ["php licen[cs]e(?: (?:version |v ?)?3 0[01]?)?"],
     },
     "ruby": {
         "keys": ("ruby",),
@@ -393,7 +396,7 @@ SIGNATURES = {
     "ipl-1": {
         "keys": ("ibm public licen", "common public licen", "ipl 1", "cpl 1"),
         "spdx": ["spdx license identifier (?:ipl|cpl) 1 0"],
-        "name": ["ibm public licen[cs]e(?: version 1 0)?", "common public licen[cs]e(?: (?:version |v )?1 0)?"],
+        "name": ["ibm public licen[cs]e(?: version 1 0)?", "common public licen[cs]e(?: (?:version |v ?)?1 0)?"],
     },
     "apsl-2": {
         "keys": ("apple public source", "apsl"),
@@ -409,7 +412,7 @@ SIGNATURES = {
         "keys": ("ogl uk", "open government licen"),
         "spdx": ["spdx license identifier ogl uk [123] 0"],
         "text": ["contains public sector information licensed under the open government licen[cs]e v[123] 0"],
-        "name": ["open government licen[cs]e(?: (?:version |v )?[123](?: 0)?)?"],
+        "name": ["open government licen[cs]e(?: (?:version |v ?)?[123](?: 0)?)?"],
     },
     "cecill": {
         "keys": ("cecill",),

@@ -1,13 +1,17 @@
 """Cases in which an operator once did less than its whole job."""
 
 import collections
+import datetime
+import hashlib
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from knowmill.llm import jaccard, mixing, packing, pii, quality, urls
+from knowmill.llm import jaccard, licenses, lm, mixing, packing, pii, quality, topk, urls
 from knowmill.llm.common import stash
+from knowmill.llm.license_rules import SIGNATURES
 
 
 def test_sequences_follow_the_mix(spark):
@@ -119,3 +123,125 @@ def test_mix_of_many_sources(spark):
     docs = spark.range(2500).select(F.col("id").alias("doc_id"), (F.col("id") % 1200).cast("string").alias("source"))
     got = mixing.mix(docs, {"1": 0.5, "2": 0.5}, block=1).orderBy("mix_position").collect()
     assert [r.mix_slot for r in got] == list(range(2500)) and {r.source for r in got[:6]} == {"1", "2"}
+
+
+def test_shortest_pack_first_by_hand():
+    """Room 10: two 6s open packs; each 3 goes to a shortest pack (room 4), the 1s to the shortest then (the pack of 2s)."""
+    got = packing.pack_histogram({6: 2, 3: 3, 2: 1, 1: 1}, 10)
+    flat = sorted(tuple(p) for n, p in got for _ in range(n))
+    assert flat == [(3, 2, 1), (6, 3), (6, 3)]
+    many = packing.pack_histogram({7: 1000, 4: 3, 2: 1001}, 10)
+    assert sum(n for n, _ in many) == 1002 and all(sum(p) <= 10 for _, p in many)
+    assert sum(n * p.count(2) for n, p in many) == 1001 and sum(n * p.count(4) for n, p in many) == 3
+
+
+def test_heap_merge_and_probes_against_counting():
+    rng = np.random.default_rng(3)
+    for k in range(300):
+        members = int(rng.integers(1, 30))
+        sets = [np.flatnonzero(rng.random(40) < rng.choice([0.1, 0.5, 0.9])) for _ in range(members)]
+        owner, code = np.repeat(np.arange(members), [len(x) for x in sets]), np.concatenate(sets)
+        probe, need = np.flatnonzero(rng.random(45) < 0.5), int(rng.integers(1, 12))
+        count = np.array([len(np.intersect1d(probe, x)) for x in sets])
+        above = int(rng.integers(-1, members))
+        want = [(i, count[i]) for i in range(members) if count[i] >= need and i > above]
+        jaccard.DENSE, kept = (16, 0)[k % 2], jaccard.DENSE
+        at, hits = jaccard.Index(code, owner, members).divide_skip(probe, need, above)
+        jaccard.DENSE = kept
+        assert list(zip(at.tolist(), hits.tolist(), strict=True)) == want
+        lists = [np.flatnonzero([c in x for x in sets]).tolist() for c in probe]
+        lists = [x for x in lists if x]
+        merged = jaccard.heap_merge(lists, need)
+        assert merged == [(i, count[i]) for i in range(members) if count[i] >= need]
+
+
+def test_links_without_ids_and_with_repeated_ids(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    data = [(None, a), (None, a + " more"), (7, b), (7, c), (9, b + " more"), (3, c + " more"), (4, "")]
+    got = jaccard.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    by = {(r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got}
+    assert by == {(None, 56, None, 1), (None, 57, None, 1), (7, 56, 7, 1), (7, 56, 3, 1), (9, 57, 7, 1), (3, 57, 3, 1), (4, 0, 4, 0)}
+
+
+def test_license_signatures(spark):
+    cases = {
+        "// SPDX-License-Identifier: MIT": "mit", "SPDX-License-Identifier: Apache-2.0": "apache-2", "SPDX-License-Identifier: BSD-3-Clause": "bsd-3", "GPL-2.0 here, GPL-3.0 there": "gpl-2,gpl-3",
+        "we read the mit license plate": "", "Er fährt mit Lizenz": "", "cc by nc sa 4.0": "cc-by-nc,cc-by-nc-sa", "under the GNU Lesser General Public License v2.1": "lgpl-2.1",
+        "Licensed under the Apache License, Version 1.1": "apache-1", "licensed under the Apache License": "apache", "(c) 2020 A. All rights reserved.": "proprietary", "nothing at all": "",
+    }
+    got = {r.text: r.labels for r in licenses.detect(spark.createDataFrame([(t,) for t in cases], "text string")).collect()}
+    assert got == cases
+    patterns = [p for _, p, _ in licenses.rules()]
+    assert len(set(patterns)) > 350
+    for label, kinds in SIGNATURES.items():
+        for kind in licenses.KINDS:
+            for p in kinds.get(kind, ()):
+                plain = re.sub(r"\(\?:([^|()]*)[^()]*\)\??", r"\1", p)
+                forms = {" " + x.replace("[cs]", "c").replace(" ?", " ") + " " for x in (p, plain, re.sub(r"\(\?:([^|()]*)[^()]*\)\??", r"\1", plain))}
+                assert any(k in x for x in forms for k in kinds["keys"]), (label, p)
+
+
+def test_pseudonyms_by_brute_force(spark):
+    mails = [f"{a}{b}@x.org" for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmnopqrst"]
+    days = [str(datetime.date(1980, 1, 1) + datetime.timedelta(days=k)) for k in range(0, 9000, 7)]
+    ssns = ["078-05-1120", "899-99-9999", "001-01-0001", "665-12-3456", "667-12-3456"]
+    still = ["000-12-3456", "666-12-3456", "912-12-3456", "list 12 345 678 items", "1 234 567 890"]
+    texts = [*mails, *days, *ssns, *still]
+    got = [r.text for r in pii.pseudonymise(spark.createDataFrame([(t,) for t in texts], "text string")).collect()]
+    new = dict(zip(texts, got, strict=True))
+    assert len({new[m] for m in mails}) == len(mails) and len({new[d] for d in days}) == len(days)
+    epoch = datetime.date(1600, 1, 1)
+    assert all((datetime.date.fromisoformat(new[d]) - epoch).days // 3652 == (datetime.date.fromisoformat(d) - epoch).days // 3652 for d in days)
+    valid = re.compile(r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}")
+    assert all(valid.fullmatch(new[s]) for s in ssns) and len({new[s] for s in ssns}) == len(ssns)
+    assert [new[s] for s in still] == still
+
+    def mix(*parts):
+        return int(hashlib.sha256("|".join([pii.KEY, *map(str, parts)]).encode()).hexdigest()[:15], 16)
+
+    for d in days[:40]:  # the Feistel network restated
+        n = (datetime.date.fromisoformat(d) - epoch).days
+        left, right = divmod(n % 3652, 83)
+        for i in range(1, pii.ROUNDS + 1):
+            if i % 2:
+                left = (left + mix("date", i, right) % 44) % 44
+            else:
+                right = (right + mix("date", i, left) % 83) % 83
+        assert new[d] == str(epoch + datetime.timedelta(days=n // 3652 * 3652 + left * 83 + right))
+
+
+def test_kept_texts_keep_paragraphs(spark):
+    said = lambda a: " ".join(f"word{k}" for k in range(a, a + 30)) + "."
+    long_line = " ".join(f"open{k}" for k in range(30))
+    text = "\n".join(["Heading", "", said(0), "", said(0), said(40), "Read more", long_line, said(80) + " But no", ""])
+    r = quality.measure(spark.createDataFrame([(text,)], "text string")).first()
+    assert r.kept and r.clean_text == "\n".join(["Heading", "", said(0), "", said(40), said(80) + " But no", ""])
+
+
+def test_language_model(spark):
+    """Scores do not depend on partitions, beat the base on held-out texts of two vocabularies, and sum to 1."""
+    rng = np.random.default_rng(5)
+    words = {k: [f"{k}{i}{e}" for i in range(150) for e in ("ab", "cd")] for k in "xy"}
+    draw = lambda k: " ".join(words[k][min(299, int(rng.zipf(1.3)))] for _ in range(120))
+    d = spark.createDataFrame([(i, draw("xy"[i % 2]), i % 5 != 0) for i in range(300)], "doc_id long, text string, train boolean")
+    one = {r.doc_id: r for r in lm.score(d).collect()}
+    two = {r.doc_id: r.score for r in lm.score(d.repartition(7)).collect()}
+    assert all(abs(one[k].score / two[k] - 1) < 1e-4 for k in one)
+    held = [r for k, r in one.items() if k % 5 == 0]
+    assert sum(r.score for r in held) > 0.95 * sum(r.base_score for r in held)
+    model = lm.Model(np.arange(64.0), 8)
+    model.train(np.arange(4 * 640).reshape(4, 640) % 65, np.arange(640) % 64, rng)
+    before = np.repeat(np.array([[1], [2], [64], [64]]), 64, axis=1)
+    assert abs(np.exp(model.log_probs(before, np.arange(64))).sum() - 1) < 1e-4
+
+
+def test_long_text_and_empty_tables(spark):
+    """A text of four megabytes; tables without rows."""
+    one = spark.createDataFrame([(1, "some words that stand here. " * 150_000)], "doc_id long, text string")
+    assert jaccard.near_duplicates(one).first().n_shingles == 5
+    assert quality.measure(one).first().n_words == licenses.detect(one).first().n_words == 750_000
+    assert pii.pseudonymise(one).first().n_pii == 0
+    assert packing.pack(packing.cut_documents(one)).agg(F.sum("length")).first()[0] > 750_000
+    none = one.limit(0)
+    assert topk.top_k(none.selectExpr("doc_id as vec_id", "array(doc_id) as w"), none.selectExpr("doc_id as vec_id", "array(doc_id) as w")).count() == 0
+    assert urls.judge(none.selectExpr("doc_id as page_id", "text as url", "text as html")).count() == 0
