@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -73,11 +74,19 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def tidy(spark: SparkSession) -> None:
+    """Spark's cleaner deletes the shuffle files of finished jobs when the driver collects garbage, which a driver with
+    little to do puts off; this asks for it."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def release(*stashed: DataFrame) -> None:
     """Deletes tables that ``stash`` wrote, once nothing reads them any more."""
     for df in stashed:
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stashed_at)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    tidy(stashed[0].sparkSession)
 
 
 def rank_in_group(df: DataFrame, key: str, order: str, name: str, rows_per_cell: int = 1_000, at: str | None = None) -> DataFrame:

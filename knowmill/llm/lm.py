@@ -20,9 +20,12 @@ train are read. Empty tables give no rows.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import itertools
 import zlib
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -32,14 +35,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, release, stash, table
+from .common import crc_mod, stash, table, tidy
 
 END = "\n"
-#: Numbers of an embedding; words of a context; noise samples for classes (of a batch) and for leaves (of a token); rounds.
-WIDTH, CONTEXT, NOISE, LEAF_NOISE, ROUNDS = 16, 4, 32, 8, 2
+#: Numbers of an embedding; words of a context; noise samples of a batch, for classes and for the leaves of a class; rounds.
+WIDTH, CONTEXT, NOISE, LEAF_NOISE, ROUNDS = 16, 3, 16, 8, 2
 #: Learning rate; tokens of a worker and steps it takes at least; floats of a row while averaging; bytes of text in a block.
-RATE, WORKER_TOKENS, STEPS, CHUNK, BLOCK_BYTES = 0.3, 2_000_000, 200, 4096, 12_000_000
-BLOCK = "block long, docs binary, named binary, lengths binary, tokens binary, train binary, words array<string>, n_train array<int>"
+RATE, WORKER_TOKENS, STEPS, CHUNK, BLOCK_BYTES = 0.3, 2_000_000, 150, 4096, 16_000_000
+#: Token numbers are kept in two planes of 16 bits, of which the high one is mostly nought.
+BLOCK = "block long, docs binary, named binary, lengths binary, low binary, high binary, train binary, words array<string>, n_train array<int>"
 
 
 def _block(ids: pa.Array, texts: pa.Array, train: np.ndarray) -> dict:
@@ -53,7 +57,7 @@ def _block(ids: pa.Array, texts: pa.Array, train: np.ndarray) -> dict:
     lengths = lengths + 1
     seen = np.repeat(train, lengths)
     return {
-        "docs": pc.fill_null(ids, 0).to_numpy().tobytes(), "named": pc.is_valid(ids).to_numpy(zero_copy_only=False).tobytes(), "lengths": lengths.astype(np.int64).tobytes(), "tokens": tokens.tobytes(), "train": train.tobytes(),
+        "docs": pc.fill_null(ids, 0).to_numpy().tobytes(), "named": pc.is_valid(ids).to_numpy(zero_copy_only=False).tobytes(), "lengths": lengths.astype(np.int64).tobytes(), "low": tokens.astype(np.uint16).tobytes(), "high": (tokens >> 16).astype(np.uint16).tobytes(), "train": train.tobytes(),
         "words": pa.concat_arrays([coded.dictionary, pa.array([END])]),
         "n_train": pa.array(np.bincount(tokens[seen], minlength=len(coded.dictionary) + 1).astype(np.int32)),
     }
@@ -70,7 +74,7 @@ def to_blocks(docs: DataFrame) -> DataFrame:
             for part in np.split(np.arange(len(ids)), np.searchsorted(sizes, np.arange(BLOCK_BYTES, sizes[-1] if len(sizes) else 0, BLOCK_BYTES))):
                 if len(part):
                     b = _block(ids.slice(part[0], len(part)), batch.column(1).slice(part[0], len(part)), train[part])
-                    cols = [pa.array([next(numbers)], pa.int64()), *[pa.array([b[k]], pa.binary()) for k in ("docs", "named", "lengths", "tokens", "train")]]
+                    cols = [pa.array([next(numbers)], pa.int64()), *[pa.array([b[k]], pa.binary()) for k in ("docs", "named", "lengths", "low", "high", "train")]]
                     cols += [pa.ListArray.from_arrays(pa.array([0, len(b[k])], pa.int32()), b[k]) for k in ("words", "n_train")]
                     yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in BLOCK.split(", ")])
 
@@ -96,7 +100,7 @@ class Leaves:
 
 def side_for(n_words: int) -> int:
     """Classes and leaves of a class, a power of two that grows with the cube root of the number of distinct words."""
-    return int(2 ** np.clip(np.ceil(np.log2(max(n_words, 1)) / 3 - 1), 3, 8))
+    return int(2 ** np.clip(np.log2(max(n_words, 1)) // 3 - 1, 3, 8))
 
 
 class Model:
@@ -128,7 +132,7 @@ class Model:
             self.p[name], flat = flat[: v.size].reshape(v.shape).astype(np.float32), flat[v.size :]
 
     def step(self, before: np.ndarray, leaf: np.ndarray, rng: np.random.Generator, squares: dict) -> None:
-        """One noise-contrastive step: noise classes are shared by the batch, noise leaves come from the token's class."""
+        """One noise-contrastive step: noise classes are shared by the batch, noise leaves by the batch's tokens of a class."""
         p, side, m = self.p, self.side, len(leaf)
         q, cls = self.context(before), leaf // side
         noise = rng.choice(side, NOISE, p=self.prior)
@@ -139,19 +143,30 @@ class Model:
         grad = {"A": _sums(cls, up[:, None] * q, side), "a": np.bincount(cls, weights=up, minlength=side)}
         np.add.at(grad["A"], noise, -(down.T @ q))
         np.add.at(grad["a"], noise, -down.sum(axis=0))
-        # Leaves are drawn by their share within the class, as places in the running sum over all leaves.
-        ends = np.cumsum(self.within)
-        drawn = np.searchsorted(ends, cls[:, None] + rng.random((m, LEAF_NOISE)), side="right")
-        drawn = np.minimum(drawn, cls[:, None] * side + side - 1)
         log_kl = np.log(LEAF_NOISE * self.within).astype(np.float32)
-        both = np.concatenate([leaf[:, None], drawn], axis=1)
-        x = np.einsum("ij,ikj->ik", q, p["B"][both]) + p["b"][both] - log_kl[both]
-        pull = -1 / (1 + np.exp(-x))
-        pull[:, 0] += 1
-        dq += np.einsum("ik,ikj->ij", pull, p["B"][both])
-        grad["B"] = _sums(both.ravel(), (pull[:, :, None] * q[:, None, :]).reshape(-1, WIDTH), side * side)
-        grad["b"] = np.bincount(both.ravel(), weights=pull.ravel(), minlength=side * side)
-        grad["R"] = sum(_sums(w, dq * c, side * side + 1) for w, c in zip(before, p["c"], strict=True))
+        own = p["B"][leaf]
+        up = 1 / (1 + np.exp(np.einsum("ij,ij->i", q, own) + p["b"][leaf] - log_kl[leaf]))
+        dq += up[:, None] * own
+        grad["B"] = _sums(leaf, up[:, None] * q, side * side)
+        grad["b"] = np.bincount(leaf, weights=up, minlength=side * side)
+        # Leaves are drawn by their share within the class, as places in the running sum over all leaves.
+        places = np.arange(side)[:, None] + rng.random((side, LEAF_NOISE))
+        drawn = np.searchsorted(np.cumsum(self.within), places, side="right")
+        drawn = np.clip(drawn, np.arange(side)[:, None] * side, np.arange(side)[:, None] * side + side - 1)
+        order = np.argsort(cls.astype(np.uint16), kind="stable")
+        cuts = np.searchsorted(cls[order], np.arange(side + 1))
+        sorted_q, pulls = q[order], np.empty_like(q)
+        noise_b, noise_B = np.zeros(drawn.shape), np.zeros((*drawn.shape, WIDTH))
+        B, offset = p["B"][drawn], p["b"][drawn] - log_kl[drawn]
+        for c in np.flatnonzero(np.diff(cuts)):
+            rows = sorted_q[cuts[c] : cuts[c + 1]]
+            down = 1 / (1 + np.exp(-offset[c] - rows @ B[c].T))
+            pulls[cuts[c] : cuts[c + 1]] = down @ B[c]
+            noise_B[c], noise_b[c] = down.T @ rows, down.sum(axis=0)
+        dq[order] -= pulls
+        grad["B"] -= _sums(drawn.ravel(), noise_B.reshape(-1, WIDTH), side * side)
+        grad["b"] -= np.bincount(drawn.ravel(), weights=noise_b.ravel(), minlength=side * side)
+        grad["R"] = _sums(before.ravel(), np.concatenate([dq * c for c in p["c"]]), side * side + 1)
         grad["c"] = np.stack([np.einsum("ij,ij->j", dq, p["R"][w]) for w in before])
         for name, g in grad.items():
             g = g / m
@@ -160,8 +175,9 @@ class Model:
 
     def train(self, before: np.ndarray, leaf: np.ndarray, rng: np.random.Generator) -> None:
         """A pass over all positions in random order."""
+        one_thread()
         order, squares = rng.permutation(len(leaf)), {}
-        size = int(np.clip(len(leaf) // STEPS, 64, 8192))
+        size = int(np.clip(len(leaf) // STEPS, 64, 16384))
         for i in range(0, len(leaf), size):
             at = order[i : i + size]
             self.step(before[:, at], leaf[at], rng, squares)
@@ -171,7 +187,7 @@ class Model:
         p, side = self.p, self.side
         q, cls = self.context(before), leaf // side
         out = _log_share(q @ p["A"].T + p["a"], cls)
-        order = np.argsort(cls, kind="stable")
+        order = np.argsort(cls.astype(np.uint16), kind="stable")
         cuts = np.searchsorted(cls[order], np.arange(side + 1))
         for c in range(side):
             at = order[cuts[c] : cuts[c + 1]]
@@ -181,8 +197,25 @@ class Model:
         return out
 
 
+@functools.cache
+def one_thread() -> None:
+    """Matrix products of a task run on the task's own core: threads beside it would only take others' time. Where numpy
+    comes with another library for them, nothing changes."""
+    for path in Path(np.__file__).parent.parent.glob("numpy.libs/*openblas*"):
+        library = ctypes.CDLL(str(path))
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+
+
 def _sums(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    return np.stack([np.bincount(at, weights=column, minlength=n) for column in rows.T], axis=1)
+    """Sums of the rows at each of n places."""
+    order = np.argsort(at.astype(np.uint16) if n <= 1 << 16 else at, kind="stable")
+    at = at[order]
+    heads = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    out = np.zeros((n, rows.shape[1]))
+    out[at[heads]] = np.add.reduceat(rows[order], heads, axis=0)
+    return out
 
 
 def _log_share(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -200,7 +233,8 @@ def contexts(leaf: np.ndarray, lengths: np.ndarray, start: int) -> np.ndarray:
 def _unpack(batch: pa.RecordBatch, i: int) -> dict:
     """The arrays of a block."""
     raw = lambda c, kind: np.frombuffer(batch.column(c)[i].as_py(), dtype=kind)
-    return {"docs": raw("docs", np.int64), "named": raw("named", bool), "lengths": raw("lengths", np.int64), "tokens": raw("tokens", np.int32), "train": raw("train", bool), "words": batch.column("words")[i].values}
+    tokens = raw("low", np.uint16) | (raw("high", np.uint16).astype(np.int32) << 16)
+    return {"docs": raw("docs", np.int64), "named": raw("named", bool), "lengths": raw("lengths", np.int64), "tokens": tokens, "train": raw("train", bool)}
 
 
 def shares(blocks: DataFrame, leaves: Leaves, workers: int) -> DataFrame:
@@ -210,16 +244,17 @@ def shares(blocks: DataFrame, leaves: Leaves, workers: int) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 x = _unpack(batch, i)
-                leaf = leaves.of(x["words"])[x["tokens"]]
+                leaf = leaves.of(batch.column("words")[i].values)[x["tokens"]]
                 ends = np.cumsum(x["lengths"])
                 (on,) = np.nonzero(x["train"])
+                leaf = leaf.astype(np.uint16)
                 own = [leaf[ends[k] - x["lengths"][k] : ends[k]].tobytes() for k in on]
                 dealt = [zlib.crc32(x["docs"][k].tobytes() + (b"" if x["named"][k] else o)) for k, o in zip(on, own, strict=True)]
                 dealt = np.array(dealt, dtype=np.int64)
                 cols = [pa.array(dealt // ROUNDS % workers), pa.array(dealt % ROUNDS), pa.array(x["docs"][on]), pa.array(own, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=["worker", "round", "doc_id", "leaves"])
 
-    return blocks.select("docs", "named", "lengths", "tokens", "train", "words").mapInArrow(run, "worker long, round long, doc_id long, leaves binary")
+    return blocks.select("docs", "named", "lengths", "low", "high", "train", "words").mapInArrow(run, "worker long, round long, doc_id long, leaves binary")
 
 
 def train_model(shared: DataFrame, model: Model) -> Model:
@@ -231,8 +266,8 @@ def train_model(shared: DataFrame, model: Model) -> Model:
             part = part.sort_values(["doc_id", "leaves"])
             own = Model.__new__(Model)
             own.__dict__ = {**model.__dict__, "p": {k: v.copy() for k, v in model.p.items()}}
-            lengths = part["leaves"].map(len).to_numpy() // 4
-            leaf = np.frombuffer(b"".join(part["leaves"]), dtype=np.int32)
+            lengths = part["leaves"].map(len).to_numpy() // 2
+            leaf = np.frombuffer(b"".join(part["leaves"]), dtype=np.uint16).astype(np.int32)
             own.train(contexts(leaf, lengths, model.side**2), leaf, np.random.default_rng([number, int(part["worker"].iat[0])]))
             return pd.DataFrame({"n": [len(leaf)], "flat": [own.flat()]})
 
@@ -258,6 +293,7 @@ def train_model(shared: DataFrame, model: Model) -> Model:
         got = summed.groupBy("chunk").applyInPandas(mean, "chunk long, flat array<double>").collect()
         if got:
             model.fill(np.concatenate([r["flat"] for r in sorted(got, key=lambda r: r["chunk"])]))
+        tidy(shared.sparkSession)
     return model
 
 
@@ -266,6 +302,7 @@ def score(docs: DataFrame) -> DataFrame:
     blocks = stash(to_blocks(docs), "blocks")
     words = blocks.select("block", F.posexplode(F.arrays_zip("words", "n_train"))).select("block", "pos", F.col("col.words").alias("word"), F.col("col.n_train").alias("c"))
     totals = stash(words.groupBy("word").agg(F.sum("c").alias("c"), F.count("*").alias("blocks")), "totals")
+    tidy(blocks.sparkSession)
     some = totals.where("c > 0").agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
     n, v = int(some["n"]), int(some["v"])
     side = side_for(v)
@@ -283,28 +320,37 @@ def score(docs: DataFrame) -> DataFrame:
     held = totals.where("c > 0").select("word", "c").mapInArrow(leaf_of, "leaf long, c long, kinds long")
     for r in held.groupBy("leaf").agg(F.sum("c").alias("c"), F.sum("kinds").alias("kinds")).collect():
         counts[r["leaf"]], kinds[r["leaf"]] = r["c"], r["kinds"]
-    shared = stash(shares(blocks, leaves, max(1, round(n / ROUNDS / WORKER_TOKENS))), "shares")
-    model = train_model(shared, Model(counts, side))
-    release(shared)
+    model = train_model(shares(blocks, leaves, max(1, round(n / ROUNDS / WORKER_TOKENS))), Model(counts, side))
     log_base = lambda c: np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
     # A leaf of one word gives it all; other leaves keep 0.1 for unseen words.
     own = leaves.of(leaves.top)
     mass = counts + 0.1 * (kinds + 1)
     mass[own] = counts[own] + 0.1
 
+    kept = [c for c in BLOCK.split(", ") if c.split()[0] not in ("words", "n_train")]
+
+    def slim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Blocks are shuffled with the leaves of their words instead of the words.
+        for batch in batches:
+            leaf = [leaves.of(w.values).astype(np.uint16).tobytes() for w in batch.column("words")]
+            counts = [w.values.to_numpy().tobytes() for w in batch.column("n_train")]
+            cols = [batch.column(c.split()[0]) for c in kept] + [pa.array(leaf, pa.binary()), pa.array(counts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=[*[c.split()[0] for c in kept], "leaf", "counts"])
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.combine_chunks().to_batches()[0]
         x = _unpack(row, 0)
-        c = row.column("n_train")[0].values.to_numpy().astype(np.int64)
+        c = np.frombuffer(row.column("counts")[0].as_py(), dtype=np.int32).astype(np.int64)
         c[right.column("pos").to_numpy()] = right.column("c").to_numpy()
-        leaf = leaves.of(x["words"])
+        leaf = np.frombuffer(row.column("leaf")[0].as_py(), dtype=np.uint16).astype(np.int32)
         share = np.log10((c + 0.1) / mass[leaf])
         at, heads = x["tokens"], np.cumsum(x["lengths"]) - x["lengths"]
         leaf = leaf[at]
         before = contexts(leaf, x["lengths"], side * side)
         p = share[at]
-        for i in range(0, len(at), 65536):
-            part = slice(i, i + 65536)
+        one_thread()
+        for i in range(0, len(at), 16384):
+            part = slice(i, i + 16384)
             p[part] += model.log_probs(before[:, part], leaf[part]) / np.log(10)
         cols = {
             "doc_id": pa.array(x["docs"], mask=~x["named"]), "n_tokens": x["lengths"], "n_known": np.add.reduceat((c > 0)[at].astype(np.int64), heads),
@@ -313,7 +359,7 @@ def score(docs: DataFrame) -> DataFrame:
         return pa.table(cols)
 
     back = words.join(totals.where("blocks > 1").select("word", F.col("c").alias("all")), "word").select(F.col("block").alias("of"), "pos", F.col("all").alias("c"))
-    scored = blocks.groupBy("block").cogroup(back.groupBy("of"))
+    scored = blocks.mapInArrow(slim, ", ".join([*kept, "leaf binary", "counts binary"])).groupBy("block").cogroup(back.groupBy("of"))
     return scored.applyInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
