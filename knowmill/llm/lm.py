@@ -41,7 +41,7 @@ END = "\n"
 #: Numbers of an embedding; words of a context; noise samples of a batch, for classes and for the leaves of a class; rounds.
 WIDTH, CONTEXT, NOISE, LEAF_NOISE, ROUNDS = 16, 3, 16, 8, 2
 #: Learning rate; tokens of a worker and steps it takes at least; floats of a row while averaging; bytes of text in a block.
-RATE, WORKER_TOKENS, STEPS, CHUNK, BLOCK_BYTES = 0.3, 2_000_000, 150, 4096, 16_000_000
+RATE, WORKER_TOKENS, STEPS, CHUNK, BLOCK_BYTES = 0.3, 2_000_000, 150, 4096, 10_000_000
 #: Token numbers are kept in two planes of 16 bits, of which the high one is mostly nought.
 BLOCK = "block long, docs binary, named binary, lengths binary, low binary, high binary, train binary, words array<string>, n_train array<int>"
 
