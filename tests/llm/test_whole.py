@@ -230,8 +230,8 @@ def test_language_model(spark):
     held = [r for k, r in one.items() if k % 5 == 0]
     assert sum(r.score for r in held) > 0.95 * sum(r.base_score for r in held)
     model = lm.Model(np.arange(64.0), 8)
-    model.train(np.arange(4 * 640).reshape(4, 640) % 65, np.arange(640) % 64, rng)
-    before = np.repeat(np.array([[1], [2], [64], [64]]), 64, axis=1)
+    model.train(np.arange(lm.CONTEXT * 640).reshape(lm.CONTEXT, 640) % 65, np.arange(640) % 64, rng)
+    before = np.repeat(np.array([[1], [2], [64], [64]])[: lm.CONTEXT], 64, axis=1)
     assert abs(np.exp(model.log_probs(before, np.arange(64))).sum() - 1) < 1e-4
 
 
