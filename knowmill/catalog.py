@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
-from knowmill.plans import audit_queries, graph_queries, text_queries  # noqa: F401  registers
+from knowmill.plans import (  # noqa: F401  registers
+    audit_queries,
+    chunk_queries,
+    fact_queries,
+    graph_queries,
+    lexical_queries,
+    network_queries,
+    resolution_queries,
+    store_queries,
+    text_queries,
+)
 from knowmill.plans.registry import ORACLE, QUERIES
 
 FLAGSHIP = "hybrid_retrieval"

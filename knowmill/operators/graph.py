@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from knowmill.sources.shared import written
+
 
 def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").union(edges.select("dst", "src")).toDF("u", "v").where("u <> v").distinct()
@@ -19,17 +21,134 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def neighbours(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
-    """start, node, distance: nodes first reached after up to ``hops`` steps, the starts themselves left out."""
-    both = undirected(edges)
-    seen = starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("distance"))
-    front = seen
+    """start, node, distance: nodes first reached after up to ``hops`` steps, the starts themselves left out. Adjacency and
+    frontiers are written as tables, so that a hop reads the last one's result instead of planning it again."""
+    both = written(undirected(edges), "adjacency")
+    front = starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("distance"))
+    seen = front
     for hop in range(1, hops + 1):
         step = front.join(both, F.col("node") == F.col("u")).select("start", F.col("v").alias("node")).distinct()
         front = step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("distance", F.lit(hop))
+        if hop < hops:
+            front = written(front, "frontier")
+        seen = seen.union(front)
+    return seen.where("distance > 0")
+
+
+def shortest_paths(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
+    """start, node, distance, path: the shortest path to each node within ``hops`` steps, the least in order among equals."""
+    both = written(undirected(edges), "adjacency")
+    front = starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("distance"), F.array("id").alias("path"))
+    seen = front
+    for hop in range(1, hops + 1):
+        step = front.join(both, F.col("node") == F.col("u")).select("start", F.col("v").alias("node"), F.concat("path", F.array("v")).alias("path"))
+        step = step.groupBy("start", "node").agg(F.min("path").alias("path"))
+        front = step.join(seen.select("start", "node"), ["start", "node"], "left_anti").select("start", "node", F.lit(hop).alias("distance"), "path")
+        front = written(front, "frontier")
         seen = seen.union(front)
     return seen.where("distance > 0")
 
 
+def simple_paths(edges: DataFrame, pairs: DataFrame, longest: int) -> DataFrame:
+    """pairs: source, target. All paths of up to ``longest`` edges between them that repeat no node (paths can be many:
+    the bound is part of the question)."""
+    both = written(undirected(edges), "adjacency")
+    front = pairs.select("source", "target", F.array("source").alias("path"))
+    done = None
+    for _ in range(longest):
+        step = front.join(both, F.element_at("path", -1) == F.col("u")).where(~F.array_contains("path", F.col("v")))
+        step = written(step.select("source", "target", F.concat("path", F.array("v")).alias("path")), "paths")
+        ended = step.where(F.element_at("path", -1) == F.col("target"))
+        done = ended if done is None else done.union(ended)
+        front = step.where(F.element_at("path", -1) != F.col("target"))
+    return done
+
+
+def distances(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """start, node, distance, paths: how far each node is and how many shortest paths lead to it, until no new node is
+    reached. One row for each reachable pair: for graphs, or samples of starts, where that is affordable."""
+    both = written(undirected(edges), "adjacency")
+    front = starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("distance"), F.lit(1).cast("double").alias("paths"))
+    seen = front
+    hop = 0
+    while front.limit(1).count():
+        hop += 1
+        step = front.join(both, F.col("node") == F.col("u")).groupBy("start", F.col("v").alias("node")).agg(F.sum("paths").alias("paths"))
+        front = step.join(seen.select("start", "node"), ["start", "node"], "left_anti").select("start", "node", F.lit(hop).alias("distance"), "paths")
+        front = written(front, "frontier")
+        seen = written(seen.union(front), "seen")
+    return seen
+
+
+def closeness(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """id, reachable, closeness: 1 over the mean distance to the nodes that can be reached; 0 where there are none."""
+    d = distances(edges, nodes).where("distance > 0").groupBy(F.col("start").alias("id")).agg(F.count("*").alias("reachable"), F.avg("distance").alias("mean"))
+    return nodes.select("id").join(d, "id", "left").select("id", F.coalesce("reachable", F.lit(0)).alias("reachable"), F.coalesce(1 / F.col("mean"), F.lit(0.0)).alias("closeness"))
+
+
+def betweenness(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """id, betweenness: the share of shortest paths between two others that a node lies on, summed over pairs and divided
+    by the number of pairs of other nodes. By distances and path counts: v lies between s and t when d(s,v) + d(v,t) = d(s,t)."""
+    d = distances(edges, nodes).where("distance > 0")
+    st = d.where(F.col("start") < F.col("node")).toDF("s", "t", "st", "n")
+    sv, vt = d.toDF("s", "v", "sv", "a"), d.toDF("v", "t", "vt", "b")
+    on = st.join(sv, "s").where("sv < st").join(vt, ["v", "t"]).where("sv + vt = st")
+    share = on.groupBy(F.col("v").alias("id")).agg(F.sum(F.col("a") * F.col("b") / F.col("n")).alias("share"))
+    n = nodes.agg(((F.count("*") - 1) * (F.count("*") - 2) / 2).alias("pairs"))
+    out = nodes.select("id").join(share, "id", "left").crossJoin(F.broadcast(n))
+    return out.select("id", F.when(F.col("pairs") > 0, F.coalesce("share", F.lit(0.0)) / F.col("pairs")).otherwise(0.0).alias("betweenness"))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, component (its least node) of all nodes with an edge, by alternating large and small stars: each round links
+    every node to the least node it sees, until nothing changes."""
+    e = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct()
+    mark = None
+    while True:
+        e = written(e, "stars")
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == mark or not now[0]:
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
+        mark = now
+        both = e.union(e.select("v", "u"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = written(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "stars")
+        fewer = large.groupBy("u").agg(F.min("v").alias("m"))
+        e = large.join(fewer, "u").where("v <> m").select("v", "m").union(fewer).toDF("u", "v").where("u <> v").distinct()
+
+
+def clustering(edges: DataFrame) -> DataFrame:
+    """id, neighbours, links, coefficient of nodes with two neighbours or more: links among a node's neighbours over all that
+    could be. Each triangle is found once, from its edge between the two nodes of most neighbours."""
+    both = written(undirected(edges), "adjacency")
+    deg = both.groupBy(F.col("u").alias("id")).agg(F.count("*").alias("k"))
+    rank = lambda name: deg.select(F.col("id").alias(name), F.struct("k", "id").alias("r" + name))
+    up = both.join(rank("u"), "u").join(rank("v"), "v").where("ru < rv").select("u", "v")
+    a, b = up.toDF("x", "y"), up.toDF("x", "z")
+    wedges = a.join(b, "x").where("y <> z")
+    triangles = wedges.join(up.toDF("y", "z"), ["y", "z"], "left_semi").select(F.explode(F.array("x", "y", "z")).alias("id"))
+    links = triangles.groupBy("id").agg(F.count("*").alias("links"))
+    out = deg.where("k >= 2").join(links, "id", "left").na.fill(0, ["links"])
+    return out.select("id", F.col("k").alias("neighbours"), "links", (2 * F.col("links") / (F.col("k") * (F.col("k") - 1))).alias("coefficient"))
+
+
+def beam(edges: DataFrame, starts: DataFrame, hops: int, width: int = 20, decay: float = 0.9, least: float = 0.2) -> DataFrame:
+    """edges: src, dst, weight in [0, 1]. start, node, depth, score: a breadth-first search that keeps the ``width`` best
+    neighbours of a start on each level; a score is the product of weights, decayed by level, and ends below ``least``."""
+    both = written(edges.select("src", "dst", "weight").union(edges.select("dst", "src", "weight")).groupBy("src", "dst").agg(F.max("weight").alias("weight")).where("src <> dst"), "weights")
+    front = starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("depth"), F.lit(1.0).alias("score"))
+    seen = front
+    order = Window.partitionBy("start").orderBy(F.desc("score"), "node")
+    for hop in range(1, hops + 1):
+        step = front.join(both, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"), (F.col("score") * F.col("weight") * decay).alias("score"))
+        step = step.groupBy("start", "node").agg(F.max("score").alias("score")).where(F.col("score") >= least)
+        step = step.join(seen.select("start", "node"), ["start", "node"], "left_anti")
+        step = step.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= width)
+        front = written(step.select("start", "node", F.lit(hop).alias("depth"), "score"), "beam")
+        seen = seen.union(front)
+    return seen.where("depth > 0")
+
+
 def co_occurrence(links: DataFrame, min_share: float, per_key: str = "fact", item: str = "item") -> DataFrame:
     """links: (fact, item). Pairs of items with the number of shared facts and its share of the first item's facts.
     Facts are small sets (an order's lines), so pairs are made within a fact."""

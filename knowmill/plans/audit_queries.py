@@ -120,14 +120,6 @@ def generic_names(spark, d):
     return e.groupBy("type").agg(F.sum(T.generic_name(F.col("name")).cast("long")).alias("n_generic"), F.count("*").alias("n"))
 
 
-@query("""SELECT r_name, n_name, s_suppkey, r_name || ' > ' || n_name || ' > ' || s_name AS path FROM region JOIN nation ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey""")
-def simple_paths(spark, d):
-    """Simple paths of two steps from the regions, as sequences of names."""
-    r, n, s = (read(spark, d, t) for t in ("region", "nation", "supplier"))
-    paths = s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
-    return paths.select("r_name", "n_name", "s_suppkey", F.concat_ws(" > ", "r_name", "n_name", "s_name").alias("path"))
-
-
 @query("""WITH s AS (SELECT conv_id, turn, unnest(string_split_regex(text, '[.!?]+[ \\n]+')) AS sentence FROM conversations WHERE text IS NOT NULL)
 SELECT conv_id, turn, count(*) AS sentences, max(length(sentence)) AS longest FROM s WHERE sentence <> '' GROUP BY conv_id, turn""")
 def sentence_statistics(spark, d):

@@ -14,20 +14,32 @@ TOKEN_SQL = "[x FOR x IN string_split_regex(lower({}), '[ \\t\\n\\x0B\\f\\r]+')
 WORDS_SQL = f"w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents), k AS (SELECT doc_id, word, count(*) AS n FROM w WHERE length(word) >= 4 AND word NOT IN {STOP_SQL} GROUP BY ALL)"
 
 
+def _row_counts(spark, d):
+    """doc_id and its keywords with counts, most frequent first: a document is one row, so nothing is shuffled."""
+    docs = read(spark, d, "documents").select("doc_id", F.sort_array(T.keywords(F.col("text"))).alias("w"))
+    # Of a sorted list, a word's count is the distance between its first place and the next word's.
+    firsts = F.filter(F.transform("w", lambda x, i: F.struct(x.alias("word"), i.alias("i"))), lambda e: (e["i"] == 0) | (e["word"] != F.get("w", F.greatest(e["i"] - 1, F.lit(0)))))
+    docs = docs.withColumn("f", firsts)
+    counted = F.transform("f", lambda e, k: F.struct((e["i"] - F.coalesce(F.get("f", k + 1)["i"], F.size("w"))).alias("minus"), e["word"].alias("word")))
+    return docs.select("doc_id", F.size("w").alias("total"), F.sort_array(counted).alias("k"))
+
+
 def _counts(spark, d):
-    words = read(spark, d, "documents").select("doc_id", F.explode(T.keywords(F.col("text"))).alias("word"))
-    return words.groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+    # A plain explode makes the optimizer test the array's size below, computing all of it again for each word.
+    rows = _row_counts(spark, d).select("doc_id", F.explode_outer("k").alias("e")).where("e is not null")
+    return rows.select("doc_id", F.col("e.word").alias("word"), (-F.col("e.minus")).cast("long").alias("n"))
 
 
 @query(f"WITH {WORDS_SQL} SELECT doc_id, word, n, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word) AS rank FROM k) WHERE rank <= 20 AND n > 1")
 def keyword_topk(spark, d):
-    return ranking.top(_counts(spark, d), "doc_id", "n", "word", 20).where("n > 1")
+    top = _row_counts(spark, d).select("doc_id", F.posexplode_outer(F.slice("k", 1, 20)).alias("at", "e")).where("e.minus < -1")
+    return top.select("doc_id", F.col("e.word").alias("word"), (-F.col("e.minus")).cast("long").alias("n"), (F.col("at") + 1).alias("rank"))
 
 
 @query(f"WITH {WORDS_SQL} SELECT doc_id, word, round(n / sum(n) OVER (PARTITION BY doc_id), 8) AS tf FROM k")
 def sparse_tf(spark, d):
-    total = Window.partitionBy("doc_id")
-    return _counts(spark, d).select("doc_id", "word", F.round(F.col("n") / F.sum("n").over(total), 8).alias("tf"))
+    rows = _row_counts(spark, d).select("doc_id", "total", F.explode_outer("k").alias("e")).where("e is not null")
+    return rows.select("doc_id", F.col("e.word").alias("word"), F.round(-F.col("e.minus") / F.col("total"), 8).alias("tf"))
 
 
 @query(f"WITH {WORDS_SQL} SELECT word, count(*) AS n_docs, sum(n)::BIGINT AS n FROM k GROUP BY word HAVING count(*) >= 3")
@@ -193,29 +205,28 @@ def checksum_diff(spark, d):
     return dedup.changed(old, docs, "doc_id", "digest").select("doc_id", "digest")
 
 
-@query(f"""WITH p AS (SELECT p_brand, p_partkey, p_name, list_distinct({TOKEN_SQL.format("p_name")}) AS t FROM part WHERE p_size <= 5)
-SELECT a.p_partkey AS a, b.p_partkey AS b, round(len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))), 6) AS jaccard, round(1 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name)), 6) AS edit
-FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey WHERE levenshtein(a.p_name, b.p_name) <= 0.5 * greatest(length(a.p_name), length(b.p_name))""")
-def similar_names(spark, d):
-    """Parts of a brand with names half alike or more; a brand's parts are a block of the comparison."""
-    p = read(spark, d, "part").where("p_size <= 5").select("p_brand", "p_partkey", "p_name")
-    a, b = p.toDF("brand", "a", "na"), p.toDF("brand", "b", "nb")
-    na, nb = F.col("na"), F.col("nb")
-    near = F.levenshtein(na, nb) <= 0.5 * F.greatest(F.length(na), F.length(nb))
-    return a.join(b, "brand").where((F.col("a") < F.col("b")) & near).select("a", "b", F.round(T.jaccard(na, nb), 6).alias("jaccard"), F.round(T.edit_similarity(na, nb), 6).alias("edit"))
+NAMES_SQL = f"""WITH p AS (SELECT p_type, p_name, min(p_partkey) AS k, count(*) AS n, list_distinct({TOKEN_SQL.format("p_name")}) AS t FROM part GROUP BY p_type, p_name)
+SELECT a.k AS a, b.k AS b, a.n * b.n AS pairs, round(len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))), 6) AS jaccard, round(1 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name)), 6) AS edit
+FROM p a JOIN p b ON a.p_type = b.p_type AND a.p_name < b.p_name WHERE levenshtein(a.p_name, b.p_name) <= 0.5 * greatest(length(a.p_name), length(b.p_name))"""
 
 
-@query(f"""WITH p AS (SELECT p_brand, p_partkey, p_name, list_distinct({TOKEN_SQL.format("p_name")}) AS t FROM part)
-SELECT a.p_partkey AS a, b.p_partkey AS b, round(len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))), 6) AS jaccard, round(1 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name)), 6) AS edit
-FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey WHERE levenshtein(a.p_name, b.p_name) <= 0.5 * greatest(length(a.p_name), length(b.p_name))""")
-def similar_names_all(spark, d):
-    """As similar_names, for parts of every size; lengths that alone put two names too far apart are left out first."""
-    p = read(spark, d, "part").select("p_brand", "p_partkey", "p_name")
-    a, b = p.toDF("brand", "a", "na"), p.toDF("brand", "b", "nb")
+def _similar(spark, d):
+    """Names of a type that are half alike or more, each distinct name once with the number of pairs of parts behind it. Names
+    meet those of admissible lengths only."""
+    p = read(spark, d, "part").groupBy("p_type", F.col("p_name").alias("na")).agg(F.min("p_partkey").alias("a"), F.count("*").alias("n"))
+    p = p.withColumn("size", F.length("na"))
+    b = p.toDF("p_type", "nb", "b", "m", "key")
+    reach = F.sequence(F.ceil(F.col("size") / 2).cast("int"), (2 * F.col("size")).cast("int"))
+    pairs = p.withColumn("key", F.explode(reach)).join(b, ["p_type", "key"]).where("na < nb")
     na, nb = F.col("na"), F.col("nb")
-    close = F.abs(F.length(na) - F.length(nb)) <= 0.5 * F.greatest(F.length(na), F.length(nb))
     near = F.levenshtein(na, nb) <= 0.5 * F.greatest(F.length(na), F.length(nb))
-    return a.join(b, "brand").where((F.col("a") < F.col("b")) & close & near).select("a", "b", F.round(T.jaccard(na, nb), 6).alias("jaccard"), F.round(T.edit_similarity(na, nb), 6).alias("edit"))
+    return pairs.where(near).select("a", "b", (F.col("n") * F.col("m")).alias("pairs"), F.round(T.jaccard(na, nb), 6).alias("jaccard"), F.round(T.edit_similarity(na, nb), 6).alias("edit"))
+
+
+@query(NAMES_SQL)
+def similar_names(spark, d):
+    """Similar names of parts of one type."""
+    return _similar(spark, d)
 
 
 @query("""SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")

@@ -13,9 +13,9 @@ def test_every_label_is_asked(spark, tmp_path):
 
 
 def test_all_sizes_and_whole_texts(spark, tmp_path):
-    part = [(1, "B", "red old tin", 4), (2, "B", "red old tins", 40), (3, "C", "red old tin", 4)]
-    spark.createDataFrame(part, "p_partkey long, p_brand string, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
-    assert [(r.a, r.b) for r in catalog.QUERIES["similar_names_all"](spark, str(tmp_path)).collect()] == [(1, 2)]
+    part = [(1, "B", "red old tin", 4, "T"), (2, "B", "red old tins", 40, "T"), (3, "C", "red old tin", 4, "U"), (4, "C", "red old tins", 9, "T")]
+    spark.createDataFrame(part, "p_partkey long, p_brand string, p_name string, p_size int, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    assert [(r.a, r.b, r.pairs) for r in catalog.QUERIES["similar_names"](spark, str(tmp_path)).collect()] == [(1, 2, 2)]
     docs = [(1, "de", "the " * 200 + " und der die das" * 300)]
     spark.createDataFrame(docs, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert catalog.QUERIES["document_language_whole"](spark, str(tmp_path)).first().detected == "de"
