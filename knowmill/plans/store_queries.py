@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from knowmill.operators import dedup, graph
 from knowmill.plans.registry import query
 from knowmill.sources.tables import GRAPH_SQL, entities, read, relations
+from knowmill.streaming import events as stream
 
 # --- pages -----------------------------------------------------------------------------------------------------------
 
@@ -278,3 +279,11 @@ def job_states(spark, d):
 def processing_counters(spark, d):
     good = F.sum(F.when(F.col("o_totalprice") > 100000, 1).otherwise(0))
     return read(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("stage")).agg(F.count("*").alias("runs"), good.alias("successes"), F.round(F.avg("o_totalprice"), 4).alias("mean_cost"))
+
+
+@query("""SELECT event_type, count(DISTINCT event_id) AS n, round(sum(value), 2) AS total FROM events GROUP BY event_type""")
+def streamed_events(spark, d):
+    """Events read as a stream, repeats within the watermark removed, then counted."""
+    table = read(spark, d, "events").select("event_id", "ts", "event_type", "value")
+    seen = stream.run_once(stream.unique_events(stream.event_stream(spark, f"{d}/events.parquet", table.schema)), "events")
+    return seen.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
