@@ -11,8 +11,9 @@ from knowmill.sources.shared import shared_dir
 
 
 def event_stream(spark: SparkSession, folder: str, schema) -> DataFrame:
-    """A stream of the Parquet files in a folder."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).parquet(folder)
+    """A stream of the Parquet files in a folder; watermarks need times with a zone."""
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).parquet(folder)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def windowed_counts(events: DataFrame, late: str | None = "1 hour", width: str = "1 hour") -> DataFrame:
