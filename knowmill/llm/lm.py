@@ -10,7 +10,7 @@ of each shared leaf. Both steps are normalised by batched matrix products.
 Counts of all tokens come from blocks of documents with their own vocabularies, by one aggregation on words, and go back
 to the blocks as numbers. For training, each document's leaves go to a worker given by a hash of the document, which also
 gives its round, so that file layout and partitions do not matter; a worker trains over its documents in order of id, in
-numpy, with noise of its own seed, and parameters are averaged by tokens after each round, first within a partition. A worker's
+numpy, with noise of its own seed, and parameters are averaged by tokens after each round. A worker's
 share is about ``WORKER_TOKENS`` tokens at any size of the input.
 
 Null texts count as empty: their only token is the end. A null ``train`` counts as false; documents
@@ -40,8 +40,8 @@ from .common import crc_mod, stash, table, tidy
 END = "\n"
 #: Numbers of an embedding; words of a context; noise samples of a batch, for classes and for the leaves of a class; rounds.
 WIDTH, CONTEXT, NOISE, LEAF_NOISE, ROUNDS = 16, 3, 16, 8, 2
-#: Learning rate; tokens of a worker and steps it takes at least; floats of a row while averaging; bytes of text in a block.
-RATE, WORKER_TOKENS, STEPS, CHUNK, BLOCK_BYTES = 0.3, 2_000_000, 150, 4096, 10_000_000
+#: Learning rate; tokens of a worker and steps it takes at least; bytes of text in a block.
+RATE, WORKER_TOKENS, STEPS, BLOCK_BYTES = 0.3, 2_000_000, 150, 10_000_000
 #: Token numbers are kept in two planes of 16 bits, of which the high one is mostly nought.
 BLOCK = "block long, docs binary, named binary, lengths binary, low binary, high binary, train binary, words array<string>, n_train array<int>"
 
@@ -258,8 +258,8 @@ def shares(blocks: DataFrame, leaves: Leaves, workers: int) -> DataFrame:
 
 
 def train_model(shared: DataFrame, model: Model) -> Model:
-    """Each round every worker trains over its documents from the same start, and parameters are averaged by tokens:
-    within a partition, then over partitions in chunks. Only the averaged parameters reach the driver."""
+    """Each round every worker trains over its documents from the same start, and parameters are averaged by tokens. Only
+    the averaged parameters reach the driver."""
 
     def worker(number: int, model: Model) -> Callable:
         def work(part: pd.DataFrame) -> pd.DataFrame:
@@ -273,26 +273,13 @@ def train_model(shared: DataFrame, model: Model) -> Model:
 
         return work
 
-    def chunks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, total = 0, 0.0
-        for frame in frames:
-            for k, flat in zip(frame["n"], frame["flat"], strict=True):
-                n, total = n + k, total + k * flat.astype(np.float64)
-        if n:
-            cut = np.split(total, np.arange(CHUNK, len(total), CHUNK))
-            yield pd.DataFrame({"chunk": np.arange(len(cut)), "n": n, "total": cut})
-
-    def mean(part: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum(part.sort_values("n")["total"].to_list(), axis=0) / part["n"].sum()
-        # Rounded, so that the order of sums leaves no trace.
-        return pd.DataFrame({"chunk": [part["chunk"].iat[0]], "flat": [np.round(total, 5)]})
-
     for number in range(ROUNDS):
         trained = shared.where(F.col("round") == number).groupBy("worker").applyInPandas(worker(number, model), "n long, flat array<float>")
-        summed = trained.mapInPandas(chunks, "chunk long, n long, total array<double>")
-        got = summed.groupBy("chunk").applyInPandas(mean, "chunk long, flat array<double>").collect()
-        if got:
-            model.fill(np.concatenate([r["flat"] for r in sorted(got, key=lambda r: r["chunk"])]))
+        # Summed by place, first within each task: only the averages, rounded so that the order of sums leaves no trace, get here.
+        places = trained.select("n", F.posexplode("flat").alias("place", "x")).groupBy("place")
+        got = places.agg(F.round(F.sum(F.col("n") * F.col("x").cast("double")) / F.sum("n"), 5).alias("mean")).toPandas()
+        if len(got):
+            model.fill(got.sort_values("place")["mean"].to_numpy())
         tidy(shared.sparkSession)
     return model
 
