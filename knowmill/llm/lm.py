@@ -42,6 +42,8 @@ END = "\n"
 WIDTH, CONTEXT, NOISE, LEAF_NOISE, ROUNDS = 16, 3, 16, 8, 2
 #: Learning rate; tokens of a worker and steps it takes at least; bytes of text in a block.
 RATE, WORKER_TOKENS, STEPS, BLOCK_BYTES = 0.3, 2_000_000, 150, 10_000_000
+#: Parameters that a row of a worker's result holds.
+WIDE = 64
 #: Token numbers are kept in two planes of 16 bits, of which the high one is mostly nought.
 BLOCK = "block long, docs binary, named binary, lengths binary, low binary, high binary, train binary, words array<string>, n_train array<int>"
 
@@ -269,17 +271,23 @@ def train_model(shared: DataFrame, model: Model) -> Model:
             lengths = part["leaves"].map(len).to_numpy() // 2
             leaf = np.frombuffer(b"".join(part["leaves"]), dtype=np.uint16).astype(np.int32)
             own.train(contexts(leaf, lengths, model.side**2), leaf, np.random.default_rng([number, int(part["worker"].iat[0])]))
-            return pd.DataFrame({"n": [len(leaf)], "flat": [own.flat()]})
+            flat = own.flat()
+            rows = pd.DataFrame(np.pad(flat, (0, -len(flat) % WIDE)).reshape(-1, WIDE), columns=wide)
+            rows.insert(0, "place", np.arange(len(rows)))
+            rows.insert(1, "n", len(leaf))
+            return rows
 
         return work
 
+    wide = [f"x{i}" for i in range(WIDE)]
+    schema = ", ".join(["place long", "n long", *[f"{x} float" for x in wide]])
+    mean = lambda x: F.round(F.sum(F.col("n") * F.col(x).cast("double")) / F.sum("n"), 5).alias(x)
     for number in range(ROUNDS):
-        trained = shared.where(F.col("round") == number).groupBy("worker").applyInPandas(worker(number, model), "n long, flat array<float>")
+        trained = shared.where(F.col("round") == number).groupBy("worker").applyInPandas(worker(number, model), schema)
         # Summed by place, first within each task: only the averages, rounded so that the order of sums leaves no trace, get here.
-        places = trained.select("n", F.posexplode("flat").alias("place", "x")).groupBy("place")
-        got = places.agg(F.round(F.sum(F.col("n") * F.col("x").cast("double")) / F.sum("n"), 5).alias("mean")).toPandas()
+        got = trained.groupBy("place").agg(*[mean(x) for x in wide]).toPandas()
         if len(got):
-            model.fill(got.sort_values("place")["mean"].to_numpy())
+            model.fill(got.sort_values("place")[wide].to_numpy().ravel())
         tidy(shared.sparkSession)
     return model
 
