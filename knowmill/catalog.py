@@ -9,6 +9,7 @@ from knowmill.plans import (  # noqa: F401  registers
     graph_queries,
     lexical_queries,
     network_queries,
+    page_queries,
     resolution_queries,
     store_queries,
     text_queries,
