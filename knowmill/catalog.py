@@ -5,6 +5,7 @@ from __future__ import annotations
 from knowmill.plans import (  # noqa: F401  registers
     audit_queries,
     chunk_queries,
+    discovery_queries,
     fact_queries,
     graph_queries,
     lexical_queries,
