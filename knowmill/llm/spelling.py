@@ -73,13 +73,16 @@ def vocabulary(docs: DataFrame, least_chars: int = 6, least_n: int = 5, slip: in
     return counted.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least_n)
 
 
-def _signatures(word: Column) -> Column:
-    """A hash for each choice of all parts but two of a word's elements."""
-    letters = F.sort_array(F.split(word, ""))
-    elements = F.transform(letters, lambda x, i: F.concat(x, (i - F.array_position(letters, x)).cast("string")))
-    part = lambda k: F.array_join(F.filter(elements, lambda e: F.pmod(F.xxhash64(e), F.lit(PARTS)) == k), ",")
-    parts = [part(k) for k in range(PARTS)]
-    return F.array(*[F.xxhash64(F.lit(i), *[p for k, p in enumerate(parts) if k not in out]) for i, out in enumerate(combinations(range(PARTS), 2))])
+def _signed(words: DataFrame) -> DataFrame:
+    """words with sig, a hash for each choice of all parts but two of a word's elements. Each step is a projection of its
+    own, so that nothing is computed again for each signature."""
+    letters = words.withColumn("letters", F.sort_array(F.split("word", "")))
+    element = F.transform("letters", lambda x, i: F.concat(x, (i - F.array_position("letters", x)).cast("string")))
+    dealt = letters.withColumn("element", element).withColumn("dealt", F.transform("element", lambda e: F.struct(e.alias("e"), F.pmod(F.xxhash64(e), F.lit(PARTS)).alias("part"))))
+    part = lambda k: F.array_join(F.transform(F.filter("dealt", lambda x: x["part"] == k), lambda x: x["e"]), ",")
+    parts = dealt.select(*words.columns, *[part(k).alias(f"part{k}") for k in range(PARTS)])
+    sigs = [F.xxhash64(F.lit(i), *[f"part{k}" for k in range(PARTS) if k not in out]) for i, out in enumerate(combinations(range(PARTS), 2))]
+    return parts.select(*words.columns, F.explode(F.array(*sigs)).alias("sig"))
 
 
 def _halves(word: Column) -> Column:
@@ -94,7 +97,7 @@ def _halves(word: Column) -> Column:
 
 def near_pairs(words: DataFrame) -> DataFrame:
     """a, na, b, nb of each two words that are one edit apart, a before b. words: distinct word, n."""
-    signed = stash(words.select("word", "n", F.explode(_signatures(F.col("word"))).alias("sig")), "signed")
+    signed = stash(_signed(words.select("word", "n")), "signed")
     large = signed.groupBy("sig").agg(F.count("*").alias("many")).where(F.col("many") > LARGE)
     whole = F.array(F.struct(F.lit(0).alias("short"), F.lit(0).cast("long").alias("half")))
     met = signed.join(large, "sig", "left").withColumn("at", F.explode(F.when(F.col("many").isNull(), whole).otherwise(_halves(F.col("word")))))
