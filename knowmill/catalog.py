@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from knowmill.plans import (  # noqa: F401  registers
+    answer_queries,
     audit_queries,
     chunk_queries,
     discovery_queries,

@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from knowmill.functions import text as T
 from knowmill.operators import names as N
@@ -61,7 +62,7 @@ def discover(questions: DataFrame, entities: DataFrame, least: float = 0.3, most
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def matching_blocks(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff and Obershelp's ratio: twice the characters in matching blocks, found from the longest outwards, over all."""
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])

@@ -41,7 +41,8 @@ def fits(selector: str, name: Column, classes: Column, ident: Column, role: Colu
 
 def tokens(pages: DataFrame) -> DataFrame:
     """page_id, pos, token, kind (open, close, text or none) and an open tag's name, classes, id, role."""
-    t = pages.select("page_id", F.posexplode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(TOKENS), F.lit(0))).alias("pos", "token"))
+    t = pages.select("page_id", F.posexplode_outer(F.regexp_extract_all("html", F.lit(TOKENS), F.lit(0))).alias("pos", "token"))
+    t = t.withColumn("token", F.coalesce("token", F.lit("")))
     name = F.lower(F.regexp_extract("token", TAG, 1))
     whole, token = F.col("token").rlike(WHOLE), F.col("token")
     kind = F.when(whole, "none").when(name == "", "text").when(name.isin(*VOID) | token.endswith("/>"), "none").when(token.startswith("</"), "close").otherwise("open")
