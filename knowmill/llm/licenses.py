@@ -25,7 +25,15 @@ GAPS = "".join(chr(c) for c in range(128) if not (chr(c).isdigit() or chr(c).isa
 #: Phrases of the base, by label.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 KINDS = ("spdx", "text", "grant", "name")
+#: A label's identifiers: what its signatures have behind "spdx license identifier".
+ID_LINE = "spdx license identifier "
+IDS = {label: [p.removeprefix(ID_LINE) for p in kinds.get("spdx", ()) if p.startswith(ID_LINE)] for label, kinds in SIGNATURES.items()}
+ANY_ID = "(?:" + "|".join(sorted({x for ids in IDS.values() for x in ids}, key=lambda x: (-len(x), x))) + ")"
+#: An identifier counts beside another one and a conjunction; of such a pair each covers its own words.
+JOINED = {label: [p for x in ids for p in (f"(?<= {ANY_ID} (?:or|and) ){x}", f"{x}(?= (?:or|and) {ANY_ID} )")] for label, ids in IDS.items()}
 KEYS = {label: kinds["keys"] for label, kinds in SIGNATURES.items()}
+#: Keys of identifiers in pairs; what opens the gate to such a text is one of the other keys.
+PAIRED = {label: tuple(sorted({f" {x.split()[0]} " for x in ids if x.split()[0].isalnum()})) for label, ids in IDS.items()}
 #: What the keys of most labels hold; with the keys that hold none of it, what a text must have to be looked at.
 STEMS = ("licen", "copyright", "reserved", "permission", "commons", "domain", "software", "identifier", "all rights")
 GATE = STEMS + tuple(sorted({k for keys in KEYS.values() for k in keys if not any(x in k for x in STEMS)}))
@@ -37,6 +45,7 @@ def rules() -> list[tuple[int, str, str]]:
     made = [(0, p, x) for p, x in BASE.items()]
     for label, kinds in SIGNATURES.items():
         made += [(1 + k, p, label) for k, kind in enumerate(KINDS) for p in sorted(kinds.get(kind, ()), key=len, reverse=True)]
+        made += [(len(KINDS), p, label) for p in JOINED[label]]
     return made + [(1 + len(KINDS), p, "") for p in OTHER]
 
 
@@ -98,16 +107,21 @@ def _detect(df: DataFrame) -> DataFrame:
     df = df.withColumn("_base", F.when(F.col("n_base") > 0, F.array_compact(held)).otherwise(F.array().cast("array<string>")))
     found = []
     for label in sorted({x for _, _, x in every}):
-        held = reduce(or_, [F.col("_n").contains(k) for k in KEYS[label]]) if label else F.lit(True)
+        held = reduce(or_, [F.col("_n").contains(k) for k in KEYS[label] + PAIRED[label]]) if label else F.lit(True)
         hits = F.regexp_extract_all("_n", F.lit(f"({_pattern(every, label)})"), F.lit(1))
         starts = F.transform(F.slice(F.split("_n", _pattern(every, label), -1), 1, F.greatest(F.size(hits), F.lit(1))), lambda s: F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit(""))))
         spans = F.arrays_zip(hits.alias("hit"), starts.alias("gap"))
         found.append(F.when(held & (F.size(hits) > 0), _spans(spans, label)))
     df = df.withColumn("_all", F.when(F.col("_n").isNotNull(), F.flatten(F.array_compact(F.array(*found)))))
     inside = lambda a, b: (b["start"] <= a["start"]) & (a["end"] <= b["end"]) & ((b["end"] - b["start"]) > (a["end"] - a["start"]))
-    place = lambda a: F.struct(a["priority"], a["start"] - a["end"], a["start"], a["label"])
-    crossing = lambda a, b: (b["start"] < a["end"]) & (a["start"] < b["end"]) & ~inside(b, a) & (place(b) < place(a))
-    stay = F.filter("_all", lambda a: (a["label"] != "") & ~F.exists("_all", lambda b: inside(a, b) | crossing(a, b)))
+    outer = F.filter("_all", lambda a: ~F.exists("_all", lambda b: inside(a, b)))
+    # In order of priority, a detection stays that meets none that stayed before.
+    place = F.transform(outer, lambda a: F.struct(a["priority"].alias("priority"), (a["start"] - a["end"]).alias("shorter"), a["start"].alias("start"), a["label"].alias("label"), a["end"].alias("end")))
+    df = df.withColumn("_outer", F.array_sort(place))
+    meets = lambda a, b: (b["start"] < a["end"]) & (a["start"] < b["end"])
+    df = df.withColumn("_stay", F.aggregate("_outer", F.slice("_outer", 1, 0), lambda some, a: F.when(F.exists(some, lambda b: meets(a, b)), some).otherwise(F.concat(some, F.array(a)))))
+    named = lambda a: F.struct(a["label"].alias("label"), a["start"].alias("start"), a["end"].alias("end"), a["priority"].alias("priority"))
+    stay = F.transform(F.filter("_stay", lambda a: a["label"] != ""), named)
     df = df.withColumn("detections", F.coalesce(stay, F.array().cast("array<struct<label:string,start:int,end:int,priority:int>>")))
     df = df.withColumn("base_labels", joined(F.col("_base")))
     df = df.withColumn("labels", joined(F.concat("_base", F.transform("detections", lambda d: d["label"]))))
