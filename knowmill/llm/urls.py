@@ -81,15 +81,23 @@ def normal(url: Column) -> Column:
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
-    """(u, v) of normal urls that name one resource."""
-    tag = lambda p: F.regexp_extract("html", p, 1)
+    """(u, v) of normal urls that name one resource. Comments and scripts hold no links, and a base element moves the
+    place that relative links start from."""
     has = lambda x: F.coalesce(F.lower("html").contains(x), F.lit(False))
+    some = has("canonical") | has("refresh")
+    pages = pages.select("url", F.when(some, F.regexp_replace("html", r"(?is)<!--.*?-->|<(script|style|template)\b.*?</\1\s*>", " ")).alias("html"))
+    tag = lambda p: F.regexp_extract("html", p, 1)
     bare = F.regexp_replace(F.substring_index("url", "#", 1), rf"(?i)(?<=[?&]){TRACKING}=[^&]*&?", "")
     bare = F.regexp_replace(bare, r"[?&]+$", "")
-    canonical = F.coalesce(F.nullif(tag(r"(?is)<link\s[^>]*rel=[\"']?canonical[\"']?[^>]*?href=[\"']?([^\"'\s>]+)"), F.lit("")), tag(r"(?is)<link\s[^>]*href=[\"']?([^\"'\s>]+)[\"']?[^>]*?rel=[\"']?canonical"))
+    rel = r"rel\s*=\s*(?:\"(?:[^\"]*\s)?canonical(?:\s[^\"]*)?\"|'(?:[^']*\s)?canonical(?:\s[^']*)?'|canonical(?=[\s/>]))"
+    href = r"href\s*=\s*[\"']?([^\"'\s>]+)"
+    canonical = F.coalesce(F.nullif(tag(rf"(?is)<link\s(?:[^>]*?\s)?{rel}[^>]*?\s{href}"), F.lit("")), tag(rf"(?is)<link\s(?:[^>]*?\s)?{href}[^>]*?\s{rel}"))
     refresh = F.coalesce(F.nullif(tag(r"(?is)<meta\s[^>]*http-equiv=[\"']?refresh[^>]*?url=['\"]?([^\"'\s>]+)"), F.lit("")), tag(r"(?is)<meta\s[^>]*?[\s;\"']url=['\"]?([^\"'\s>]+)[^>]*?http-equiv=[\"']?refresh"))
-    whole = lambda c: resolve(F.col("url"), c)
-    targets = F.array(bare, F.when(has("canonical"), whole(canonical)), F.when(has("refresh"), whole(refresh)))
+    base = F.coalesce(F.nullif(tag(rf"(?is)<base\s(?:[^>]*?\s)?{href}"), F.lit("")), F.lit(""))
+    start = F.when(base == "", F.col("url")).otherwise(resolve(F.col("url"), base))
+    pages = pages.withColumn("start", F.when(start.contains("://"), start).otherwise(F.col("url")))
+    whole = lambda c: F.when(F.coalesce(c, F.lit("")) != "", resolve(F.col("start"), c))
+    targets = F.array(bare, whole(canonical), whole(refresh))
     edges = pages.where(F.col("url").contains("://")).select(F.col("url").alias("u"), F.explode(targets).alias("v"))
     edges = edges.where(F.col("v").contains("://")).select(normal(F.col("u")).alias("u"), normal(F.col("v")).alias("v"))
     return edges.where(F.col("u") != F.col("v")).distinct()
