@@ -6,9 +6,14 @@ the hits inside them. The sum of weights, by itself and normalised by the length
 function fitted on the training rows.
 
 The training rows are a sample of at most ``MAX_TRAIN`` labelled rows (by hash of doc_id); word counts are taken by
-Spark, only the lexicon (at most ``MAX_TERMS``) and the sample's three numbers a row reach the driver. Every
-document is scored over its whole text. Null and empty texts have no hits and get the score of a text without any.
-Without labels the seed words have weight 1 and the logistic function its defaults.
+Spark, only the lexicon (words that two or more toxic texts of the sample hold, all that are surely more frequent there)
+and the sample's three numbers a row reach the driver. Every document is scored over its whole text.
+
+Null and empty texts have no hits and get the score of a text without any. Without labels the seed words have weight 1 and
+the logistic function its defaults. Rows that repeat an id are scored each by itself; labels that repeat an id train as
+often as they stand there, contradicting ones on both sides, and each meets all rows of its id. Null ids get a score and
+train nothing. Only the named columns are read, so that others may have any name; the lexicon has no order, so ties decide
+nothing. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +32,8 @@ from pyspark.sql import functions as F
 from .common import crc_mod, table
 
 MAX_TRAIN = 40_000
-MAX_TERMS = 400
+#: Log odds that a word of the lexicon has at least, and standard errors by which it must exceed them.
+LEAST_ODDS, SURE = 1.2, 2.0
 #: Characters that stand for a Latin letter.
 LOOKALIKES = {
     "a": "4@αа", "b": "8βЬв", "c": "сϲ", "d": "ԁ", "e": "3еє", "h": "һн", "i": "1ıіι|", "j": "ј", "k": "κк", "l": "ⅼ", "m": "мⅿ", "n": "ո",
@@ -75,9 +81,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 def learn_lexicon(docs: DataFrame, n_toxic: int, n_clean: int) -> dict[str, float]:
     """Weights of words that toxic training documents hold far more often than others."""
-    least = max(2, math.ceil(0.01 * n_toxic))
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
-    rows = word_counts(docs).where(F.col("toxic") >= least).withColumn("w", odds).where("w > 1.2").orderBy(F.desc(F.col("w") * F.col("toxic")), "word").limit(MAX_TERMS).collect()
+    error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
+    sure = word_counts(docs).where("toxic >= 2").withColumn("w", odds).where(F.col("w") - SURE * error > LEAST_ODDS)
+    rows = sure.select("word", "w").collect()  # bounded by the words of the sample's toxic texts
     return dict.fromkeys(SEEDS, 1.0) | {r["word"]: r["w"] for r in rows}
 
 
