@@ -1,8 +1,8 @@
 """Log-bilinear language model trained by noise-contrastive estimation, beside an add-0.1 unigram base.
 
-Every word has a leaf: the most frequent training words one each, all others the leaf of their last two characters. Leaves
-stand in ``side`` classes of ``side`` leaves; ``side`` grows with the number of distinct words, and so does what the
-model holds. The vector of the ``CONTEXT`` leaves before a token, a bilinear form of their embeddings, scores first the
+Every word has a leaf: the most frequent training words, which make up ``COVER`` of the training tokens at any size of the
+corpus, one each, all others the leaf of their last two characters. Leaves stand in ``side`` classes of ``side`` leaves;
+``side`` grows with the number of words of their own, without a bound, and so does what the model holds. The vector of the ``CONTEXT`` leaves before a token, a bilinear form of their embeddings, scores first the
 classes and then the leaves of the token's class, by products with their embeddings; a word has its leaf's probability
 times its share of the leaf's counts. So all words are modelled, and probabilities sum to 1 over all words and one unseen word
 of each shared leaf. Both steps are normalised by batched matrix products.
@@ -32,7 +32,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import crc_mod, stash, table, tidy
@@ -41,7 +41,9 @@ END = "\n"
 #: Numbers of an embedding; words of a context; noise samples of a batch, for classes and for the leaves of a class; rounds.
 WIDTH, CONTEXT, NOISE, LEAF_NOISE, ROUNDS = 16, 3, 16, 8, 2
 #: Learning rate; tokens of a worker and steps it takes at least; bytes of text in a block.
-RATE, WORKER_TOKENS, STEPS, BLOCK_BYTES = 0.3, 2_000_000, 150, 10_000_000
+RATE, WORKER_TOKENS, STEPS, BLOCK_BYTES = 0.3, 2_000_000, 400, 10_000_000
+#: Share of the training tokens whose words have leaves of their own.
+COVER = 0.5
 #: Parameters that a row of a worker's result holds.
 WIDE = 64
 #: Token numbers are kept in two planes of 16 bits, of which the high one is mostly nought.
@@ -100,9 +102,13 @@ class Leaves:
         return (number % self.side * self.side + number // self.side).astype(np.int32)
 
 
-def side_for(n_words: int) -> int:
-    """Classes and leaves of a class, a power of two that grows with the cube root of the number of distinct words."""
-    return int(2 ** np.clip(np.log2(max(n_words, 1)) // 3 - 1, 3, 8))
+def side_for(n_own: int) -> int:
+    """Classes and leaves of a class: a power of two (8 at least), so that words of their own take half of the leaves at most."""
+    return int(2 ** max(3, np.ceil(np.log2(2 * max(n_own, 1)) / 2)))
+
+
+def leaf_type(side: int) -> type:
+    return np.uint16 if side <= 256 else np.uint32
 
 
 class Model:
@@ -116,6 +122,7 @@ class Model:
         leaf = (counts + 0.5).reshape(side, side)
         self.prior = leaf.sum(axis=1) / leaf.sum()
         self.within = (leaf / leaf.sum(axis=1, keepdims=True)).ravel()
+        self.sums, self.log_kl = np.cumsum(self.within), np.log(LEAF_NOISE * self.within).astype(np.float32)
         self.p = {
             "R": rng.normal(0, 0.3, (n + 1, WIDTH)), "c": np.ones((CONTEXT, WIDTH)) / CONTEXT, "A": np.zeros((side, WIDTH)), "a": np.log(self.prior),
             "B": np.zeros((n, WIDTH)), "b": np.log(self.within),
@@ -134,7 +141,8 @@ class Model:
             self.p[name], flat = flat[: v.size].reshape(v.shape).astype(np.float32), flat[v.size :]
 
     def step(self, before: np.ndarray, leaf: np.ndarray, rng: np.random.Generator, squares: dict) -> None:
-        """One noise-contrastive step: noise classes are shared by the batch, noise leaves by the batch's tokens of a class."""
+        """One noise-contrastive step: noise classes are shared by the batch, noise leaves by the batch's tokens of a class.
+        Only rows that the batch touches change."""
         p, side, m = self.p, self.side, len(leaf)
         q, cls = self.context(before), leaf // side
         noise = rng.choice(side, NOISE, p=self.prior)
@@ -142,23 +150,22 @@ class Model:
         up = 1 / (1 + np.exp(np.einsum("ij,ij->i", q, p["A"][cls]) + p["a"][cls] - log_kn[cls]))
         down = 1 / (1 + np.exp(-(q @ p["A"][noise].T + p["a"][noise] - log_kn[noise])))
         dq = up[:, None] * p["A"][cls] - down @ p["A"][noise]
-        grad = {"A": _sums(cls, up[:, None] * q, side), "a": np.bincount(cls, weights=up, minlength=side)}
-        np.add.at(grad["A"], noise, -(down.T @ q))
-        np.add.at(grad["a"], noise, -down.sum(axis=0))
-        log_kl = np.log(LEAF_NOISE * self.within).astype(np.float32)
+        change = {
+            "A": _sums(np.concatenate([cls, noise]), np.concatenate([up[:, None] * q, -(down.T @ q)])),
+            "a": _sums(np.concatenate([cls, noise]), np.concatenate([up, -down.sum(axis=0)])),
+        }
+        log_kl = self.log_kl
         own = p["B"][leaf]
         up = 1 / (1 + np.exp(np.einsum("ij,ij->i", q, own) + p["b"][leaf] - log_kl[leaf]))
         dq += up[:, None] * own
-        grad["B"] = _sums(leaf, up[:, None] * q, side * side)
-        grad["b"] = np.bincount(leaf, weights=up, minlength=side * side)
         # Leaves are drawn by their share within the class, as places in the running sum over all leaves.
         places = np.arange(side)[:, None] + rng.random((side, LEAF_NOISE))
-        drawn = np.searchsorted(np.cumsum(self.within), places, side="right")
+        drawn = np.searchsorted(self.sums, places, side="right")
         drawn = np.clip(drawn, np.arange(side)[:, None] * side, np.arange(side)[:, None] * side + side - 1)
-        order = np.argsort(cls.astype(np.uint16), kind="stable")
+        order = np.argsort(cls.astype(leaf_type(side)), kind="stable")
         cuts = np.searchsorted(cls[order], np.arange(side + 1))
         sorted_q, pulls = q[order], np.empty_like(q)
-        noise_b, noise_B = np.zeros(drawn.shape), np.zeros((*drawn.shape, WIDTH))
+        noise_b, noise_B = np.zeros(drawn.shape, np.float32), np.zeros((*drawn.shape, WIDTH), np.float32)
         B, offset = p["B"][drawn], p["b"][drawn] - log_kl[drawn]
         for c in np.flatnonzero(np.diff(cuts)):
             rows = sorted_q[cuts[c] : cuts[c + 1]]
@@ -166,14 +173,17 @@ class Model:
             pulls[cuts[c] : cuts[c + 1]] = down @ B[c]
             noise_B[c], noise_b[c] = down.T @ rows, down.sum(axis=0)
         dq[order] -= pulls
-        grad["B"] -= _sums(drawn.ravel(), noise_B.reshape(-1, WIDTH), side * side)
-        grad["b"] -= np.bincount(drawn.ravel(), weights=noise_b.ravel(), minlength=side * side)
-        grad["R"] = _sums(before.ravel(), np.concatenate([dq * c for c in p["c"]]), side * side + 1)
-        grad["c"] = np.stack([np.einsum("ij,ij->j", dq, p["R"][w]) for w in before])
-        for name, g in grad.items():
+        both = np.concatenate([leaf, drawn.ravel()])
+        change["B"] = _sums(both, np.concatenate([up[:, None] * q, -noise_B.reshape(-1, WIDTH)]))
+        change["b"] = _sums(both, np.concatenate([up, -noise_b.ravel()]))
+        change["R"] = _sums(before.ravel(), np.concatenate([dq * c for c in p["c"]]))
+        change["c"] = np.arange(CONTEXT), np.stack([np.einsum("ij,ij->j", dq, p["R"][w]) for w in before])
+        for name, (at, g) in change.items():
             g = g / m
-            squares[name] = squares.get(name, 1e-4) + g * g
-            p[name] += (RATE * g / np.sqrt(squares[name])).astype(np.float32)
+            if name not in squares:
+                squares[name] = np.full(p[name].shape, 1e-4, np.float32)
+            squares[name][at] += g * g
+            p[name][at] += (RATE * g / np.sqrt(squares[name][at])).astype(np.float32)
 
     def train(self, before: np.ndarray, leaf: np.ndarray, rng: np.random.Generator) -> None:
         """A pass over all positions in random order."""
@@ -189,7 +199,7 @@ class Model:
         p, side = self.p, self.side
         q, cls = self.context(before), leaf // side
         out = _log_share(q @ p["A"].T + p["a"], cls)
-        order = np.argsort(cls.astype(np.uint16), kind="stable")
+        order = np.argsort(cls.astype(leaf_type(side)), kind="stable")
         cuts = np.searchsorted(cls[order], np.arange(side + 1))
         for c in range(side):
             at = order[cuts[c] : cuts[c + 1]]
@@ -210,26 +220,27 @@ def one_thread() -> None:
                 getattr(library, name)(1)
 
 
-def _sums(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Sums of the rows at each of n places."""
-    order = np.argsort(at.astype(np.uint16) if n <= 1 << 16 else at, kind="stable")
+def _sums(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places that occur, in order, and the sums of their rows."""
+    order = np.argsort(at.astype(np.uint16) if len(at) and at.max() < 1 << 16 else at, kind="stable")
     at = at[order]
     heads = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    out = np.zeros((n, rows.shape[1]))
-    out[at[heads]] = np.add.reduceat(rows[order], heads, axis=0)
-    return out
+    return at[heads], np.add.reduceat(rows[order], heads, axis=0)
 
 
 def _log_share(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The log of the softmax of each row at its own place."""
-    scores = scores - scores.max(axis=1, keepdims=True)
-    return (scores[np.arange(len(at)), at] - np.log(np.exp(scores).sum(axis=1))).astype(np.float64)
+    """The log of the softmax of each row at its own place; scores are overwritten."""
+    if len(scores) and max(scores.max(), -scores.min()) > 60:
+        scores -= scores.max(axis=1, keepdims=True)
+    own = scores[np.arange(len(at)), at].astype(np.float64)
+    np.exp(scores, out=scores)
+    return own - np.log(scores @ np.ones(scores.shape[1], np.float32)).astype(np.float64)
 
 
 def contexts(leaf: np.ndarray, lengths: np.ndarray, start: int) -> np.ndarray:
     """Leaves one to CONTEXT words before each token of texts in a row, ``start`` where the text has none."""
     place = np.arange(len(leaf)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    return np.stack([np.where(place >= k, np.roll(leaf, k), start) for k in range(1, CONTEXT + 1)])
+    return np.stack([np.where(place >= k, np.roll(leaf, k), start).astype(np.int32) for k in range(1, CONTEXT + 1)])
 
 
 def _unpack(batch: pa.RecordBatch, i: int) -> dict:
@@ -249,7 +260,7 @@ def shares(blocks: DataFrame, leaves: Leaves, workers: int) -> DataFrame:
                 leaf = leaves.of(batch.column("words")[i].values)[x["tokens"]]
                 ends = np.cumsum(x["lengths"])
                 (on,) = np.nonzero(x["train"])
-                leaf = leaf.astype(np.uint16)
+                leaf = leaf.astype(leaf_type(leaves.side))
                 own = [leaf[ends[k] - x["lengths"][k] : ends[k]].tobytes() for k in on]
                 dealt = [zlib.crc32(x["docs"][k].tobytes() + (b"" if x["named"][k] else o)) for k, o in zip(on, own, strict=True)]
                 dealt = np.array(dealt, dtype=np.int64)
@@ -268,8 +279,9 @@ def train_model(shared: DataFrame, model: Model) -> Model:
             part = part.sort_values(["doc_id", "leaves"])
             own = Model.__new__(Model)
             own.__dict__ = {**model.__dict__, "p": {k: v.copy() for k, v in model.p.items()}}
-            lengths = part["leaves"].map(len).to_numpy() // 2
-            leaf = np.frombuffer(b"".join(part["leaves"]), dtype=np.uint16).astype(np.int32)
+            kind = np.dtype(leaf_type(model.side))
+            lengths = part["leaves"].map(len).to_numpy() // kind.itemsize
+            leaf = np.frombuffer(b"".join(part["leaves"]), dtype=kind).astype(np.int32)
             own.train(contexts(leaf, lengths, model.side**2), leaf, np.random.default_rng([number, int(part["worker"].iat[0])]))
             flat = own.flat()
             rows = pd.DataFrame(np.pad(flat, (0, -len(flat) % WIDE)).reshape(-1, WIDE), columns=wide)
@@ -300,8 +312,12 @@ def score(docs: DataFrame) -> DataFrame:
     tidy(blocks.sparkSession)
     some = totals.where("c > 0").agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
     n, v = int(some["n"]), int(some["v"])
-    side = side_for(v)
-    top = totals.where("c > 0").orderBy(F.desc("c"), "word").limit(side * side // 2).select("word").collect()
+    # The least count of a word of its own, from how many words have each count (few different ones, about the root of n).
+    sizes = totals.where("c > 0").groupBy("c").agg(F.count("*").alias("words"))
+    above = F.sum(F.col("c") * F.col("words")).over(Window.orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, -1))
+    least = sizes.withColumn("above", F.coalesce(above, F.lit(0))).where(F.col("above") < COVER * n).agg(F.min("c")).first()[0]
+    top = totals.where(F.col("c") >= (least or 1)).orderBy(F.desc("c"), "word").select("word").collect()
+    side = side_for(len(top))
     leaves = Leaves([r["word"] for r in top], side)
 
     def leaf_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,7 +343,7 @@ def score(docs: DataFrame) -> DataFrame:
     def slim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Blocks are shuffled with the leaves of their words instead of the words.
         for batch in batches:
-            leaf = [leaves.of(w.values).astype(np.uint16).tobytes() for w in batch.column("words")]
+            leaf = [leaves.of(w.values).astype(leaf_type(side)).tobytes() for w in batch.column("words")]
             counts = [w.values.to_numpy().tobytes() for w in batch.column("n_train")]
             cols = [batch.column(c.split()[0]) for c in kept] + [pa.array(leaf, pa.binary()), pa.array(counts, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=[*[c.split()[0] for c in kept], "leaf", "counts"])
@@ -337,7 +353,7 @@ def score(docs: DataFrame) -> DataFrame:
         x = _unpack(row, 0)
         c = np.frombuffer(row.column("counts")[0].as_py(), dtype=np.int32).astype(np.int64)
         c[right.column("pos").to_numpy()] = right.column("c").to_numpy()
-        leaf = np.frombuffer(row.column("leaf")[0].as_py(), dtype=np.uint16).astype(np.int32)
+        leaf = np.frombuffer(row.column("leaf")[0].as_py(), dtype=leaf_type(side)).astype(np.int32)
         share = np.log10((c + 0.1) / mass[leaf])
         at, heads = x["tokens"], np.cumsum(x["lengths"]) - x["lengths"]
         leaf = leaf[at]
