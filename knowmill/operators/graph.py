@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,29 +11,32 @@ from knowmill.sources.shared import written
 
 
 def undirected(edges: DataFrame) -> DataFrame:
-    return edges.select("src", "dst").union(edges.select("dst", "src")).toDF("u", "v").where("u <> v").distinct()
+    """u, v of both directions, from one pass over the edges."""
+    ways = F.array(F.struct(F.col("src").alias("u"), F.col("dst").alias("v")), F.struct(F.col("dst").alias("u"), F.col("src").alias("v")))
+    return edges.where("src <> dst").select(F.explode(ways).alias("x")).select("x.u", "x.v").distinct()
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id, n_in, n_out, degree of all nodes, those without edges included."""
-    ends = edges.select(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(edges.select("dst", F.lit(0), F.lit(1)))
+    end = lambda c, i, o: F.struct(F.col(c).alias("id"), F.lit(i).alias("i"), F.lit(o).alias("o"))
+    ends = edges.select(F.explode(F.array(end("src", 0, 1), end("dst", 1, 0))).alias("x")).select("x.*")
     sums = ends.groupBy("id").agg(F.sum("i").alias("n_in"), F.sum("o").alias("n_out"))
     out = nodes.select("id").join(sums, "id", "left").na.fill(0, ["n_in", "n_out"])
     return out.withColumn("degree", F.col("n_in") + F.col("n_out"))
 
 
 def neighbours(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
-    """start, node, distance: nodes first reached after up to ``hops`` steps, the starts themselves left out. Adjacency and
-    frontiers are written as tables, so that a hop reads the last one's result instead of planning it again."""
+    """start, node, distance: nodes first reached after up to ``hops`` steps, the starts themselves left out. A hop is one join
+    with the adjacency and one aggregation, which keeps the least distance of a pair, so that pairs met again need no
+    other join. Ids of numbers shuffle less than names."""
     both = written(undirected(edges), "adjacency")
-    front = starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("distance"))
-    seen = front
+    seen = starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("distance"))
     for hop in range(1, hops + 1):
-        step = front.join(both, F.col("node") == F.col("u")).select("start", F.col("v").alias("node")).distinct()
-        front = step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("distance", F.lit(hop))
+        front = seen.where(F.col("distance") == hop - 1)
+        step = front.join(both, F.col("node") == F.col("u")).select("start", F.col("v").alias("node"), F.lit(hop).alias("distance"))
+        seen = seen.union(step).groupBy("start", "node").agg(F.min("distance").alias("distance"))
         if hop < hops:
-            front = written(front, "frontier")
-        seen = seen.union(front)
+            seen = written(seen, "seen")
     return seen.where("distance > 0")
 
 
@@ -64,20 +69,25 @@ def simple_paths(edges: DataFrame, pairs: DataFrame, longest: int) -> DataFrame:
     return done
 
 
+def levels(both: DataFrame, starts: DataFrame) -> list[DataFrame]:
+    """For each distance from 0: start, node, paths (how many shortest ones lead there), until no new node is reached. both:
+    the adjacency (u, v). A step back can only reach the last two levels, so new nodes are held against these alone."""
+    now = starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(1.0).alias("paths"))
+    found = [now]
+    while True:
+        step = now.join(both, F.col("node") == F.col("u")).groupBy("start", F.col("v").alias("node")).agg(F.sum("paths").alias("paths"))
+        known = found[-1] if len(found) == 1 else found[-1].union(found[-2])
+        now = written(step.join(known.select("start", "node"), ["start", "node"], "left_anti"), "level")
+        if not now.limit(1).count():
+            return found
+        found.append(now)
+
+
 def distances(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """start, node, distance, paths: how far each node is and how many shortest paths lead to it, until no new node is
     reached. One row for each reachable pair: for graphs, or samples of starts, where that is affordable."""
-    both = written(undirected(edges), "adjacency")
-    front = starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("distance"), F.lit(1).cast("double").alias("paths"))
-    seen = front
-    hop = 0
-    while front.limit(1).count():
-        hop += 1
-        step = front.join(both, F.col("node") == F.col("u")).groupBy("start", F.col("v").alias("node")).agg(F.sum("paths").alias("paths"))
-        front = step.join(seen.select("start", "node"), ["start", "node"], "left_anti").select("start", "node", F.lit(hop).alias("distance"), "paths")
-        front = written(front, "frontier")
-        seen = written(seen.union(front), "seen")
-    return seen
+    found = levels(written(undirected(edges), "adjacency"), starts)
+    return reduce(DataFrame.union, [x.select("start", "node", F.lit(k).alias("distance"), "paths") for k, x in enumerate(found)])
 
 
 def closeness(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -86,17 +96,26 @@ def closeness(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.select("id").join(d, "id", "left").select("id", F.coalesce("reachable", F.lit(0)).alias("reachable"), F.coalesce(1 / F.col("mean"), F.lit(0.0)).alias("closeness"))
 
 
-def betweenness(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def betweenness(edges: DataFrame, nodes: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     """id, betweenness: the share of shortest paths between two others that a node lies on, summed over pairs and divided
-    by the number of pairs of other nodes. By distances and path counts: v lies between s and t when d(s,v) + d(v,t) = d(s,t)."""
-    d = distances(edges, nodes).where("distance > 0")
-    st = d.where(F.col("start") < F.col("node")).toDF("s", "t", "st", "n")
-    sv, vt = d.toDF("s", "v", "sv", "a"), d.toDF("v", "t", "vt", "b")
-    on = st.join(sv, "s").where("sv < st").join(vt, ["v", "t"]).where("sv + vt = st")
-    share = on.groupBy(F.col("v").alias("id")).agg(F.sum(F.col("a") * F.col("b") / F.col("n")).alias("share"))
-    n = nodes.agg(((F.count("*") - 1) * (F.count("*") - 2) / 2).alias("pairs"))
-    out = nodes.select("id").join(share, "id", "left").crossJoin(F.broadcast(n))
-    return out.select("id", F.when(F.col("pairs") > 0, F.coalesce("share", F.lit(0.0)) / F.col("pairs")).otherwise(0.0).alias("betweenness"))
+    by the number of pairs of other nodes. From each start (all nodes, or a sample that stands for them) the dependencies of
+    farther nodes are handed back level by level: a node passes 1 and its own dependency to the nodes before it, by their
+    shares of the paths. A level back is one join with the adjacency and one with the level before."""
+    both = written(undirected(edges), "adjacency")
+    found = levels(both, starts or nodes)
+    behind = found[-1].withColumn("owed", F.lit(0.0))
+    owed = [behind]
+    for level in reversed(found[1:-1]):
+        passed = behind.select("start", F.col("node").alias("u"), ((1 + F.col("owed")) / F.col("paths")).alias("each")).join(both, "u")
+        sums = passed.groupBy("start", F.col("v").alias("node")).agg(F.sum("each").alias("each"))
+        behind = written(level.join(sums, ["start", "node"], "left").select("start", "node", "paths", (F.col("paths") * F.coalesce("each", F.lit(0.0))).alias("owed")), "owed")
+        owed.append(behind)
+    total = reduce(DataFrame.union, [x.select("node", "owed") for x in owed]).groupBy(F.col("node").alias("id")).agg(F.sum("owed").alias("owed"))
+    n = nodes.agg(F.count("*").alias("n")).crossJoin((starts or nodes).agg(F.count("*").alias("asked")))
+    out = nodes.select("id").join(total, "id", "left").crossJoin(F.broadcast(n))
+    # Each pair is met from both ends when all nodes are asked.
+    share = F.coalesce("owed", F.lit(0.0)) * F.col("n") / F.col("asked") / ((F.col("n") - 1) * (F.col("n") - 2))
+    return out.select("id", F.when(F.col("n") > 2, share).otherwise(0.0).alias("betweenness"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -149,9 +168,16 @@ def beam(edges: DataFrame, starts: DataFrame, hops: int, width: int = 20, decay:
     return seen.where("depth > 0")
 
 
-def co_occurrence(links: DataFrame, min_share: float, per_key: str = "fact", item: str = "item") -> DataFrame:
+def co_occurrence(links: DataFrame, min_share: float, per_key: str = "fact", item: str = "item", given: DataFrame | None = None) -> DataFrame:
     """links: (fact, item). Pairs of items with the number of shared facts and its share of the first item's facts.
-    Facts are small sets (an order's lines), so pairs are made within a fact."""
+    Facts are small sets (an order's lines), so pairs are made within a fact. given: the first items asked for (column
+    ``item``, few enough to broadcast); then only their facts are paired."""
+    if given is not None:
+        own = links.join(F.broadcast(given.select(F.col("item").alias(item)).distinct()), item, "left_semi")
+        total = own.groupBy(item).agg(F.count_distinct(per_key).alias("total"))
+        met = own.select(per_key, F.col(item).alias("a")).distinct().join(links.select(per_key, F.col(item).alias("b")).distinct(), per_key).where("a <> b")
+        shared = met.groupBy("a", "b").agg(F.count("*").alias("shared")).join(total.toDF("a", "total"), "a")
+        return shared.withColumn("share", F.col("shared") / F.col("total")).where(F.col("share") >= min_share)
     total = links.groupBy(item).agg(F.count_distinct(per_key).alias("total"))
     sets = links.groupBy(per_key).agg(F.collect_set(item).alias("items")).where(F.size("items") > 1)
     a = sets.select(per_key, "items", F.explode("items").alias("a")).select(per_key, "a", F.explode("items").alias("b")).where("a <> b")

@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from knowmill.sources.shared import written
+
+#: Queries that meet all vectors in one pass.
+QUERY_BLOCK = 4096
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -16,6 +25,56 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | (norms == 0), 0.0).otherwise(dot(a, b) / norms)
 
 
+def _unit(vectors: list) -> np.ndarray:
+    x = np.array(vectors, dtype=np.float64)
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, least: float) -> DataFrame:
+    """query, id, score, rank: the k vectors (id, embedding) of highest cosine with each query (query, q), at ``least`` (over 0)
+    or above. Queries are dealt to blocks of about ``QUERY_BLOCK``; a block is sent to the tasks, which multiply it with their
+    vectors a batch at a time and hand on each query's k best of the batch. Nulls and vectors of other lengths are unlike all."""
+    spark = vectors.sparkSession
+    q = written(queries.where("q is not null").select("query", "q"), "queries")
+    blocks = max(1, -(-q.count() // QUERY_BLOCK))
+    kind = q.schema["query"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()
+    found = None
+    for n in range(blocks):
+        rows = q.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == n).collect()
+        by_size: dict[int, tuple[list, np.ndarray]] = {}
+        for size in {len(r.q) for r in rows}:
+            own = [r for r in rows if len(r.q) == size]
+            by_size[size] = [r["query"] for r in own], _unit([r.q for r in own])
+        block = spark.sparkContext.broadcast(by_size)
+
+        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ids, all_ = b.column(0).to_pylist(), b.column(1).to_pylist()
+                for size, (names, matrix) in block.value.items():
+                    at = [i for i, v in enumerate(all_) if v is not None and len(v) == size and None not in v]
+                    if not at:
+                        continue
+                    # Rounded, so that equal vectors tie wherever they stand in a batch.
+                    scores = np.round(matrix @ _unit([all_[i] for i in at]).T, 12)
+                    own = np.array(at)
+                    for name, row in zip(names, scores, strict=True):
+                        some = np.flatnonzero(row >= least)
+                        if len(some) > k:
+                            some = some[row[some] >= np.partition(row[some], -k)[-k]]
+                        best = sorted(some, key=lambda j: (-row[j], ids[own[j]]))[:k]
+                        yield pa.RecordBatch.from_pydict({"query": [name] * len(best), "id": [ids[own[j]] for j in best], "score": [float(row[j]) for j in best]}, schema=shape)
+
+        shape = pa.schema([("query", _arrow(kind[0])), ("id", _arrow(kind[1])), ("score", pa.float64())])
+        some = vectors.select("id", "embedding").mapInArrow(run, f"query {kind[0]}, id {kind[1]}, score double")
+        found = some if found is None else found.union(some)
+    return top(found, "query", "score", "id", k)
+
+
+def _arrow(kind: str) -> pa.DataType:
+    return {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[kind]
+
+
 def top(df: DataFrame, key: str, score: str, ident: str, k: int, name: str = "rank") -> DataFrame:
     """The k best rows of each key; Spark prunes to k rows before the shuffle."""
     w = Window.partitionBy(key).orderBy(F.desc(score), ident)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from knowmill.functions import text as T
 from knowmill.operators import dedup, graph
 from knowmill.plans.registry import query
-from knowmill.sources.tables import GRAPH_SQL, entities, read, relations
+from knowmill.sources.tables import GRAPH_SQL, entities, node, node_name, read, relations
 
 BOTH_SQL = "both_ways AS (SELECT DISTINCT u, v FROM (SELECT src u, dst v FROM rel UNION ALL SELECT dst, src FROM rel) WHERE u <> v)"
 
@@ -31,7 +31,9 @@ def degree_centrality(spark, d):
 @query(f"""WITH {GRAPH_SQL}, {BOTH_SQL}, h1 AS (SELECT u AS start, v AS node FROM both_ways WHERE u LIKE 's:%'), h2 AS (SELECT DISTINCT h1.start, b.v AS node FROM h1 JOIN both_ways b ON h1.node = b.u WHERE b.v <> h1.start)
 SELECT start, node, min(d)::INT AS distance FROM (SELECT start, node, 1 AS d FROM h1 UNION ALL SELECT start, node, 2 FROM h2) GROUP BY start, node""")
 def supplier_neighbours_2hop(spark, d):
-    return graph.neighbours(relations(spark, d), entities(spark, d).where("type = 'SUPPLIER'"), 2)
+    starts = read(spark, d, "supplier").select(node("s", F.col("s_suppkey")).alias("id"))
+    out = graph.neighbours(relations(spark, d, numbers=True), starts, 2)
+    return out.select(node_name(F.col("start")).alias("start"), node_name(F.col("node")).alias("node"), "distance")
 
 
 @query(f"""WITH {GRAPH_SQL}, t AS (SELECT l_orderkey AS f, l_suppkey AS s FROM lineitem GROUP BY ALL), n AS (SELECT s, count(*) AS total FROM t GROUP BY s)

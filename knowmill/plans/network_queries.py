@@ -1,11 +1,13 @@
 """Paths, centralities, components and searches over the geographic part of the graph and the whole of it."""
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from knowmill.operators import graph, ranking
 from knowmill.plans.registry import query
-from knowmill.sources.tables import GRAPH_SQL, entities, read, relations
+from knowmill.sources.tables import GRAPH_SQL, entities, node, read, relations
 
 #: Regions, nations and suppliers with an edge between nations of neighbouring numbers: small enough for all pairs at any
 #: scale factor but that suppliers grow with it.
@@ -164,7 +166,7 @@ SELECT b AS id, round(max(share), 6) AS share, sum(shared)::BIGINT AS shared FRO
 def co_occurring_neighbours(spark, d):
     """Items that often stand in the facts of given items, with their largest share and number of shared facts."""
     links = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("fact"), F.col("l_suppkey").alias("item")).distinct()
-    p = graph.co_occurrence(links, 0.01).where("a < 5 and b >= 5")
+    p = graph.co_occurrence(links, 0.01, given=links.where("item < 5").select("item")).where("b >= 5")
     out = p.groupBy(F.col("b").alias("id")).agg(F.round(F.max("share"), 6).alias("share"), F.sum("shared").alias("shared"))
     return out.orderBy(F.desc("shared"), "id").limit(100)
 
@@ -243,3 +245,49 @@ def related_facts(spark, d):
     two = one.withColumnRenamed("c", "first").join(u, F.col("node") == F.col("x")).select(F.col("y").alias("node"), F.least("first", "c").alias("c"), F.lit(2).alias("n"))
     out = one.union(two).where("node <> 'p1'").groupBy("node").agg(F.min("n").alias("depth"), F.round(F.max("c"), 6).alias("confidence"))
     return out
+
+
+#: The graph of places and supplies, whole: nodes are numbered.
+SUPPLY_SQL = """lines AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem), edge AS (SELECT c_custkey * 8 + 2 AS src, c_nationkey * 8 + 1 AS dst FROM customer UNION ALL SELECT s_suppkey * 8 + 3, s_nationkey * 8 + 1 FROM supplier
+UNION ALL SELECT n_nationkey * 8 + 1, n_regionkey * 8 FROM nation UNION ALL SELECT s * 8 + 3, p * 8 + 4 FROM lines),
+both_ways AS (SELECT src AS u, dst AS v FROM edge UNION SELECT dst, src FROM edge), nodes AS (SELECT r_regionkey * 8 AS id FROM region UNION ALL SELECT n_nationkey * 8 + 1 FROM nation UNION ALL SELECT c_custkey * 8 + 2 FROM customer
+UNION ALL SELECT s_suppkey * 8 + 3 FROM supplier UNION ALL SELECT p_partkey * 8 + 4 FROM part)"""
+
+
+def _supply(spark, d):
+    return relations(spark, d, numbers=True).where("type <> 'BOUGHT'").select("src", "dst")
+
+
+def _numbered(spark, d):
+    keys = (("region", "r"), ("nation", "n"), ("customer", "c"), ("supplier", "s"), ("part", "p"))
+    return reduce(DataFrame.union, [read(spark, d, t).select(node(k, F.col(f"{k}_{'partkey' if k == 'p' else 'suppkey' if k == 's' else 'custkey' if k == 'c' else t + 'key'}")).alias("id")) for t, k in keys])
+
+
+def _levels_sql(depth: int) -> str:
+    """Levels of sampled suppliers with their path counts, and the dependencies handed back over them."""
+    steps = ["g0 AS (SELECT s_suppkey * 8 + 3 AS s, s_suppkey * 8 + 3 AS t, 1::DOUBLE AS k FROM supplier WHERE s_suppkey % 25 = 0)"]
+    for i in range(1, depth + 1):
+        old = " UNION ALL ".join(f"SELECT s, t FROM g{j}" for j in range(i))
+        steps.append(f"g{i} AS (SELECT s, v AS t, sum(k) AS k FROM g{i - 1} JOIN both_ways ON u = t WHERE (s, v) NOT IN (SELECT (s, t) FROM ({old})) GROUP BY s, v)")
+    steps.append(f"d{depth} AS (SELECT s, t, k, 0::DOUBLE AS owed FROM g{depth})")
+    for i in range(depth - 1, 0, -1):
+        steps.append(f"d{i} AS (SELECT g.s, g.t, g.k, g.k * coalesce(sum((1 + owed) / d.k), 0) AS owed FROM g{i} g LEFT JOIN (both_ways JOIN d{i + 1} d ON d.t = v) ON g.t = u AND d.s = g.s GROUP BY g.s, g.t, g.k)")
+    return ", ".join(steps)
+
+
+@query(f"""WITH {SUPPLY_SQL}, {_levels_sql(6)}, o AS ({" UNION ALL ".join(f"SELECT t, owed FROM d{i}" for i in range(1, 7))}), n AS (SELECT (SELECT count(*) FROM nodes) AS n, (SELECT count(*) FROM g0) AS asked)
+SELECT id, round(coalesce(sum(owed), 0) * any_value(n) / any_value(asked) / ((any_value(n) - 1) * (any_value(n) - 2)), 9) AS betweenness FROM nodes CROSS JOIN n LEFT JOIN o ON o.t = id GROUP BY id""")
+def betweenness_of_supplies(spark, d):
+    """Betweenness in the whole graph of places and supplies, from a sample of suppliers."""
+    starts = read(spark, d, "supplier").where("s_suppkey % 25 = 0").select(node("s", F.col("s_suppkey")).alias("id"))
+    return graph.betweenness(_supply(spark, d), _numbered(spark, d), starts).select("id", F.round("betweenness", 9).alias("betweenness"))
+
+
+@query(f"""WITH RECURSIVE {SUPPLY_SQL}, walk AS (SELECT c_custkey * 8 + 2 AS start, c_custkey * 8 + 2 AS node, [c_custkey * 8 + 2] AS path, 0 AS n FROM customer WHERE c_custkey % 100 = 0 UNION ALL
+  SELECT start, v, min(list_append(path, v)), any_value(n) + 1 FROM walk JOIN both_ways ON u = node WHERE n < 4 GROUP BY start, v),
+best AS (SELECT start, node, min(n) AS n FROM walk GROUP BY start, node) SELECT start, node, n::INT AS distance, array_to_string(path, '>') AS path FROM walk JOIN best USING (start, node, n) WHERE n > 0""")
+def paths_of_supplies(spark, d):
+    """Shortest paths of up to four steps from sampled customers through places and supplies."""
+    starts = read(spark, d, "customer").where("c_custkey % 100 = 0").select(node("c", F.col("c_custkey")).alias("id"))
+    out = graph.shortest_paths(_supply(spark, d), starts, 4)
+    return out.select("start", "node", "distance", F.array_join("path", ">").alias("path"))

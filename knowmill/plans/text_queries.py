@@ -53,9 +53,15 @@ def stride_chunks(spark, d):
     return chunking.stride_chunks(read(spark, d, "documents"), 1000, 200).select("doc_id", "chunk", "start", F.md5("content").alias("digest"))
 
 
-@query()
+BOUNDS_SQL = """WITH RECURSIVE t AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) > 0),
+r AS (SELECT doc_id, 0 AS chunk, 0 AS a, CASE WHEN n <= 1000 THEN n WHEN strpos(reverse(substr(text, 1, 1000)), ' ') BETWEEN 1 AND 999 THEN 1000 - strpos(reverse(substr(text, 1, 1000)), ' ') ELSE 1000 END AS b FROM t
+  UNION ALL SELECT doc_id, chunk + 1, s, CASE WHEN s + 1000 >= n THEN n WHEN strpos(reverse(substr(text, s + 1, 1000)), ' ') BETWEEN 1 AND 999 THEN s + 1000 - strpos(reverse(substr(text, s + 1, 1000)), ' ') ELSE s + 1000 END
+  FROM (SELECT r.doc_id, chunk, text, n, greatest(a + 1, b - 200) AS s FROM r JOIN t USING (doc_id) WHERE b < n))"""
+
+
+@query(f"""{BOUNDS_SQL} SELECT r.doc_id, chunk::INT AS chunk, a::INT AS start, b::INT AS stop, trim(substr(text, a + 1, b - a), chr(32) || chr(9) || chr(10) || chr(13)) AS content FROM r JOIN t USING (doc_id)""")
 def word_chunks(spark, d):
-    return chunking.word_chunks(read(spark, d, "documents"), 1000, 200)
+    return chunking.word_chunks(read(spark, d, "documents"), 1000, 200).withColumnRenamed("end", "stop")
 
 
 @query("""WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS p FROM documents), q AS (SELECT doc_id, p, unnest(range(len(p))) AS i FROM l)
@@ -64,7 +70,7 @@ def paragraph_chunks(spark, d):
     return chunking.paragraph_chunks(read(spark, d, "documents")).select("doc_id", "chunk", F.md5("content").alias("digest"))
 
 
-@query()
+@query("""WITH s AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])[ \\t\\n\\x0B\\f\\r]+(\\p{Lu})', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS p FROM documents), q AS (SELECT doc_id, unnest(p) AS content, unnest(range(len(p)))::INT AS sentence FROM s) SELECT * FROM q WHERE content <> ''""")
 def sentence_chunks(spark, d):
     return chunking.sentences(read(spark, d, "documents"))
 
@@ -111,8 +117,8 @@ def cosine_topk(spark, d):
     """The ten vectors nearest to the first vector of each label."""
     e = read(spark, d, "embeddings")
     q = dedup.best_per_key(e, [F.col("label")], [F.col("vec_id")]).select(F.col("label").alias("query_label"), F.col("embedding").alias("q"))
-    s = e.crossJoin(q).select("query_label", F.col("vec_id").alias("id"), ranking.cosine(F.col("q"), F.col("embedding")).alias("score"))
-    return ranking.top(s.where("score >= 0.1"), "query_label", "score", "id", 10).select("query_label", "id", "rank", F.round("score", 6).alias("score"))
+    out = ranking.nearest(e.select(F.col("vec_id").alias("id"), "embedding"), q.withColumnRenamed("query_label", "query"), 10, 0.1)
+    return out.select(F.col("query").alias("query_label"), "id", "rank", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, {COS_SQL} AS score FROM (SELECT * FROM embeddings WHERE vec_id % 50 = 0) a, embeddings b)
@@ -121,8 +127,8 @@ def cosine_topk_all(spark, d):
     """The ten vectors nearest to every vector whose id is divisible by 50, itself among them."""
     e = read(spark, d, "embeddings")
     q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    s = e.crossJoin(q).select("query_id", F.col("vec_id").alias("id"), ranking.cosine(F.col("q"), F.col("embedding")).alias("score"))
-    return ranking.top(s.where("score >= 0.1"), "query_id", "score", "id", 10).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+    out = ranking.nearest(e.select(F.col("vec_id").alias("id"), "embedding"), q.withColumnRenamed("query_id", "query"), 10, 0.1)
+    return out.select(F.col("query").alias("query_id"), "id", "rank", F.round("score", 6).alias("score"))
 
 
 @query("""WITH s AS (SELECT label, vec_id, list_sum([x::DOUBLE FOR x IN embedding]) AS a, list_max(embedding)::DOUBLE AS b FROM embeddings),
