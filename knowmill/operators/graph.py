@@ -168,6 +168,21 @@ def beam(edges: DataFrame, starts: DataFrame, hops: int, width: int = 20, decay:
     return seen.where("depth > 0")
 
 
+def surest(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
+    """start, node, depth, confidence of nodes within ``hops`` steps: the least number of steps, and the most that the least
+    confident edge of a way of any such length can have. edges: src, dst, confidence, walked both ways."""
+    ways = edges.select("src", "dst", "confidence").union(edges.select("dst", "src", "confidence")).groupBy("src", "dst").agg(F.max("confidence").alias("edge"))
+    ways = written(ways, "ways")
+    now = starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(1.0).alias("confidence"))
+    found = []
+    for hop in range(1, hops + 1):
+        step = now.join(ways, F.col("node") == F.col("src")).groupBy("start", F.col("dst").alias("node")).agg(F.max(F.least("confidence", "edge")).alias("confidence"))
+        now = written(step, "ways")
+        found.append(now.withColumn("depth", F.lit(hop)))
+    all_ = reduce(DataFrame.unionByName, found).where("node <> start")
+    return all_.groupBy("start", "node").agg(F.min("depth").alias("depth"), F.max("confidence").alias("confidence"))
+
+
 def co_occurrence(links: DataFrame, min_share: float, per_key: str = "fact", item: str = "item", given: DataFrame | None = None) -> DataFrame:
     """links: (fact, item). Pairs of items with the number of shared facts and its share of the first item's facts.
     Facts are small sets (an order's lines), so pairs are made within a fact. given: the first items asked for (column

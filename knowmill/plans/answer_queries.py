@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from knowmill.operators import chunking as C
 from knowmill.operators import citations as L
+from knowmill.operators import fact_scores as FS
 from knowmill.operators import reasoning as R
 from knowmill.plans.registry import query
 from knowmill.sources import store as S
@@ -138,3 +139,34 @@ def published_store(spark, d):
     for c in counts:
         out = out.unionByName(c)
     return out
+
+
+_OF = lambda table: "CASE kind " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in table.items()) + " ELSE 0 END"
+DIMENSIONS_SQL = f"""r AS (SELECT l_orderkey * 10 + l_linenumber AS fact_id, 'Part ' || p_name || ' was sold new to a customer' AS content, ['DIRECT', 'CONTEXTUAL', 'CHAIN', 'INFERRED', 'TEMPORAL'][1 + l_suppkey % 5] AS kind,
+  0.3 + l_discount * 4 AS given, 1 + p_size % 4 AS n_documents, p_size % 6 AS path_length, p_type AS source_type, CASE l_returnflag WHEN 'A' THEN 'CONCEPT' WHEN 'R' THEN 'Unknown' END AS target_type, l_linestatus = 'O' AS told,
+  CASE WHEN l_returnflag = 'N' THEN 'enhanced rules' ELSE 'LLM' END AS method, l_quantity * 20000 AS age, 'What part was sold with ' || split_part(p_name, ' ', 1) AS query FROM lineitem JOIN part ON p_partkey = l_partkey),
+w AS (SELECT *, list_distinct(string_split_regex(lower(content), '\\s+')) AS cw, list_distinct(string_split_regex(lower(query), '\\s+')) AS qw FROM r),
+x AS (SELECT fact_id, kind, len(list_intersect(cw, qw)) / len(qw) AS d1,
+  least(1.0, 0.5 + CASE WHEN n_documents > 1 THEN least(0.3, 0.1 * (n_documents - 1)) ELSE 0 END + {_OF(FS.OF_SOURCE)} + CASE WHEN target_type = 'CONCEPT' THEN 0.05 ELSE 0 END
+    - CASE WHEN kind = 'CHAIN' AND path_length > 3 THEN least(0.2, (path_length - 3) * 0.05) ELSE 0 END + CASE WHEN method = 'LLM' THEN 0.05 ELSE 0.1 END + 0.1) AS d2,
+  least(1.0, greatest(0.0, given + CASE WHEN told THEN 0.05 ELSE 0 END + CASE WHEN target_type = 'CONCEPT' THEN 0.1 ELSE 0 END + {_OF(FS.OF_CONFIDENCE)} + CASE WHEN n_documents > 1 THEN least(0.15, n_documents * 0.03) ELSE 0 END
+    + CASE WHEN age < 3600 THEN 0.05 ELSE 0 END + CASE WHEN method <> 'LLM' THEN 0.1 ELSE 0 END)) AS d3,
+  least(1.0, 0.7 + CASE WHEN age < 3600 THEN 0.3 WHEN age < 86400 THEN 0.2 WHEN age < 604800 THEN 0.1 ELSE 0 END + CASE WHEN kind = 'TEMPORAL' THEN 0.2 ELSE 0 END) AS d4,
+  0.6 + CASE WHEN told THEN 0.2 ELSE 0 END + CASE WHEN path_length > 0 THEN 0.2 ELSE 0 END AS d5, least(1.0, len(string_split_regex(content, '\\s+')) / (2 * len(string_split_regex(query, '\\s+')))) AS d6 FROM w)"""
+
+
+@query(f"""WITH {DIMENSIONS_SQL} SELECT fact_id, round(d1, 6)::DOUBLE AS relevance, round(d2, 6)::DOUBLE AS source, round(d3, 6)::DOUBLE AS confidence, round(d4, 6)::DOUBLE AS recency, round(d5, 6)::DOUBLE AS completeness, round(d6, 6)::DOUBLE AS specificity,
+  round(least(1.0, 0.4 * d1 + 0.2 * d2 + 0.3 * d3 + 0.05 * d4 + 0.03 * d5 + 0.02 * d6), 6)::DOUBLE AS score FROM x""")
+def fact_score_dimensions(spark, d):
+    """All six dimensions of each sale as a fact, weighed for a question of facts."""
+    li, p = read(spark, d, "lineitem"), read(spark, d, "part")
+    kinds = F.array(*map(F.lit, FS.OF_SOURCE))
+    rows = li.join(p, li.l_partkey == p.p_partkey).select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("fact_id"), F.concat(F.lit("Part "), "p_name", F.lit(" was sold new to a customer")).alias("content"), F.get(kinds, (F.col("l_suppkey") % 5).cast("int")).alias("kind"),
+        (0.3 + F.col("l_discount") * 4).alias("confidence"), (1 + F.col("p_size") % 4).alias("n_documents"), F.lit(1).alias("n_entities"), (F.col("p_size") % 6).alias("path_length"), F.col("p_type").alias("source_type"),
+        F.when(F.col("l_returnflag") == "A", "CONCEPT").when(F.col("l_returnflag") == "R", "Unknown").alias("target_type"), (F.col("l_linestatus") == "O").alias("semantic_context"), F.lit(False).alias("temporal_context"),
+        (F.col("l_linestatus") == "O").alias("has_context"), F.lit(True).alias("has_metadata"), (F.col("p_size") % 6 > 0).alias("has_path"), F.when(F.col("l_returnflag") == "N", "enhanced rules").otherwise("LLM").alias("method"),
+        (F.col("l_quantity") * 20000).alias("age"), F.concat(F.lit("What part was sold with "), F.substring_index("p_name", " ", 1)).alias("query"),
+    )
+    out = FS.score(rows, F.col("query"))
+    return out.select("fact_id", *[F.round(c, 6).alias(c) for c in (*FS.DIMENSIONS, "score")])

@@ -235,16 +235,15 @@ def merge_relation_types(spark, d):
     return first.unionByName(rest)
 
 
-@query("""WITH RECURSIVE e AS (SELECT l_orderkey AS a, l_partkey % 30 AS b, max(0.5 + l_discount * 4) AS c FROM lineitem WHERE l_orderkey < 40 GROUP BY ALL), u AS (SELECT 'o' || a AS x, 'p' || b AS y, c FROM e UNION ALL SELECT 'p' || b, 'o' || a, c FROM e),
-w AS (SELECT 'p1' AS node, 1.0::DOUBLE AS c, 0 AS n UNION SELECT y, least(w.c, u.c), n + 1 FROM w JOIN u ON x = node WHERE n < 2) SELECT node, min(n)::INT AS depth, round(max(c) FILTER (n > 0), 6) AS confidence FROM w WHERE node <> 'p1' GROUP BY node""")
+@query("""WITH RECURSIVE e AS (SELECT l_orderkey * 2 AS a, l_partkey * 2 + 1 AS b, max(0.5 + l_discount * 4) AS c FROM lineitem GROUP BY ALL), u AS (SELECT a AS x, b AS y, c FROM e UNION ALL SELECT b, a, c FROM e),
+w AS (SELECT p_partkey * 2 + 1 AS start, p_partkey * 2 + 1 AS node, 1.0::DOUBLE AS c, 0 AS n FROM part WHERE p_partkey % 100 = 0 UNION ALL SELECT start, y, max(least(w.c, u.c)), any_value(n) + 1 FROM w JOIN u ON x = node WHERE n < 2 GROUP BY start, y)
+SELECT start, node, min(n)::INT AS depth, round(max(c), 6) AS confidence FROM w WHERE node <> start GROUP BY start, node""")
 def related_facts(spark, d):
-    """Facts within two steps, with the least confidence along the best path."""
-    e = read(spark, d, "lineitem").where("l_orderkey < 40").groupBy(F.concat(F.lit("o"), "l_orderkey").alias("x"), F.concat(F.lit("p"), F.col("l_partkey") % 30).alias("y")).agg(F.max(0.5 + F.col("l_discount") * 4).alias("c"))
-    u = e.union(e.select("y", "x", "c"))
-    one = u.where("x = 'p1'").groupBy("y").agg(F.max("c").alias("c")).select(F.col("y").alias("node"), "c", F.lit(1).alias("n"))
-    two = one.withColumnRenamed("c", "first").join(u, F.col("node") == F.col("x")).select(F.col("y").alias("node"), F.least("first", "c").alias("c"), F.lit(2).alias("n"))
-    out = one.union(two).where("node <> 'p1'").groupBy("node").agg(F.min("n").alias("depth"), F.round(F.max("c"), 6).alias("confidence"))
-    return out
+    """What is within two steps of sampled parts through orders, with the least confidence along the best path."""
+    li = read(spark, d, "lineitem").groupBy((F.col("l_orderkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst")).agg(F.max(0.5 + F.col("l_discount") * 4).alias("confidence"))
+    starts = read(spark, d, "part").where("p_partkey % 100 = 0").select((F.col("p_partkey") * 2 + 1).alias("id"))
+    out = graph.surest(li, starts, 2)
+    return out.select("start", "node", "depth", F.round("confidence", 6).alias("confidence"))
 
 
 #: The graph of places and supplies, whole: nodes are numbered.

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from knowmill.functions import similarity as S
-from knowmill.operators import chunking, citations, discovery, names, reasoning, resolve
+from knowmill.operators import chunking, citations, discovery, fact_scores, names, reasoning, resolve
 from knowmill.operators import html as H
 from knowmill.operators.containment import holding
 from knowmill.sources import store
@@ -316,3 +316,17 @@ def test_batches_are_seen_whole_or_not_at_all(spark, tmp_path):
     assert store.stored(spark, at, "chunks").columns == ["id", "document_id", "size"] and store.stored(spark, at, "facts").count() == 2
 
 
+
+
+def test_fact_scores_of_the_worked_example(spark):
+    schema = "fact_id string, content string, kind string, confidence double, n_documents int, n_entities int, has_context boolean, has_metadata boolean, has_path boolean, path_length int, method string"
+    rows = [
+        ("fact_001", "Einstein developed the theory of relativity", "DIRECT", 0.9, 1, 2, True, True, True, None, "direct_triplet"),
+        ("fact_002", "Princeton University is located in New Jersey", "DIRECT", 0.8, 1, 2, True, True, True, None, "direct_triplet"),
+        ("fact_003", "Einstein worked at Princeton University and developed relativity theory there", "CHAIN", 0.7, 2, 3, True, True, True, None, "relationship_chain"),
+    ]
+    none = {c: F.lit(None).cast(t) for c, t in (("source_type", "string"), ("target_type", "string"), ("semantic_context", "boolean"), ("temporal_context", "boolean"), ("age", "long"))}
+    got = fact_scores.score(spark.createDataFrame(rows, schema).withColumns(none), F.lit("What did Einstein develop")).orderBy("fact_id").collect()
+    want = [(0.25, 0.9, 1.0, 0.5, 1.0, 0.75, 0.65), (0.0, 0.9, 0.9, 0.7, 1.0, 0.875, 0.5325), (0.25, 0.85, 0.71, 0.5, 1.0, 1.0, 0.558)]
+    assert [tuple(round(r[c], 6) for c in (*fact_scores.DIMENSIONS, "score")) for r in got] == want
+    assert got[0].reason == "Scored based on: High confidence (1.00), High source quality (0.90). Fact type: direct."
