@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from knowmill.operators import chunking as C
 from knowmill.operators import html as H
+from knowmill.operators import markdown as M
 from knowmill.plans.registry import query
 from knowmill.sources.tables import read
 
@@ -67,3 +68,38 @@ FROM pages p LEFT JOIN e USING (page_id) LEFT JOIN o ON o.page_id = p.page_id AN
 def main_block(spark, d):
     """The main text of each page by nested elements, without navigation, notices and other noise."""
     return H.main_text(read(spark, d, "pages"))
+
+
+MARKDOWN_SQL = """m AS (SELECT page_id, url, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, regexp_replace(regexp_extract(html, '(?is)<article[^>]*>(.*)</article>', 1), '<[^>]*>', chr(10), 'g') AS body FROM pages),
+t AS (SELECT page_id, url, title, body, CASE page_id % 3 WHEN 0 THEN '# ' || title || chr(10) || chr(10) || '## Page Information' || chr(10) || '- **Source Url**: ' || url || chr(10) || '- **Format**: html' || chr(10) || chr(10) || '## Content' || chr(10) || chr(10) || body
+  WHEN 1 THEN '---' || chr(10) || 'url: "' || url || '"' || chr(10) || 'kind: page' || chr(10) || '---' || chr(10) || body ELSE '# ' || title || chr(10) || '## File details' || chr(10) || 'size: 3' || chr(10) || '## Other details' || chr(10) || 'x' || chr(10) || '## Text' || chr(10) || body END AS text FROM m)"""
+
+
+def _markdown(spark, d):
+    """Pages as markdown of three forms."""
+    p = read(spark, d, "pages")
+    title = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)
+    body = F.regexp_replace(F.regexp_extract("html", r"(?is)<article[^>]*>(.*)</article>", 1), "<[^>]*>", "\n")
+    told = F.concat(F.lit("# "), title, F.lit("\n\n## Page Information\n- **Source Url**: "), "url", F.lit("\n- **Format**: html\n\n## Content\n\n"), body)
+    front = F.concat(F.lit('---\nurl: "'), "url", F.lit('"\nkind: page\n---\n'), body)
+    other = F.concat(F.lit("# "), title, F.lit("\n## File details\nsize: 3\n## Other details\nx\n## Text\n"), body)
+    return p.select("page_id", F.when(F.col("page_id") % 3 == 0, told).when(F.col("page_id") % 3 == 1, front).otherwise(other).alias("text"))
+
+
+@query(f"""WITH {MARKDOWN_SQL}, l AS (SELECT page_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM t),
+k AS (SELECT *, {" OR ".join(f"contains(lower(line), '{x}')" for x in M.LINE_MARKS)} AS mark, line LIKE '## %' AND ({" OR ".join(f"contains(lower(line), '{x}')" for x in M.ABOUT)}) AS about,
+  line LIKE '## %' AND ({" OR ".join(f"contains(lower(line), '{x}')" for x in M.CONTENT)}) AS own FROM l),
+s AS (SELECT *, last_value(CASE WHEN mark THEN NULL WHEN about THEN TRUE WHEN own THEN FALSE END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY i) AS skip FROM k)
+SELECT page_id, md5(trim(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT mark AND NOT about AND NOT own AND NOT coalesce(skip, FALSE) AND NOT regexp_matches(line, '^\\s*[-*]\\s*\\*\\*[^:]+\\*\\*:\\s*')), ''), {SPACES})) AS digest FROM s GROUP BY page_id""")
+def without_metadata(spark, d):
+    """Markdown without lines and parts about the file."""
+    return _markdown(spark, d).select("page_id", F.md5(M.without_metadata(F.col("text"))).alias("digest"))
+
+
+@query(f"""WITH {MARKDOWN_SQL} SELECT page_id, CASE page_id % 3 WHEN 2 THEN NULL ELSE url END AS url, (CASE page_id % 3 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 1 END)::INT AS n, CASE page_id % 3 WHEN 1 THEN NULL ELSE trim(title, {SPACES}) END AS title,
+  md5(CASE page_id % 3 WHEN 2 THEN CASE WHEN trim(body, {SPACES}) = '' THEN text ELSE trim(body, {SPACES}) END ELSE body END) AS digest FROM t""")
+def split_headers(spark, d):
+    """Metadata and content of markdown with front matter, with an information part, and without."""
+    h = _markdown(spark, d).select("page_id", M.split_header(F.col("text")).alias("h"))
+    get = lambda k: F.try_element_at(F.col("h.metadata"), F.lit(k))
+    return h.select("page_id", F.coalesce(get("source_url"), get("url")).alias("url"), F.size("h.metadata").alias("n"), get("title").alias("title"), F.md5("h.content").alias("digest"))
