@@ -103,3 +103,65 @@ def split_headers(spark, d):
     h = _markdown(spark, d).select("page_id", M.split_header(F.col("text")).alias("h"))
     get = lambda k: F.try_element_at(F.col("h.metadata"), F.lit(k))
     return h.select("page_id", F.coalesce(get("source_url"), get("url")).alias("url"), F.size("h.metadata").alias("n"), get("title").alias("title"), F.md5("h.content").alias("digest"))
+
+
+def _pack(parts: str, sep: str, n: int, size: int) -> str:
+    fits = f"length(a[-1]) + {n} + length(b[1]) <= {size}"
+    return f"CASE WHEN len({parts}) = 0 THEN [] ELSE list_reduce(list_transform({parts}, lambda y: [y]), lambda a, b: CASE WHEN {fits} THEN list_append(a[1:len(a) - 1], a[-1] || {sep} || b[1]) ELSE list_concat(a, b) END) END"
+
+
+def _words(x: str) -> str:
+    return f"list_filter(regexp_split_to_array({x}, '{BLANK}+'), lambda y: y <> '')"
+
+
+_LINES = "list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')"
+
+
+@query(f"""{descended_sql(500)}, o AS (SELECT doc_id, list_transform(p, lambda x: trim(x, {SPACES})) AS p FROM l4),
+q AS (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM o), r AS (SELECT doc_id, i, p[i] AS piece, p[i - 1] AS prev, right(p[i - 1], 80) AS tail FROM q),
+s AS (SELECT *, CASE WHEN strpos(tail, ' ') > 1 THEN substr(tail, strpos(tail, ' ') + 1) ELSE tail END || ' ' || piece AS whole FROM r)
+SELECT doc_id, (i - 1)::INT AS chunk, md5(CASE WHEN i = 1 OR length(prev) <= 80 OR length(whole) > 600 THEN piece ELSE whole END) AS digest FROM s""")
+def overlapped_chunks(spark, d):
+    """Pieces of 500 characters with up to 80 characters of the piece before."""
+    docs = read(spark, d, "documents").where(F.btrim("text", F.lit(" \t\n\x0b\f\r")) != "")
+    # The pieces are a column of their own, so that they are not made anew for each of them.
+    cut = docs.select("doc_id", C.descended(F.col("text"), 500).alias("pieces"))
+    return C.chunks(cut, C.overlapped(F.col("pieces"), 80, 500)).select("doc_id", "chunk", F.md5("content").alias("digest"))
+
+
+_MERGED = f"""CASE WHEN len({_LINES}) = 0 THEN [] ELSE list_filter(list_reduce(list_transform({_LINES}, lambda y: [y]), lambda a, b: CASE WHEN length(a[-1]) < 100 AND length(a[-1]) + 1 + length(b[1]) <= 400
+  THEN list_append(a[1:len(a) - 1], a[-1] || ' ' || b[1]) ELSE list_concat(a, b) END), lambda x: length(x) >= 50) END"""
+_SENTENCES = f"list_filter(list_transform(string_split(regexp_replace(x, '([.!?]){BLANK}+', '\\1' || chr(1), 'g'), chr(1)), lambda y: trim(y, {SPACES})), lambda y: y <> '')"
+
+
+@query(f"""WITH m AS (SELECT doc_id, {_MERGED} AS p FROM documents WHERE text IS NOT NULL),
+a AS (SELECT doc_id, flatten(list_transform(p, lambda x: CASE WHEN length(x) <= 400 THEN [x] ELSE {_pack(_SENTENCES, "' '", 1, 400)} END)) AS p FROM m),
+b AS (SELECT doc_id, flatten(list_transform(p, lambda x: CASE WHEN length(x) <= 400 THEN [x] ELSE {_pack(_words("x"), "' '", 1, 400)} END)) AS p FROM a)
+SELECT doc_id, unnest(range(len(p)))::INT AS chunk, md5(unnest(p)) AS digest FROM b""")
+def sized_chunks(spark, d):
+    """Lines merged below 100 characters and cut above 400."""
+    docs = read(spark, d, "documents").where("text is not null")
+    return C.chunks(docs, C.sized(C.nonblank(F.split("text", "\n", -1)), 100, 400)).select("doc_id", "chunk", F.md5("content").alias("digest"))
+
+
+@query(f"""WITH l AS (SELECT doc_id, {_LINES} AS p FROM documents WHERE text IS NOT NULL),
+f AS (SELECT doc_id, list_reduce(list_transform(p, lambda y: [y]), lambda a, b: CASE WHEN length(a[-1]) + length(b[1]) > 700 THEN list_append(a, array_to_string({_words("a[-1]")}[-10:], ' ') || ' ' || b[1])
+  ELSE list_append(a[1:len(a) - 1], a[-1] || chr(10) || chr(10) || b[1]) END) AS p FROM l WHERE len(p) > 0),
+g AS (SELECT doc_id, flatten(list_transform(p, lambda x: CASE WHEN length(x) <= 700 THEN [x] ELSE {_pack(_words("x"), "' '", 1, 700)} END)) AS p FROM f)
+SELECT doc_id, unnest(range(len(p)))::INT AS chunk, md5(unnest(p)) AS digest FROM g""")
+def carried_chunks(spark, d):
+    """Lines packed to 700 characters, each chunk behind the last ten words of the one before."""
+    docs = read(spark, d, "documents").where("text is not null")
+    return C.chunks(docs, C.carried(C.nonblank(F.split("text", "\n", -1)), 700, 10)).select("doc_id", "chunk", F.md5("content").alias("digest"))
+
+
+@query(f"""WITH t AS (SELECT conv_id, string_agg(CASE turn % 3 WHEN 0 THEN '[Page ' || turn || ']' WHEN 1 THEN chr(12) ELSE '<!-- page 7 -->' END || coalesce(text, ''), chr(10) ORDER BY turn, role, text) AS text FROM conversations GROUP BY conv_id),
+p AS (SELECT conv_id, list_filter(list_transform(string_split(regexp_replace(text, '\\[Page \\d+\\]|\\f|<!-- page \\d+ -->', chr(1), 'g'), chr(1)), lambda x: trim(x, {SPACES})), lambda x: x <> '') AS p FROM t)
+SELECT conv_id, unnest(range(1, len(p) + 1))::INT AS page, md5(unnest(p)) AS digest FROM p""")
+def page_chunks(spark, d):
+    """Pages of texts with page marks, blank ones left out."""
+    c = read(spark, d, "conversations")
+    mark = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("[Page "), "turn", F.lit("]"))).when(F.col("turn") % 3 == 1, "\f").otherwise("<!-- page 7 -->")
+    rows = c.select("conv_id", F.struct("turn", "role", F.concat(mark, F.coalesce("text", F.lit(""))).alias("t")).alias("x"))
+    t = rows.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["t"]), "\n").alias("text"))
+    return t.select("conv_id", F.posexplode(C.paged(F.col("text"))).alias("i", "p")).select("conv_id", (F.col("i") + 1).alias("page"), F.md5("p").alias("digest"))

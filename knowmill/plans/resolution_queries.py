@@ -78,18 +78,19 @@ def relations_after_merge(spark, d):
 
 VARIANT_SQL = " OR ".join(f"{f.format('n')} = {f.format('m')}" for f in ("rtrim({}, 's')", "replace({}, '-', ' ')", "replace({}, ' ', '-')", "replace({}, '3', 'drei')"))
 KEYWORD_SQL = f"""k AS (SELECT min(p_partkey) AS ord, p_name AS name, 'KEYWORD' AS type, min(p_brand) AS doc FROM part GROUP BY p_name UNION ALL
-  SELECT -min(p_partkey), split_part(p_name, ' ', 1) || 's', 'KEYWORD', min(p_brand) FROM part GROUP BY split_part(p_name, ' ', 1)),
+  SELECT -min(p_partkey) * 2 - 2, split_part(p_name, ' ', 1) || 's', 'KEYWORD', min(p_brand) FROM part GROUP BY split_part(p_name, ' ', 1) UNION ALL
+  SELECT -min(p_partkey) * 2 - 1, split_part(p_name, ' ', 1), 'KEYWORD', min(p_brand) FROM part GROUP BY split_part(p_name, ' ', 1)),
 x AS (SELECT *, list_distinct({TOKEN_SQL.format("replace(name, '_', ' ')")}) AS t FROM k),
 s AS (SELECT x.ord AS a, y.ord AS b, replace(lower(trim(x.name)), '_', ' ') AS n, replace(lower(trim(y.name)), '_', ' ') AS m, {JACCARD_SQL} AS j, {SCORE_SQL} AS base FROM x JOIN x y ON x.ord < y.ord),
 w AS (SELECT a, b, base, CASE WHEN n = m THEN 1.0 WHEN {VARIANT_SQL} THEN 0.9 WHEN contains(n, m) OR contains(m, n) THEN 0.8 WHEN j > 0 THEN greatest(j, 0.6) ELSE 0.0 END AS score FROM s)"""
 
 
 def _keywords(spark, d):
-    """Part names, and their first words as plurals."""
+    """Part names, and their first words, alone and as plurals."""
     p = read(spark, d, "part")
-    row = lambda g, sign: g.agg((sign * F.min("p_partkey")).alias("ord"), F.min("p_brand").alias("doc")).select("ord", "name", F.lit("KEYWORD").alias("type"), "doc")
-    first = F.concat(F.split("p_name", " ")[0], F.lit("s")).alias("name")
-    return row(p.groupBy(F.col("p_name").alias("name")), 1).union(row(p.groupBy(first), -1))
+    row = lambda name, ord_: p.groupBy(name.alias("name")).agg(ord_.alias("ord"), F.min("p_brand").alias("doc")).select("ord", "name", F.lit("KEYWORD").alias("type"), "doc")
+    first, least = F.split("p_name", " ")[0], F.min("p_partkey")
+    return row(F.col("p_name"), least).union(row(F.concat(first, F.lit("s")), -least * 2 - 2)).union(row(first, -least * 2 - 1))
 
 
 @query(f"WITH {KEYWORD_SQL} SELECT a, b, round(score, 6) AS score, round(0.4 * base + 0.6 * score, 6) AS blend FROM w WHERE score > 0")
@@ -99,6 +100,20 @@ def keyword_pairs(spark, d):
     return out.select("a", "b", F.round("keyword_score", 6).alias("score"), F.round("score", 6).alias("blend"))
 
 
+@query(f"""WITH RECURSIVE {KEYWORD_SQL}, pairs AS (SELECT a, b, 0.4 * base + 0.6 * score AS score FROM w WHERE score > 0 AND 0.4 * base + 0.6 * score >= 0.75),
+seq AS (SELECT ord, row_number() OVER (ORDER BY ord) AS k, coalesce((SELECT list(a) FROM pairs WHERE b = ord), []) AS near FROM k),
+g AS (SELECT 0::BIGINT AS k, -1::BIGINT AS ord, -1::BIGINT AS primary_id, []::BIGINT[] AS heads UNION ALL
+  SELECT s.k, s.ord, coalesce(list_min(list_intersect(s.near, g.heads)), s.ord), CASE WHEN len(list_intersect(s.near, g.heads)) = 0 THEN list_append(g.heads, s.ord) ELSE g.heads END FROM g JOIN seq s ON s.k = g.k + 1)
+SELECT primary_id, count(*) AS n, round(avg(score), 6) AS score FROM g JOIN pairs ON a = primary_id AND b = ord WHERE ord <> primary_id GROUP BY primary_id HAVING count(*) < 7 AND avg(score) >= 0.85""")
+def keyword_merges(spark, d):
+    """Keywords to merge: clusters by the blend, of fewer than eight, confirmed where they are alike enough on average."""
+    k = _keywords(spark, d)
+    pairs = resolve.keyword_candidates(k, 0.75)
+    c = resolve.greedy(k, pairs).where("ord <> primary")
+    m = c.join(pairs, (F.col("a") == F.col("primary")) & (F.col("b") == F.col("ord"))).groupBy(F.col("primary").alias("primary_id"))
+    return m.agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("score")).where("n < 7 and score >= 0.85")
+
+
 @query(f"""WITH {ENTITY_SQL}, q AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS mention FROM part), s AS (SELECT mention, ord, name, CASE WHEN lower(name) = lower(mention) THEN 1.0 WHEN contains(lower(name), lower(mention)) THEN 0.9 ELSE 0.0 END::DOUBLE AS score FROM q JOIN e ON contains(lower(name), lower(mention)))
 SELECT mention, ord, score FROM (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY score DESC, ord) AS rn FROM s WHERE score >= 0.7) WHERE rn = 1""")
 def entity_linking(spark, d):
