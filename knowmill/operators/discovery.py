@@ -129,3 +129,41 @@ def confidence(entities: DataFrame, texts: DataFrame) -> DataFrame:
     out = scored.join(first, "ord", "left").select("ord", "confidence", "context", F.coalesce("worth", F.lit(1.0)).alias("uniqueness"), kind.alias("kind"))
     score = 0.4 * F.col("confidence") + 0.3 * F.col("context") + 0.2 * F.col("uniqueness") + 0.1 * F.col("kind")
     return out.select("ord", "context", "uniqueness", "kind", F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)).alias("score"))
+
+
+#: What names a time in a question, tried in this order.
+TIMES = (
+    r"\b(today|yesterday|tomorrow)\b", r"\b(last|next|this)\s+(week|month|year|day)\b", r"\b\d{4}\b",
+    r"\b(january|february|march|april|may|june|july|august|september|october|november|december)\b", r"\b(before|after|during|since|until)\b", r"\b(recent|recently|current|currently|now)\b",
+)
+
+
+def mentioned(text: Column) -> Column:
+    """Capitalised words and quoted strings, sorted, each once."""
+    words = F.regexp_extract_all(text, F.lit(r"\b([A-Z][a-z]+)\b"), F.lit(1))
+    return F.array_sort(F.array_distinct(F.concat(words, F.regexp_extract_all(text, F.lit('"([^"]*)"'), F.lit(1)))))
+
+
+def time_of(text: Column) -> Column:
+    """The first expression of time of the first kind that there is, else null."""
+    low = F.lower(text)
+    return F.coalesce(*[F.nullif(F.regexp_extract(low, p, 0), F.lit("")) for p in TIMES])
+
+
+#: Words that are no keywords of a topic.
+TOPIC_STOP = (
+    "the", "a", "an", "and", "or", "but", "is", "are", "was", "were", "be", "been", "being", "in", "on", "at", "to", "for", "with", "by", "about", "against", "between", "into", "through",
+    "during", "before", "after", "above", "below", "from", "up", "down", "of", "off", "over", "under", "again", "further", "then", "once", "here", "there", "when", "where", "why", "how", "all",
+    "any", "both", "each", "few", "more", "most", "other", "some", "such", "no", "nor", "not", "only", "own", "same", "so", "than", "too", "very", "s", "t", "can", "will", "just", "don",
+    "should", "now",
+)
+
+
+def topic_keywords(sentences: DataFrame, most: int = 10) -> DataFrame:
+    """topic, keywords (array): the most frequent words of each topic's sentences (topic, place, text) but stop words and
+    those below three characters; of equally frequent ones the first in the text."""
+    words = sentences.select("topic", "place", F.posexplode(T.tokens(F.col("text"))).alias("i", "word")).where((F.length("word") > 2) & ~F.col("word").isin(*TOPIC_STOP))
+    counts = words.groupBy("topic", "word").agg(F.count("*").alias("n"), F.min(F.struct("place", "i")).alias("first"))
+    order = Window.partitionBy("topic").orderBy(F.desc("n"), "first")
+    best = counts.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most)
+    return best.groupBy("topic").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "word"))), lambda x: x["word"]).alias("keywords"))

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from knowmill.functions import text as T
 
-#: Kinds of facts.
+#: Kinds of facts.
 FACT_TYPES = ("research", "process", "definition", "causal", "methodological", "safety", "statistical", "comparative")
-#: Patterns of vague language and phrases about the document itself.
+#: Patterns of vague language.
 VAGUE = (r"\b(some|many|several|various|different|certain)\b", r"\b(generally|usually|often|sometimes|typically)\b", r"\b(might|could|may|possibly|potentially)\b")
+#: Phrases about the document itself.
 META = ("this document", "this article", "this paper", "this section", "the author", "the text")
 
 

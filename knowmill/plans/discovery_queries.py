@@ -83,3 +83,24 @@ def entity_confidence(spark, d):
     e = e.select(ord_, "name", kind, F.col("conv_id").alias("doc"), (0.5 + (F.col("k") + 1) % 5 / 10).alias("confidence"))
     out = D.confidence(e, c.groupBy(F.col("conv_id").alias("doc")).agg(F.min("text").alias("text")))
     return out.select("ord", F.round("context", 6).alias("context"), "uniqueness", "kind", F.round("score", 6).alias("score"))
+
+
+_TIMES_SQL = ", ".join("nullif(regexp_extract(lower(text), '" + p + "', 0), '')" for p in D.TIMES)
+_STOP_SQL = ", ".join(f"'{w}'" for w in D.QUESTION_STOP)
+
+
+@query(f"""SELECT conv_id, turn, array_to_string(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) > 2 AND w NOT IN ({_STOP_SQL})), ' ') AS keywords,
+  array_to_string(list_sort(list_distinct(list_concat(list_filter(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_matches(w, '^[A-Z][a-z]+$')), regexp_extract_all(text, '"([^"]*)"', 1)))), '|') AS mentions, coalesce({_TIMES_SQL}) AS time FROM conversations WHERE role = 'user' AND text IS NOT NULL""")
+def question_parts(spark, d):
+    """Keywords, mentions and the time of each question."""
+    q = read(spark, d, "conversations").where("role = 'user' and text is not null")
+    return q.select("conv_id", "turn", F.array_join(D.question_keywords(F.col("text")), " ").alias("keywords"), F.array_join(D.mentioned(F.col("text")), "|").alias("mentions"), D.time_of(F.col("text")).alias("time"))
+
+
+@query(f"""WITH w AS (SELECT conv_id, turn, {TOKEN_SQL.format("text")} AS t FROM conversations WHERE text IS NOT NULL), x AS (SELECT conv_id, turn, unnest(t) AS word, unnest(range(len(t))) AS i FROM w),
+n AS (SELECT conv_id, word, count(*) AS n, min(turn * 1000000 + i) AS first FROM x WHERE length(word) > 2 AND word NOT IN ({", ".join(f"'{w}'" for w in D.TOPIC_STOP)}) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, first) AS k FROM n) SELECT conv_id, string_agg(word, ' ' ORDER BY k) AS keywords FROM r WHERE k <= 10 GROUP BY conv_id""")
+def topic_keywords(spark, d):
+    """The ten most frequent words of each conversation."""
+    s = read(spark, d, "conversations").where("text is not null").select(F.col("conv_id").alias("topic"), F.col("turn").alias("place"), "text")
+    return D.topic_keywords(s).select(F.col("topic").alias("conv_id"), F.array_join("keywords", " ").alias("keywords"))
