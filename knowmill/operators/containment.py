@@ -6,6 +6,7 @@ number of names, and no text meets names that it does not hold."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from knowmill.sources.shared import written
 
 PART_NAMES, PART_CHARS = 200_000, 8_000_000
-_built: dict[int, ahocorasick.Automaton] = {}
+_built: dict[str, ahocorasick.Automaton] = {}
 
 
 def _automaton(part) -> ahocorasick.Automaton:
@@ -46,7 +47,7 @@ def holding(texts: DataFrame, names: DataFrame, part_names: int = PART_NAMES, pa
         own = [r.name for r in dealt.where(F.col("part") == k).select("name").collect()]
         if not own:
             continue
-        part = texts.sparkSession.sparkContext.broadcast((hash((k, parts, id(dealt))), own))
+        part = texts.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, own))
 
         def scan(frames: Iterator[pd.DataFrame], part=part) -> Iterator[pd.DataFrame]:
             a = _automaton(part)
