@@ -76,16 +76,38 @@ def bag_bound(a: Column, b: Column) -> Column:
     return F.when(F.length(a) + F.length(b) == 0, 1.0).otherwise(2 * both / (F.length(a) + F.length(b)))
 
 
-def alike(names: DataFrame, least: float) -> DataFrame:
-    """a, b, ratio of names (id, block, name) of one block, a < b, whose Ratcliff-Obershelp ratio reaches ``least`` (over one
-    half). Matching characters keep their order, so that of lengths n and m at most (n + m) * (1 - ratio) edits are needed and
-    the edit similarity is 2 * ratio - 1 at least: pairs meet by ``names.near`` at that, then pass the bound by bags."""
-    n = names.select("id", "block", F.lower("name").alias("name"), F.lit(2 * least - 1).alias("least"))
-    pairs = N.near(written(n, "names")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    texts = n.groupBy("id").agg(F.first("name").alias("name"))
-    both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").where(bag_bound(F.col("x"), F.col("y")) >= least)
+def name_classes(names: DataFrame) -> DataFrame:
+    """id, block, class of names (id, block, name): names of a block that are equal in lower case are one class, called by
+    its least id. Empty names are in none."""
+    low = names.select("id", "block", F.lower("name").alias("name")).where("name <> ''")
+    return low.join(low.groupBy("block", "name").agg(F.min("id").alias("class")).hint("merge"), ["block", "name"]).select("id", "block", "class")
+
+
+def alike_classes(names: DataFrame, least: float) -> DataFrame:
+    """block, a, b, ratio of classes of equal names (by least ids, see ``name_classes``) whose Ratcliff-Obershelp ratio, a's
+    name first, reaches ``least`` (over one half); each order of two names in which ids can stand, since the ratio depends on
+    it. Matching characters keep their order, so that of lengths n and m at most (n + m) * (1 - ratio) edits are needed and the
+    edit similarity is 2 * ratio - 1 at least: pairs meet by ``names.near`` at that, then pass the bound by bags. Only
+    different names are compared, however often each occurs."""
+    low = names.select("id", "block", F.lower("name").alias("name")).where("name <> ''")
+    n = written(low.groupBy("block", "name").agg(F.min("id").alias("id"), F.max("id").alias("last")), "names")
+    pairs = N.near(n.select("id", "block", "name", F.lit(2 * least - 1).alias("least"))).select("block", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    x, y = n.toDF("block", "x", "a", "last_a"), n.toDF("block", "y", "b", "last_b")
+    both = pairs.join(x, ["block", "a"]).join(y, ["block", "b"]).where(bag_bound(F.col("x"), F.col("y")) >= least)
     # The blocks differ with the order of the two names: the longest first, then the one found first.
-    return both.withColumn("ratio", matching_blocks("x", "y")).where(F.col("ratio") >= least).select("a", "b", "ratio")
+    turned = both.where(F.col("b") < F.col("last_a")).select("block", F.col("b").alias("a"), F.col("a").alias("b"), F.col("y").alias("x"), F.col("x").alias("y"))
+    ways = both.select("block", "a", "b", "x", "y").union(turned)
+    return ways.withColumn("ratio", matching_blocks("x", "y")).where(F.col("ratio") >= least).select("block", "a", "b", "ratio")
+
+
+def alike(names: DataFrame, least: float) -> DataFrame:
+    """a, b, ratio of names (id, block, name) of one block, a < b, whose ratio reaches ``least``: the pairs of classes spread
+    over their members, with the pairs within each class."""
+    of = written(name_classes(names), "classes")
+    met = alike_classes(names, least).union(of.select("block", "class", "class", F.lit(1.0)).distinct())
+    first, second = of.toDF("a", "block", "first"), of.toDF("b", "block", "second")
+    out = met.toDF("block", "first", "second", "ratio").join(first.hint("merge"), ["block", "first"]).join(second.hint("merge"), ["block", "second"])
+    return out.where("a < b").select("a", "b", "ratio").distinct()
 
 
 def resolve_names(mentions: DataFrame, entities: DataFrame) -> DataFrame:

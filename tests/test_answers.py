@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 import pytest
 from pyspark.sql import functions as F
 
+from knowmill import catalog
 from knowmill.functions import similarity as S
 from knowmill.operators import chunking, citations, discovery, fact_scores, names, reasoning, resolve
 from knowmill.operators import html as H
@@ -330,3 +331,24 @@ def test_fact_scores_of_the_worked_example(spark):
     want = [(0.25, 0.9, 1.0, 0.5, 1.0, 0.75, 0.65), (0.0, 0.9, 0.9, 0.7, 1.0, 0.875, 0.5325), (0.25, 0.85, 0.71, 0.5, 1.0, 1.0, 0.558)]
     assert [tuple(round(r[c], 6) for c in (*fact_scores.DIMENSIONS, "score")) for r in got] == want
     assert got[0].reason == "Scored based on: High confidence (1.00), High source quality (0.90). Fact type: direct."
+
+
+def test_copies_of_names_are_one_class(spark, tmp_path):
+    words = random_names(40, 11) + ["wikimedia", "wikimania", "Wikimania"]
+    rows = [(i, f"B{i % 2}", words[i * 7 % len(words)]) for i in range(400)]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    out = catalog.QUERIES["alike_names"](spark, str(tmp_path)).collect()
+    of = {(f"B{i % 2}", i): i for i, _, _ in rows} | {(rows[r.b][1], r.b): r.a for r in out if r.kind == "copy"}
+    met = {(rows[r.a][1], r.a, r.b): r.ratio for r in out if r.kind == "alike"}
+    want = {}
+    for (a, block, x), (b, other, y) in itertools.combinations(rows, 2):
+        ratio = difflib.SequenceMatcher(None, x.lower(), y.lower()).ratio()
+        if block == other and ratio >= 0.8:
+            want[a, b] = ratio
+    got = {(a, b): 1.0 if of[block, a] == of[block, b] else met.get((block, of[block, a], of[block, b])) for (a, block, _), (b, other, _) in itertools.combinations(rows, 2) if block == other}
+    assert {k: v for k, v in got.items() if v is not None} == pytest.approx(want)
+    # A row for each copy and one or two for each pair of names, not one for each pair of copies.
+    names = len({(block, x.lower()) for _, block, x in rows})
+    assert sum(r.kind == "copy" for r in out) == len(rows) - names and len(met) <= names * (names - 1)
+    pairs = {(r.a, r.b): r.ratio for r in discovery.alike(spark.createDataFrame(rows, "id long, block string, name string"), 0.8).collect()}
+    assert pairs == pytest.approx(want)
