@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from knowmill import catalog
+from knowmill.operators import graph
 
 
 def test_every_label_is_asked(spark, tmp_path):
@@ -19,3 +20,29 @@ def test_all_sizes_and_whole_texts(spark, tmp_path):
     docs = [(1, "de", "the " * 200 + " und der die das" * 300)]
     spark.createDataFrame(docs, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert catalog.QUERIES["document_language_whole"](spark, str(tmp_path)).first().detected == "de"
+
+
+def test_starts_with_one_neighbour_share_its_search(spark, monkeypatch):
+    edges = [(0, 1000), (1000, 1001), (1001, 1002), (1000, 1002), (1002, 1003)] + [(i, 1000) for i in range(1, 60)]
+    dealt, keep = [], graph.written
+
+    def counted(df, name):
+        out = keep(df, name)
+        dealt.append(out.count() if name == "frontier" else 0)
+        return out
+
+    monkeypatch.setattr(graph, "written", counted)
+    starts = spark.createDataFrame([(i,) for i in [*range(50), 1001]], "id long")
+    rows = graph.shortest_paths(spark.createDataFrame(edges, "src long, dst long"), starts, 3).collect()
+    near = {u: {b if a == u else a for a, b in edges if u in (a, b)} for u in {x for e in edges for x in e}}
+    want = {}
+    for s in [*range(50), 1001]:
+        level, known = {s: [s]}, {s}
+        for hop in range(1, 4):
+            steps = [(v, [*p, v]) for u, p in level.items() for v in near[u] - known]
+            level = {v: min(p for w, p in steps if w == v) for v, _ in steps}
+            known |= set(level)
+            want |= {(s, v, hop): p for v, p in level.items()}
+    assert {(r.start, r.node, r.distance): r.path for r in rows} == want and len(rows) == len(want)
+    # Two searches of 63 other nodes at most, not 51.
+    assert sum(dealt) <= 2 * 63
