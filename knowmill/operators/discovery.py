@@ -133,22 +133,23 @@ def confidence(entities: DataFrame, texts: DataFrame) -> DataFrame:
     """ord, context, uniqueness, kind, score of entities (ord, name, type, doc, confidence) in the texts (doc, text) that name
     them: 0.4 of the confidence given, 0.3 of the context (0.9 if the text holds the name, else 0.5 and up to 0.3 by the
     share of its words that the text holds, else 0.1), 0.2 of uniqueness among the document's earlier entities (0.1 if the
-    first like it has the same name, 0.5 if it holds or is held, else 1) and 0.1 of the type (0.3 if unknown, else 0.8)."""
+    first like it has the same name, 0.5 if it holds or is held, else 1) and 0.1 of the type (0.3 if unknown, else 0.8).
+    All tables here grow with the texts: none is broadcast, however small its file looks."""
     e = written(entities.select("ord", F.lower("name").alias("name"), "type", "doc", "confidence"), "entities")
     t = texts.select("doc", F.lower("text").alias("low"))
-    both = e.join(t, "doc", "left").withColumn("words", T.tokens(F.col("name")))
+    both = e.join(t.hint("merge"), "doc", "left").withColumn("words", T.tokens(F.col("name")))
     hits = F.size(F.filter("words", lambda w: F.contains(F.coalesce("low", F.lit("")), w)))
     context = F.when(F.contains(F.coalesce("low", F.lit("")), F.col("name")), 0.9).when(hits > 0, 0.5 + 0.3 * hits / F.size("words")).otherwise(0.1)
     scored = both.select("ord", "type", "confidence", context.alias("context"))
     # Earlier entities of the document that hold this one's name or are held by it; the first of them decides.
     n = e.where("doc is not null").select(F.col("ord").alias("id"), F.col("doc").cast("string").alias("block"), "name")
     met = N.held(n).select("a", "b")
-    known = e.select("ord", "name")
+    known = e.select("ord", "name").hint("merge")
     pairs = met.select(F.greatest("a", "b").alias("ord"), F.least("a", "b").alias("earlier")).distinct()
-    pairs = pairs.join(known, "ord").join(known.toDF("earlier", "other"), "earlier").where(F.col("name").contains(F.col("other")) | F.col("other").contains(F.col("name")))
+    pairs = pairs.join(known, "ord").join(e.select(F.col("ord").alias("earlier"), F.col("name").alias("other")).hint("merge"), "earlier").where(F.col("name").contains(F.col("other")) | F.col("other").contains(F.col("name")))
     first = pairs.groupBy("ord").agg(F.min(F.struct("earlier", F.when(F.col("name") == F.col("other"), 0.1).otherwise(0.5).alias("worth"))).alias("x")).select("ord", "x.worth")
     kind = F.when(F.col("type").isNull() | F.lower("type").isin("", "unknown", "other"), 0.3).otherwise(0.8)
-    out = scored.join(first, "ord", "left").select("ord", "confidence", "context", F.coalesce("worth", F.lit(1.0)).alias("uniqueness"), kind.alias("kind"))
+    out = scored.join(first.hint("merge"), "ord", "left").select("ord", "confidence", "context", F.coalesce("worth", F.lit(1.0)).alias("uniqueness"), kind.alias("kind"))
     score = 0.4 * F.col("confidence") + 0.3 * F.col("context") + 0.2 * F.col("uniqueness") + 0.1 * F.col("kind")
     return out.select("ord", "context", "uniqueness", "kind", F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)).alias("score"))
 

@@ -34,10 +34,10 @@ def held(names: DataFrame) -> DataFrame:
     all_ = n.select("id", "block", F.explode(F.array_distinct(F.flatten(F.array(*[F.coalesce(F.transform(_grams(F.col("name"), F.lit(k)), lambda x: x["gram"]), F.array().cast("array<string>")) for k in range(1, GRAM + 1)])))).alias("gram"))
     often = all_.groupBy("block", "gram").agg(F.count("*").alias("often"))
     own = n.select("id", "block", "name", F.explode(_grams(F.col("name"), F.least(F.length("name"), F.lit(GRAM)))).alias("x")).select("id", "block", "name", "x.gram")
-    rare = own.join(often, ["block", "gram"]).groupBy("id", "block").agg(F.min(F.struct("often", "gram")).alias("x"), F.first("name").alias("name"))
+    rare = own.join(often.hint("merge"), ["block", "gram"]).groupBy("id", "block").agg(F.min(F.struct("often", "gram")).alias("x"), F.first("name").alias("name"))
     rare = rare.select(F.col("id").alias("a"), "block", F.col("x.gram").alias("gram"), F.length("name").alias("chars"))
-    longer = all_.join(n.select("id", "block", F.length("name").alias("chars_b")), ["id", "block"]).withColumnRenamed("id", "b")
-    return rare.join(longer, ["block", "gram"]).where("a <> b and chars <= chars_b").select("a", "b", "block")
+    longer = all_.join(n.select("id", "block", F.length("name").alias("chars_b")).hint("merge"), ["id", "block"]).withColumnRenamed("id", "b")
+    return rare.join(longer.hint("merge"), ["block", "gram"]).where("a <> b and chars <= chars_b").select("a", "b", "block")
 
 
 def near(names: DataFrame) -> DataFrame:

@@ -46,3 +46,11 @@ def test_starts_with_one_neighbour_share_its_search(spark, monkeypatch):
     assert {(r.start, r.node, r.distance): r.path for r in rows} == want and len(rows) == len(want)
     # Two searches of 63 other nodes at most, not 51.
     assert sum(dealt) <= 2 * 63
+
+
+def test_tables_that_grow_are_not_broadcast(spark, tmp_path):
+    turns = [(i, t, "user", f"Anna Marie and Anna of Basel met Basel {i}") for i in range(20) for t in range(3)]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    out = catalog.QUERIES["entity_confidence"](spark, str(tmp_path))
+    assert out.count() == 20 * 3 * 3
+    assert "Broadcast" not in out._jdf.queryExecution().toString()
