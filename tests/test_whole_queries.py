@@ -54,3 +54,23 @@ def test_tables_that_grow_are_not_broadcast(spark, tmp_path):
     out = catalog.QUERIES["entity_confidence"](spark, str(tmp_path))
     assert out.count() == 20 * 3 * 3
     assert "Broadcast" not in out._jdf.queryExecution().toString()
+
+
+def test_ways_to_a_node_are_dealt_as_lists(spark, monkeypatch):
+    monkeypatch.setattr(graph, "LIST", 7)
+    edges = [(i, 100 + j) for i in range(12) for j in range(40) if (i + j) % 3] + [(i, i + 1) for i in range(500, 503)] + [(500, 0), (7, 7)]
+    near = {u: {b if a == u else a for a, b in edges if u in (a, b)} - {u} for u in {x for e in edges for x in e}}
+    e = spark.createDataFrame(edges, "src long, dst long")
+    assert graph.lists(graph.undirected(e), 7).where("size(vs) > 20").count() == 0
+    for hops in (1, 3):
+        want = {}
+        for s in near:
+            level, known = {s}, {s}
+            for hop in range(1, hops + 1):
+                level = set().union(*[near[u] for u in level]) - known
+                known |= level
+                want |= {(s, v): hop for v in level}
+        starts = spark.createDataFrame([(s,) for s in near], "id long")
+        for met in (1_000_000, 25):
+            rows = graph.neighbours(e, starts, hops, met).collect()
+            assert {(r.start, r.node): r.distance for r in rows} == want and len(rows) == len(want)
