@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from knowmill import catalog
 from knowmill.operators import graph
+from knowmill.sources import shared, tables
 
 
 def test_every_label_is_asked(spark, tmp_path):
@@ -74,3 +75,15 @@ def test_ways_to_a_node_are_dealt_as_lists(spark, monkeypatch):
         for met in (1_000_000, 25):
             rows = graph.neighbours(e, starts, hops, met).collect()
             assert {(r.start, r.node): r.distance for r in rows} == want and len(rows) == len(want)
+
+
+def test_edges_take_as_many_partitions_as_lines_need(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shared, "ROWS", 100)
+    orders = spark.range(400).select(F.col("id").alias("o_orderkey"), (F.col("id") % 30).alias("o_custkey"))
+    lines = spark.range(2000).select((F.col("id") % 400).alias("l_orderkey"), (F.col("id") % 70).alias("l_partkey"), (F.col("id") % 9).alias("l_suppkey"))
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    for edges, key in ((tables.bought(spark, str(tmp_path)), "o_custkey"), (tables.supplied(spark, str(tmp_path)), "l_suppkey")):
+        assert edges.rdd.getNumPartitions() == 20
+        want = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(key, "l_partkey").count()
+        assert sorted(map(tuple, edges.collect())) == sorted(map(tuple, want.collect()))
