@@ -39,7 +39,7 @@ def supplier_neighbours_2hop(spark, d):
 @query(f"""WITH {GRAPH_SQL}, t AS (SELECT l_orderkey AS f, l_suppkey AS s FROM lineitem GROUP BY ALL), n AS (SELECT s, count(*) AS total FROM t GROUP BY s)
 SELECT a.s AS a, b.s AS b, count(*) AS shared, any_value(total) AS total, round(count(*) / any_value(total), 6) AS share FROM t a JOIN t b ON a.f = b.f AND a.s <> b.s JOIN n ON n.s = a.s GROUP BY a.s, b.s HAVING count(*) / any_value(total) >= 0.03""")
 def co_occurrence_share(spark, d):
-    links = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("fact"), F.col("l_suppkey").alias("item")).distinct()
+    links = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("fact"), F.col("l_suppkey").alias("item"))
     return graph.co_occurrence(links, 0.03).withColumn("share", F.round("share", 6))
 
 

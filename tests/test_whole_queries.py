@@ -87,3 +87,17 @@ def test_edges_take_as_many_partitions_as_lines_need(spark, tmp_path, monkeypatc
         assert edges.rdd.getNumPartitions() == 20
         want = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(key, "l_partkey").count()
         assert sorted(map(tuple, edges.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_pairs_of_items_are_dealt_in_bounded_partitions(spark, monkeypatch):
+    monkeypatch.setattr(shared, "ROWS", 500)
+    rows = [(f, (f * f + k * 7) % 23) for f in range(300) for k in range(4)] + [(1, 1), (1, 1), (900, 5), (901, 99)]
+    sets = [{i for g, i in rows if g == f} for f in {f for f, _ in rows}]
+    total = {i: sum(i in s for s in sets) for _, i in rows}
+    want = {(a, b): n for a in total for b in total if a != b and (n := sum({a, b} <= s for s in sets)) >= 0.1 * total[a] and n}
+    out = graph.co_occurrence(spark.createDataFrame(rows, "fact long, item long"), 0.1)
+    got = out.collect()
+    assert {(r.a, r.b): r.shared for r in got} == want and len(got) == len(want)
+    assert all(r.total == total[r.a] and r.share == r.shared / r.total for r in got)
+    made = sum(len(s) ** 2 for s in sets)
+    assert out.rdd.getNumPartitions() == -(-made // 500) > 4
