@@ -101,3 +101,24 @@ def test_pairs_of_items_are_dealt_in_bounded_partitions(spark, monkeypatch):
     assert all(r.total == total[r.a] and r.share == r.shared / r.total for r in got)
     made = sum(len(s) ** 2 for s in sets)
     assert out.rdd.getNumPartitions() == -(-made // 500) > 4
+
+
+def test_wedges_without_a_way_on_are_not_made(spark, monkeypatch):
+    made, keep = [], graph.written
+
+    def counted(df, name):
+        out = keep(df, name)
+        made.extend([out.agg(F.sum("n")).first()[0] or 0] if name == "asked" else [])
+        return out
+
+    monkeypatch.setattr(graph, "written", counted)
+    # Low nodes with many common neighbours, of which few have edges; and a ball of triangles beside them.
+    edges = [(i, 1000 + j) for i in range(60) for j in range(20)] + [(1000, 1001), (1001, 1002), (1002, 1000), (1001, 1000), (5, 5)]
+    edges += [(3000 + i, 3000 + j) for i in range(12) for j in range(i) if (i * j) % 5 != 1] + [(4000, 4001)]
+    near = {u: {b if a == u else a for a, b in edges if u in (a, b)} - {u} for u in {x for e in edges for x in e}}
+    want = {u: (len(v), sum(len(near[x] & v) for x in v) // 2) for u, v in near.items() if len(v) > 1}
+    rows = graph.clustering(spark.createDataFrame(edges, "src long, dst long")).collect()
+    assert {r.id: (r.neighbours, r.links) for r in rows} == want and len(rows) == len(want)
+    assert all(abs(r.coefficient - 2 * r.links / (r.neighbours * (r.neighbours - 1))) < 1e-12 for r in rows)
+    # Pairs of neighbours of the low nodes alone are 60 * 190.
+    assert made and sum(made) < 1000
