@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from knowmill.sources.shared import dealt
+
 TOKENS = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>|</?[a-z][^>]*>|<[!?][^>]*>|[^<]+|<"
 WHOLE = r"(?i)^<(!|\?|script\b|style\b|noscript\b)"
 TAG = r"^</?([A-Za-z][A-Za-z0-9-]*)"
@@ -25,6 +27,8 @@ NOISE_CLASSES = (
 NOISE_IDS = ("nav", "menu", "footer", "comments")
 MAIN = ("main", "article", '[role="main"]', ".content", ".main-content", ".post-content", "#content", "#main-content", "#post-content")
 BLOCKS = ("div", "section", "article")
+#: Characters of HTML that count as a row where tokens are dealt: a task sorts them several times.
+CHARS = 8
 
 
 def attribute(tag: Column, name: str) -> Column:
@@ -54,7 +58,8 @@ def tokens(pages: DataFrame) -> DataFrame:
 
 def elements(pages: DataFrame) -> DataFrame:
     """Tokens with ``removed`` and, for open tags, ``stop`` (the place of their end) and ``chars`` (text that stays in them)."""
-    t = tokens(pages).repartition("page_id")
+    chars = pages.agg(F.sum(F.length("html"))).first()[0] or 0
+    t = dealt(tokens(pages), chars // CHARS, "page_id")
     page = Window.partitionBy("page_id").orderBy("pos")
     is_open = F.col("kind") == "open"
     depth = F.sum(F.when(is_open, 1).when(F.col("kind") == "close", -1).otherwise(0)).over(Window.partitionBy("page_id", "name").orderBy("pos"))
