@@ -1,9 +1,10 @@
 """Cases in which a registered query once did less than its whole job."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from knowmill import catalog
-from knowmill.operators import graph
+from knowmill.operators import graph, html, ranking, reasoning
 from knowmill.sources import shared, tables
 
 
@@ -122,3 +123,67 @@ def test_wedges_without_a_way_on_are_not_made(spark, monkeypatch):
     assert all(abs(r.coefficient - 2 * r.links / (r.neighbours * (r.neighbours - 1))) < 1e-12 for r in rows)
     # Pairs of neighbours of the low nodes alone are 60 * 190.
     assert made and sum(made) < 1000
+
+
+def test_tokens_of_pages_lie_in_bounded_partitions(spark, monkeypatch):
+    monkeypatch.setattr(shared, "ROWS", 100)
+    pages = [(i, f"<html><body><main>text {i} <b>of</b> a page</main></body></html>") for i in range(300)]
+    df = spark.createDataFrame(pages, "page_id long, html string")
+    assert html.elements(df).rdd.getNumPartitions() >= 20
+    assert {(r.page_id, r.content) for r in html.main_text(df).collect()} == {(i, f"text {i} of a page") for i in range(300)}
+
+
+def test_sure_ways_lie_in_bounded_partitions(spark, monkeypatch):
+    monkeypatch.setattr(shared, "ROWS", 100)
+    edges = [(i % 40, 100 + (i * i) % 60, 0.5 + i % 7 / 14) for i in range(1000)]
+    parts, keep = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: parts.append(df.rdd.getNumPartitions()) or keep(df, name))
+    asked = spark.createDataFrame(edges, "src long, dst long, confidence double"), spark.createDataFrame([(0,), (107,)], "id long")
+    rows = graph.surest(*asked, 2).collect()
+    assert parts[0] == 20
+    monkeypatch.setattr(graph, "ROWS", 0)
+    assert sorted(map(tuple, graph.surest(*asked, 2).collect())) == sorted(map(tuple, rows))
+    best = {}
+    for a, b, c in edges:
+        best[a, b] = best[b, a] = max(c, best.get((a, b), 0))
+    want = {}
+    for s in (0, 107):
+        level = {s: 1.0}
+        for hop in (1, 2):
+            found = {}
+            for u, c in level.items():
+                for (x, y), e in best.items():
+                    if x == u:
+                        found[y] = max(found.get(y, 0), min(c, e))
+            level = found
+            for v, c in found.items():
+                old = want.get((s, v), (hop, 0))
+                want[s, v] = old[0], max(old[1], c)
+    assert {(r.start, r.node): (r.depth, r.confidence) for r in rows} == {k: v for k, v in want.items() if k[0] != k[1]}
+
+
+def test_a_batch_is_multiplied_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "SLICE", 7)
+    ids = [(i, None if i == 3 else [float(i % 5), 1.0, float(i % 3)][: 2 if i == 11 else 3]) for i in range(200)]
+    v = spark.createDataFrame(ids, "id long, embedding array<double>").coalesce(1)
+    q = v.where("id % 9 = 0").select(F.col("id").alias("query"), F.col("embedding").alias("q"))
+    rows = ranking.nearest(v, q, 5, 0.1).collect()
+    unit = {i: np.array(x) / np.linalg.norm(x) for i, x in ids if x and len(x) == 3}
+    for i in range(0, 200, 9):
+        want = sorted((-round(float(unit[i] @ u), 12), j) for j, u in unit.items() if unit[i] @ u >= 0.1)[:5]
+        got = sorted((r.rank, r.id, r.score) for r in rows if r["query"] == i)
+        assert [x[1] for x in got] == [j for _, j in want] and np.allclose([x[2] for x in got], [-s for s, _ in want])
+
+
+def test_questions_meet_documents_in_bounded_partitions(spark, monkeypatch):
+    monkeypatch.setattr(shared, "ROWS", 1000)
+    names = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40)]
+    docs = [(i, " ".join(names[(i * 7 + k * k) % 40] for k in range(12))) for i in range(200)]
+    questions = [(i, " ".join(names[(i + 3 * k) % 40] for k in range(9))) for i in range(30)]
+    q, d = spark.createDataFrame(questions, "query_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    parts = []
+    monkeypatch.setattr(reasoning, "dealt", lambda df, rows, *keys: parts.append(rows) or shared.dealt(df, rows, *keys))
+    one = sorted(map(tuple, reasoning.refine(q, d, 0.9, 2, 5).collect()))
+    assert parts and max(parts) > 10_000
+    monkeypatch.setattr(reasoning, "ROWS", 10)
+    assert sorted(map(tuple, reasoning.refine(q, d, 0.9, 2, 5).collect())) == one and len(one) == 30
