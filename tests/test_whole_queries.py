@@ -187,3 +187,25 @@ def test_questions_meet_documents_in_bounded_partitions(spark, monkeypatch):
     assert parts and max(parts) > 10_000
     monkeypatch.setattr(reasoning, "ROWS", 10)
     assert sorted(map(tuple, reasoning.refine(q, d, 0.9, 2, 5).collect())) == one and len(one) == 30
+
+
+def test_levels_read_links_as_they_lie(spark, monkeypatch):
+    links = [(f, e, 0.2 + (f * 13 % 40) / 50) for f in range(400) for e in {f % 3, 3 + f % 50, 60 + f * f % 31}]
+    plans, keep = [], reasoning.written
+    monkeypatch.setattr(shared, "ROWS", 200)
+    monkeypatch.setattr(reasoning, "written", lambda df, name: plans.append((name, df._jdf.queryExecution().toString())) or keep(df, name))
+    asked = spark.createDataFrame([(q, q % 53) for q in range(20)] + [(1, 70)], "query_id long, entity long")
+    rows = reasoning.facts_by_level(asked, spark.createDataFrame([*links, (7, 1, 0.01)], "fact_id long, entity long, score double"), 3, 4).collect()
+    want = set()
+    for q in range(20):
+        front, seen, found = {q % 53} | ({70} if q == 1 else set()), set(), set()
+        for level in range(3):
+            seen |= front
+            met = {f: s for f, e, s in links if e in front and f not in found and s * (1 - 0.2 * level) >= 0.1}
+            new = sorted(met, key=lambda f: (-met[f], f))[:4]
+            want |= {(q, f, level, round(met[f] * (1 - 0.2 * level), 9)) for f in new}
+            found |= set(new)
+            front = {e for f, e, _ in links if f in new} - seen
+    assert {(r.query_id, r.fact_id, r.level, round(r.score, 9)) for r in rows} == want and len(rows) == len(want)
+    assert all("Bucketed: true" in plan for name, plan in plans if name == "new")
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("knowmill_")]
