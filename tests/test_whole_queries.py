@@ -209,3 +209,47 @@ def test_levels_read_links_as_they_lie(spark, monkeypatch):
     assert {(r.query_id, r.fact_id, r.level, round(r.score, 9)) for r in rows} == want and len(rows) == len(want)
     assert all("Bucketed: true" in plan for name, plan in plans if name == "new")
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("knowmill_")]
+
+
+def test_betweenness_holds_rows_of_hubs_only(spark, monkeypatch):
+    """Starts of several blocks, inner nodes of several tiles, edges between hubs, an end and a part apart from the rest."""
+    rng = np.random.default_rng(7)
+    edges = {(h, 100 + i) for i in range(400) for h in rng.choice(40, 3, replace=False).tolist()} | {(h, h + 1) for h in range(0, 30, 3)}
+    edges |= {(100, 600), (600, 601), (700, 701), (701, 702)}
+    nodes = sorted({x for e in edges for x in e} | {800})
+    starts = [*range(40), *range(100, 130), 601, 700, 800]
+    near = {x: [] for x in nodes}
+    for a, b in edges:
+        near[a].append(b)
+        near[b].append(a)
+    owed = dict.fromkeys(nodes, 0.0)
+    for s in starts:
+        far, paths, order = {s: 0}, {s: 1}, [s]
+        for a in order:
+            for b in near[a]:
+                if b not in far:
+                    far[b], paths[b] = far[a] + 1, 0
+                    order.append(b)
+                if far[b] == far[a] + 1:
+                    paths[b] += paths[a]
+        own = dict.fromkeys(order, 0.0)
+        for a in reversed(order[1:]):
+            own[a] = paths[a] * sum((1 + own[b]) / paths[b] for b in near[a] if far[b] == far[a] + 1)
+            owed[a] += own[a]
+    held, keep = [], graph.written
+
+    def counted(df, name):
+        out = keep(df, name)
+        held.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "written", counted)
+    for limit, most in (("TILE", 400), ("HELD", 100), ("LIST", 25)):
+        monkeypatch.setattr(graph, limit, most, raising=False)
+    frame = lambda ids: spark.createDataFrame([(i,) for i in ids], "id long")
+    rows = graph.betweenness(spark.createDataFrame(sorted(edges), "src long, dst long"), frame(nodes), frame(starts)).collect()
+    n = len(nodes)
+    want = {i: round(x * n / len(starts) / ((n - 1) * (n - 2)), 12) for i, x in owed.items()}
+    assert {r.id: round(r.betweenness, 12) for r in rows} == want and len(rows) == n
+    # One level alone has a row for most of the 73 starts and 450 nodes, if starts have rows of their own.
+    assert max(held) < n * len(starts) / 10
