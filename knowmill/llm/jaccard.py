@@ -11,7 +11,9 @@ An index must hold whole lists and fit a task, so classes first meet: a set may
 order from rare to frequent and still shares h = max(1, n / HITS) of the others with each partner. Those others are
 shuffled by shingle; classes that share enough of them meet, in pairs for lists of up to ``LIST`` classes, through the first
 class for longer ones. Which shingles count as frequent only steers the work: any order shared by all gives the same
-links. Classes connected by meetings form a group. Small groups share an index of bounded size; a large group is cut into blocks
+links. Classes connected by meetings form a group. In a group larger than a block, which passages that many texts hold can join
+without a link, classes meet anew by their whole sets: lists are those of the group, and a pair must reach its T in them
+(``regroup``). Small groups share an index of bounded size; a large group is cut into blocks
 of bounded size, each block is indexed and probed by itself and by every other block, so that no pair of a group becomes
 a row. Components of the links come from Spark jobs. Nothing is sampled or capped.
 
@@ -204,6 +206,27 @@ def postings(docs: DataFrame, long_lists: np.ndarray, buckets: int) -> DataFrame
     return docs.select("doc_id", "text").mapInArrow(run, "bucket long, shingles array<long>, classes array<long>")
 
 
+def _met(key: np.ndarray, begins: np.ndarray) -> pd.DataFrame:
+    """The meetings of classes in lists, which lie one behind the other."""
+    heads = np.flatnonzero(begins)
+    lengths = np.diff(np.append(heads, len(key)))
+    owner = np.repeat(np.arange(len(heads)), lengths)
+    place = np.arange(len(key)) - heads[owner]
+    found = []
+    small = lengths[owner] <= LIST
+    for d in range(1, LIST):
+        (i,) = np.nonzero(small[d:] & (place[d:] >= d))
+        if not len(i):
+            break
+        found.append(np.stack([key[i], key[i + d]]))
+    pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), dtype=np.int64)
+    pairs, hits = np.unique(np.sort(pairs, axis=0), axis=1, return_counts=True)
+    (hot,) = np.nonzero(~small)
+    stars, more = np.unique(np.stack([key[heads[owner[hot]]], key[hot]]), axis=1, return_counts=True)
+    both = np.concatenate([pairs, stars], axis=1)
+    return pd.DataFrame({"a": both[0], "b": both[1], "hot": np.arange(both.shape[1]) >= pairs.shape[1], "hits": np.concatenate([hits, more])})
+
+
 def merge_lists(packed: DataFrame) -> DataFrame:
     """Counts the meetings of a bucket: pairs (a, b) from lists of up to LIST classes, and for longer lists (hot) their
     first class with each of their classes."""
@@ -215,27 +238,76 @@ def merge_lists(packed: DataFrame) -> DataFrame:
         new = np.ones(len(value), dtype=bool)
         new[1:] = (value[1:] != value[:-1]) | (key[1:] != key[:-1])
         value, key = value[new], key[new]
-        heads = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
-        lengths = np.diff(np.append(heads, len(value)))
-        owner = np.repeat(np.arange(len(heads)), lengths)
-        place = np.arange(len(value)) - heads[owner]
-        found = []
-        small = lengths[owner] <= LIST
-        for d in range(1, LIST):
-            (i,) = np.nonzero(small[d:] & (place[d:] >= d))
-            if not len(i):
-                break
-            found.append(np.stack([key[i], key[i + d]]))
-        pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), dtype=np.int64)
-        pairs, hits = np.unique(np.sort(pairs, axis=0), axis=1, return_counts=True)
-        (hot,) = np.nonzero(~small)
-        stars, more = np.unique(np.stack([key[heads[owner[hot]]], key[hot]]), axis=1, return_counts=True)
-        both = np.concatenate([pairs, stars], axis=1)
-        return pd.DataFrame({"a": both[0], "b": both[1], "hot": np.arange(both.shape[1]) >= pairs.shape[1], "hits": np.concatenate([hits, more])})
+        return _met(key, np.concatenate([[True], value[1:] != value[:-1]]))
 
     return packed.groupBy("bucket").applyInPandas(run, "a long, b long, hot boolean, hits long")
 
 
+def whole_lists(members: DataFrame, buckets: int) -> DataFrame:
+    """members: grp, cls, n, shingles. All entries of their lists, packed by bucket: parallel arrays of the list (a shingle in a
+    group), class and size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(k, BLOCK)
+                grp, cls, n = (part.column(c).to_numpy() for c in range(3))
+                value, owner = part.column(3).flatten().to_numpy().view(np.uint64), np.repeat(np.arange(len(n)), n)
+                key = _mix(value ^ _mix(grp.view(np.uint64))[owner])
+                bucket = (key >> np.uint64(20)) % np.uint64(buckets)
+                order = np.argsort(bucket, kind="stable")
+                per = np.bincount(bucket.astype(np.int64), minlength=buckets)
+                live, per, owner = np.flatnonzero(per), per[per > 0], owner[order]
+                cols = [pa.array(live, pa.int64()), _lists(key[order], per), _lists(cls[owner], per), _lists(n[owner], per, pa.int32())]
+                yield pa.RecordBatch.from_arrays(cols, names=["bucket", "lists", "classes", "sizes"])
+
+    return members.select("grp", "cls", "n", "shingles").mapInArrow(run, "bucket long, lists array<long>, classes array<long>, sizes array<int>")
+
+
+def merge_whole(packed: DataFrame) -> DataFrame:
+    """Counts the meetings of a bucket as ``merge_lists`` does. A list is cut where sizes leave so wide a gap that no set on
+    one side can link with one on the other."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        value, key, size = (np.concatenate(part[c].to_list()) for c in ("lists", "classes", "sizes"))
+        order = np.lexsort((key, size, value))
+        value, key, size = value[order], key[order], size[order].astype(np.int64)
+        new = np.ones(len(value), dtype=bool)
+        new[1:] = (value[1:] != value[:-1]) | (key[1:] != key[:-1])
+        value, key, size = value[new], key[new], size[new]
+        return _met(key, np.concatenate([[True], (value[1:] != value[:-1]) | (100 * size[:-1] < PERCENT * size[1:])]))
+
+    return packed.groupBy("bucket").applyInPandas(run, "a long, b long, hot boolean, hits long")
+
+
+def regroup(members: DataFrame, large: DataFrame) -> DataFrame:
+    """cls, grp of those classes of large groups (cls, grp) that may link: classes meet in their groups by their whole sets, and
+    again in the groups that this leaves, until they shrink by less than a tenth. Sets that link share T of their lists, where
+    T is 0.75 of the larger."""
+    need = lambda n: F.ceil(PERCENT * F.col(n) / 100)
+    last, left = None, large.count()
+    while left and (last is None or left < 0.9 * last):
+        own = members.join(large, "cls")
+        entries = own.agg(F.sum("n")).first()[0] or 0
+        merged = stash(merge_whole(whole_lists(own, 1 + int(entries / BUCKET))), "merged")
+        long_hits = merged.where("hot").groupBy(F.col("b").alias("cls")).agg(F.sum("hits").alias("h"))
+        sized = stash(own.select("cls", "n").distinct().join(long_hits, "cls", "left").select("cls", "n", F.coalesce("h", F.lit(0)).alias("h")), "sized")
+        pairs = merged.where("not hot").groupBy("a", "b").agg(F.sum("hits").alias("hits"))
+        pairs = pairs.join(sized.toDF("a", "na", "ha"), "a").join(sized.toDF("b", "nb", "hb"), "b")
+        enough = F.col("hits") + F.least("ha", "hb") >= F.greatest(need("na"), need("nb"))
+        pairs = pairs.where(enough & (100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))).select("a", "b", F.lit(False).alias("star"))
+        # Without a meeting in short lists, all that a pair shares lies in long ones.
+        alive = sized.where(F.col("h") >= need("n")).select("cls")
+        stars = merged.where("hot").join(alive, F.col("b") == F.col("cls"), "left_semi").select("a", "b", F.lit(True).alias("star"))
+        meetings = stash(pairs.union(stars).toDF("u", "v", "star"), "meetings")
+        # What neither a pair nor a star of its own asks for only leads lists.
+        asked = meetings.select(F.explode(F.when(F.col("star"), F.array("v")).otherwise(F.array("u", "v"))).alias("cls")).distinct()
+        large = stash(components(meetings.select("u", "v")).toDF("cls", "grp").join(asked, "cls", "left_semi"), "groups")
+        release(merged, sized, meetings)
+        last, left = left, large.count()
+    return large
+
+
 def heap_merge(lists: list[list[int]], need: int) -> list[tuple[int, int]]:
     """Entries that at least ``need`` of the ascending lists hold, with how many do. The heap holds each list's next entry;
     where too few lists stand at the least one, need - 1 lists are moved on to the next entry that can still be reached."""
@@ -390,12 +462,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = merged.where("hot").join(alive, F.col("b") == F.col("cls"), "left_semi").select("a", "b")
     meetings = stash(pairs.union(stars).toDF("u", "v"), "meetings")
     release(merged)
-    groups = stash(components(meetings), "groups").toDF("cls", "grp")
+    groups = stash(components(meetings).toDF("cls", "grp"), "groups")
     # Classes that only lead a long list may be alone now.
     wanted = groups.join(classes.select("cls", "doc"), "cls").select("cls", "doc")
     members = stash(set_members(docs, wanted), "members")
+    release(meetings)
     count = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES))
-    blocks = stash(groups.join(members.select("cls", "n"), "cls").groupBy("grp").agg(count.alias("blocks"), F.sum("n").alias("load")), "blocks")
+    cut = lambda groups: groups.join(members.select("cls", "n"), "cls").groupBy("grp").agg(count.alias("blocks"), F.sum("n").alias("load"))
+    wide = stash(cut(groups).where("blocks > 1").select("grp"), "wide")
+    large = stash(groups.join(wide, "grp", "left_semi").select("cls", "grp"), "groups")
+    groups = stash(groups.join(wide, "grp", "left_anti").select("cls", "grp").union(regroup(members, large)), "groups")
+    blocks = stash(cut(groups), "blocks")
     load = blocks.where("blocks = 1").agg(F.sum("load")).first()[0] or 0
     bundle = F.pmod(F.xxhash64("grp"), F.lit(1 + load // SHARED))
     dealt = members.join(groups, "cls").join(blocks, "grp").withColumn("blk", F.pmod(F.xxhash64("cls"), F.col("blocks")))
@@ -407,7 +484,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.when(single, -1).otherwise(F.greatest("blk", "o")).alias("j"), "cls", "blk", "shingles",
     )
     found = stash(link_cells(cells), "found")
-    release(meetings, members, blocks)
+    release(members, blocks)
     n_links = found.where("cls is not null").groupBy("cls").agg(F.sum("n").alias("n_links"))
     joined = stash(components(found.where("cls is null").select("u", "v")), "joined").toDF("cls", "head")
     named = stash(classes.select("cls", "doc").join(joined, "cls", "left").withColumn("head", F.coalesce("head", "cls")), "named")

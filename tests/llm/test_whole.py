@@ -107,6 +107,21 @@ def test_links_are_counted(spark, monkeypatch, block):
     assert [got[i] for i in range(len(texts))] == [want[s] for s in sets] and max(got.values()) > 20
 
 
+def test_a_shared_passage_is_not_copied_by_blocks(spark, monkeypatch):
+    """Texts that share a passage below the threshold meet in a group of many blocks, of which only near copies stay."""
+    monkeypatch.setattr(jaccard, "BLOCK", 10)
+    held, run = [], jaccard.link_cells
+    monkeypatch.setattr(jaccard, "link_cells", lambda cells: held.append(cells.count()) or run(cells))
+    passage = [f"p{k}" for k in range(51)]
+    texts = [" ".join([*passage, *(f"o{i}_{k}" for k in range(17))]) for i in range(200)]
+    texts += [f"{t} x" for t in texts[:15]] + [f"y {t}" for t in texts[5:25]]
+    sets = [frozenset(zip(*(t.split()[k:] for k in range(5)), strict=False)) for t in texts]
+    want = [sum(s != o and 100 * len(s & o) >= 75 * len(s | o) for o in sets) for s in sets]
+    got = {r.doc_id: r.n_links for r in jaccard.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == want and max(want) == 2
+    assert held[0] <= len(texts)
+
+
 def test_mix_keeps_exact_targets(spark):
     """Deviations from the unrounded targets stay below a block, also with a source far below a thousandth."""
     targets = {"a": 0.6666, "b": 0.33305, "c": 0.00035}
