@@ -50,6 +50,27 @@ def test_starts_with_one_neighbour_share_its_search(spark, monkeypatch):
     assert sum(dealt) <= 2 * 63
 
 
+def test_steps_deal_numbers_instead_of_paths(spark, monkeypatch):
+    """The least of many ways to a node is found by hashes of numbers, without sorting or spilling paths; doubled edges and
+    edges of both directions count once."""
+    plans, keep = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df, name))
+    edges = [tuple(e) for e in np.random.default_rng(4).integers(0, 30, (60, 2)).tolist()]
+    near = {u: {a + b - u for a, b in edges if u in (a, b) and a != b} for u in range(30)}
+    starts = [u for u in range(30) if u % 3 == 0]
+    rows = graph.shortest_paths(spark.createDataFrame(edges + edges[:9] + [(b, a) for a, b in edges[:9]], "src long, dst long"), spark.createDataFrame([(u,) for u in starts], "id long"), 4).collect()
+    want = {}
+    for s in starts:
+        level, known = {s: [s]}, {s}
+        for hop in range(1, 5):
+            steps = [(v, [*p, v]) for u, p in level.items() for v in near[u] - known]
+            level = {v: min(p for w, p in steps if w == v) for v, _ in steps}
+            known |= set(level)
+            want |= {(s, v, hop): p for v, p in level.items()}
+    assert {(r.start, r.node, r.distance): r.path for r in rows} == want and len(rows) == len(want)
+    assert plans and not any("SortAggregate" in p for p in plans)
+
+
 def test_tables_that_grow_are_not_broadcast(spark, tmp_path):
     turns = [(i, t, "user", f"Anna Marie and Anna of Basel met Basel {i}") for i in range(20) for t in range(3)]
     spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
