@@ -122,6 +122,18 @@ def test_a_shared_passage_is_not_copied_by_blocks(spark, monkeypatch):
     assert held[0] <= len(texts)
 
 
+def test_the_stage_keeps_texts_of_a_shared_passage(spark, monkeypatch):
+    """One of each near copies stays, all texts stay that only share a passage, and the stage copies none of these by blocks."""
+    monkeypatch.setattr(jaccard, "BLOCK", 10)
+    held, run = [], jaccard.link_cells
+    monkeypatch.setattr(jaccard, "link_cells", lambda cells: held.append(cells.count()) or run(cells))
+    passage = [f"p{k}" for k in range(51)]
+    texts = [" ".join([*passage, *(f"o{i}_{k}" for k in range(17))]) for i in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts + [f"{t} x" for t in texts[:15]])), "doc_id long, text string")
+    assert sorted(r.doc_id for r in jaccard.stage_near_duplicates(spark, docs, "").collect()) == list(range(120))
+    assert held[0] <= docs.count()
+
+
 def test_mix_keeps_exact_targets(spark):
     """Deviations from the unrounded targets stay below a block, also with a source far below a thousandth."""
     targets = {"a": 0.6666, "b": 0.33305, "c": 0.00035}
